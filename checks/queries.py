@@ -53,7 +53,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
     """Small and used more than once, so it is written down."""
-    return durable(tokens.build_vocab(S.table(spark, sf, "documents"), "text"))
+    return durable(tokens.build_vocab(S.documents(spark, sf), "text"))
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, format: str = "parquet") -> str:
@@ -98,11 +98,9 @@ def a4_read_pairs_csv(spark, sf):
 def a5_write_posts_csv(spark, sf):
     path = scratch_path(spark, "posts-csv")
     csv_edge.write_posts_csv(forum.post_record(S.posts(spark, sf)), path)
-    return spark.read.schema(_in_file_order()).csv(path, header=True, quote='"', escape='"')
-
-
-def _in_file_order():
-    return schemas.T.StructType([schemas.POSTS[name] for name in V.POST_FIELDS])
+    return longs(
+        spark.read.schema(schemas.POSTS).csv(path, header=True, quote='"', escape='"'), "score", "num_comments"
+    )
 
 
 @query
@@ -485,7 +483,7 @@ def g8_sft_splits_direct(spark, sf):
 
 
 def encoded_documents(spark, sf):
-    return tokens.encode(S.table(spark, sf, "documents"), "doc_id", "text", vocab(spark, sf))
+    return tokens.encode(S.documents(spark, sf), "doc_id", "text", vocab(spark, sf))
 
 
 @query
@@ -495,7 +493,7 @@ def t1_encode(spark, sf):
 
 @query
 def t2_build_vocab(spark, sf):
-    return longs(tokens.build_vocab(S.table(spark, sf, "documents"), "text"), "id")
+    return longs(tokens.build_vocab(S.documents(spark, sf), "text"), "id")
 
 
 @query
@@ -547,7 +545,8 @@ def t7_prepare_pairs(spark, sf):
 @query
 def t7_prepared_sizes(spark, sf):
     return prepare_pairs(
-        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf
+        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
+        cache_base=scratch_path(spark, "processed"),
     ).sizes()
 
 
@@ -621,21 +620,20 @@ def f5_step_of(spark, sf):
 # --- reward model
 
 
-def _stories(spark, sf):
-    df = S.train_pairs(spark, sf)
-    return df.select(F.explode(F.array("chosen_story", "rejected_story")).alias("story"))
+def _stories(train):
+    return train.select(F.explode(F.array("chosen_story", "rejected_story")).alias("story"))
 
 
 def _fitted(spark, sf):
     train = durable(S.train_pairs(spark, sf))
-    model = reward.fit_features(_stories(spark, sf), "story")
+    model = reward.fit_features(_stories(train), "story")
     return train, model, reward.fit_bt(train, model)
 
 
 @query
 def r1_features(spark, sf):
-    train = S.train_pairs(spark, sf)
-    model = reward.fit_features(_stories(spark, sf), "story")
+    train = durable(S.train_pairs(spark, sf))
+    model = reward.fit_features(_stories(train), "story")
     vectors = reward.features(train, "chosen_story", model)
     weights = reward.vector_to_array("features")
     return vectors.select("pair_id", F.size(F.filter(weights, lambda x: x != 0)).cast("bigint").alias("non_zero"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prefweave.durable import durable
 from prefweave.operators.skew import lookup, rank_in_group, top_k_by_group
+from prefweave.sources.tables import spread_small
 
 AS_OF = 1_706_659_200.0  # 2024-01-31 00:00:00 UTC
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy per row: a file of one row group would keep one core busy."""
+    return spread_small(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+
+
 def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
     """Posts from events; without `counted`, num_comments is left at 0 for queries that do not return it."""
     made = table(spark, sf_dir, "events").selectExpr(
@@ -130,7 +136,7 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "labels").select("doc_id", "quality").join(
         table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"
     )
-    ranked = rank_in_group(ids, ["lang", "quality"], ["doc_id"], "rank")
+    ranked = durable(rank_in_group(ids, ["lang", "quality"], ["doc_id"], "rank"))
     poor = ranked.filter("quality = 0").select(
         F.concat_ws(":", "lang", "rank").alias("_slot"), F.col("doc_id").alias("rejected_id")
     )
@@ -139,7 +145,7 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = ranked.filter("quality = 1").join(F.broadcast(available), F.col("lang") == F.col("_lang"))
     slots = good.select("doc_id", "lang", F.concat_ws(":", "lang", F.col("rank") % F.col("_available")).alias("slot"))
     pairs = durable(lookup(slots, "slot", poor, "_slot", ["doc_id"], "inner"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
     chosen = texts.select("doc_id", F.col("text").alias("chosen_story"))
     rejected = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("rejected_story"))
     return lookup(pairs, "rejected_id", rejected, "_id", ["doc_id"], "inner").join(chosen, "doc_id").select(

@@ -24,15 +24,25 @@ def all_ids(pair_ids: DataFrame) -> DataFrame:
     return both_sides(pair_ids).filter(valid_id(F.col("id"))).distinct()
 
 
-def story_record(comments: DataFrame, posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """B8. Comments as fetched records; the prompt is the title of the post.
-
-    A post may hold a large share of all comments, so its title is repeated over several tasks.
+def story_record(
+    comments: DataFrame, posts: DataFrame, ids: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """B8. Comments (one row per comment_id) as fetched records; the prompt is the title of the post.
+
+    Ids go first and text last: comment and post ids alone are cut down to the wanted `ids` and meet the titles, where a
+    post with a large share of all comments is split over tasks. The text then moves once, by comment id, which no
+    comment shares with another, and is in place for joins on that id. How the comments lie on their posts is counted
+    before the cut: that reads one column, and the wanted comments cannot lie worse.
     """
     titles = posts.select(F.col("post_id").alias("_post"), F.col("title").alias("prompt"))
-    stories = comments.select("comment_id", "post_id", "body", "score", "created_utc", "author")
-    joined = lookup(stories, "post_id", titles, "_post", ["comment_id"], hot_rows=hot_rows)
-    return joined.select(
+    places = comments.select("comment_id", "post_id")
+    load = key_load(places.select("post_id"))
+    if ids is not None:
+        places = places.join(ids, places["comment_id"] == ids["id"], "left_semi")
+    prompts = lookup(places, "post_id", titles, "_post", ["comment_id"], hot_rows=hot_rows, load=load).select(
+        F.col("comment_id").alias("_id"), "prompt"
+    )
+    return comments.join(prompts, F.col("comment_id") == F.col("_id")).select(
         F.col("comment_id").alias("id"),
         F.col("body").alias("story"),
         "score",
@@ -44,13 +54,8 @@ def story_record(comments: DataFrame, posts: DataFrame, hot_rows: int = HOT_ROWS
 
 
 def fetch_records(ids: DataFrame, comments: DataFrame, posts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """D3. One record per wanted id that the dump holds; ids that cannot be fetched are absent.
-
-    `ids` is distinct, so the look-up is a semi-join: text of comments nobody asked for is dropped at the join, and
-    only the rest meets the post titles.
-    """
-    wanted = comments.join(ids, comments["comment_id"] == ids["id"], "left_semi")
-    return story_record(wanted, posts, hot_rows)
+    """D3. One record per wanted id that the dump holds; ids that cannot be fetched are absent. `ids` is distinct."""
+    return story_record(comments, posts, ids, hot_rows)
 
 
 def pending_ids(ids: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -52,23 +52,27 @@ def pad_id(policy: str, pad: int | None = None, end_of_text: int = END_OF_TEXT_I
 
 
 def _with_ids(places: DataFrame, vocab: DataFrame, vocab_size: int, row_id: list[str], hot_rows: int) -> DataFrame:
-    """Add the vocabulary `id` of each `token`.
+    """Add the vocabulary id of each `_token` as `_id`.
 
     Ids are dense ranks, so cutting at `vocab_size` keeps a vocabulary of that size whole and bounds what is
     broadcast. Beyond the bound the frequent tokens are split over tasks instead.
     """
-    words = vocab.filter(F.col("id") < vocab_size + len(SPECIAL_TOKENS))
+    kept = vocab.filter(F.col("id") < vocab_size + len(SPECIAL_TOKENS))
+    words = kept.select(F.col("token").alias("_word"), F.col("id").alias("_id"))
     if vocab_size <= BROADCAST_VOCABULARY:
-        return places.join(F.broadcast(words), "token", "left")
-    words = words.withColumnRenamed("token", "_token")
-    return lookup(places, "token", words, "_token", row_id, hot_rows=hot_rows)
+        return places.join(F.broadcast(words), F.col("_token") == F.col("_word"), "left")
+    return lookup(places, "_token", words, "_word", row_id, hot_rows=hot_rows)
 
 
-def _collect_ids(place: str, known: Column) -> Column:
+# A place and an id share one bigint, place above id, which sorts and moves at a quarter of a struct's size.
+_PLACE = 1 << 32
+
+
+def _collect_ids(known: Column) -> Column:
     """Ids in order of their place, for the rows where `known` holds."""
-    entry = F.struct(F.col(place), F.coalesce(F.col("id"), F.lit(UNKNOWN_ID)).alias("id"))
-    listed = F.array_sort(F.collect_list(F.when(known & F.col(place).isNotNull(), entry)))
-    return F.transform(listed, lambda e: e["id"])
+    entry = F.col("_place") * F.lit(_PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
+    listed = F.array_sort(F.collect_list(F.when(known & F.col("_place").isNotNull(), entry)))
+    return F.transform(listed, lambda e: (e % F.lit(_PLACE)).cast("int"))
 
 
 def encode(
@@ -89,10 +93,10 @@ def encode(
     places = df.select(
         key,
         text.isNull().alias("_null"),
-        F.posexplode_outer(F.slice(tokens(text), 1, max_length)).alias("pos", "token"),
+        F.posexplode_outer(F.slice(tokens(text), 1, max_length)).alias("_place", "_token"),
     )
-    found = _with_ids(places, vocab, vocab_size, [key, "pos"], hot_rows)
-    return found.groupBy(key, "_null").agg(_collect_ids("pos", F.lit(True)).alias("ids")).select(
+    found = _with_ids(places, vocab, vocab_size, [key, "_place"], hot_rows)
+    return found.groupBy(key, "_null").agg(_collect_ids(F.lit(True)).alias("ids")).select(
         key, F.when(~F.col("_null"), F.col("ids")).alias("ids")
     )
 
@@ -118,9 +122,8 @@ def tokenizer_column(spark: SparkSession, text: Column, tokenizer_file: str, max
         tokenizer.no_padding()
         tokenizer.enable_truncation(max_length)
         for texts in batches:
-            present = texts.dropna()
-            encoded = tokenizer.encode_batch(present.tolist())
-            yield pd.Series([e.ids for e in encoded], index=present.index, dtype=object).reindex(texts.index)
+            encoded = iter(tokenizer.encode_batch(texts.dropna().tolist()))
+            yield pd.Series([None if missing else next(encoded).ids for missing in texts.isna()], dtype=object)
 
     return F.pandas_udf(encode_batches, ArrayType(IntegerType()))(text)
 
@@ -142,19 +145,19 @@ def encode_pairs(
         key,
         F.col("chosen_story").isNull().alias("_chosen_null"),
         F.col("rejected_story").isNull().alias("_rejected_null"),
-        F.explode(F.array(*sides)).alias("part"),
+        F.explode(F.array(*sides)).alias("_part"),
     )
     places = stacked.select(
         key,
         "_chosen_null",
         "_rejected_null",
-        F.col("part.side").alias("side"),
-        F.posexplode_outer(F.slice(tokens(F.col("part.text")), 1, max_length)).alias("pos", "token"),
+        F.col("_part.side").alias("_side"),
+        F.posexplode_outer(F.slice(tokens(F.col("_part.text")), 1, max_length)).alias("_place", "_token"),
     )
-    found = _with_ids(places, vocab, vocab_size, [key, "side", "pos"], hot_rows)
+    found = _with_ids(places, vocab, vocab_size, [key, "_side", "_place"], hot_rows)
     encoded = found.groupBy(key, "_chosen_null", "_rejected_null").agg(
-        _collect_ids("pos", F.col("side") == "chosen").alias("chosen_ids"),
-        _collect_ids("pos", F.col("side") == "rejected").alias("rejected_ids"),
+        _collect_ids(F.col("_side") == "chosen").alias("chosen_ids"),
+        _collect_ids(F.col("_side") == "rejected").alias("rejected_ids"),
     )
     return encoded.select(
         key,
@@ -194,17 +197,14 @@ def truncation_report(
 ) -> DataFrame:
     """T10. Rows, rows without text, rows cut at `max_length`, and rows whose answer marker fell behind the cut and
     which therefore train on nothing. `tag` is the marker as tokens."""
-    words = tokens(F.col(column))
-    tag = tag or ["assistant"]
-    kept = F.slice(words, 1, max_length)
-    lost = find_subsequence(kept, tag).isNull() & F.col(column).isNotNull()
-    return df.select(
-        F.col(column).isNull().alias("no_text"),
-        (F.size(words) > max_length).alias("cut"),
-        lost.alias("lost"),
-    ).agg(
+    # Tokens and cut tokens become columns of their own first: the search for the marker reads them place by place.
+    words = df.select(tokens(F.col(column)).alias("_words"))
+    kept = words.select(F.size("_words").alias("_length"), F.slice("_words", 1, max_length).alias("_kept"))
+    found = kept.select("_length", find_subsequence(F.col("_kept"), tag or ["assistant"]).alias("_place"))
+    has_text = F.col("_length").isNotNull()
+    return found.agg(
         F.count("*").alias("total_rows"),
-        F.count_if("no_text").alias("rows_without_text"),
-        F.count_if("cut").alias("rows_cut"),
-        F.count_if("lost").alias("rows_without_marker"),
+        F.count_if(~has_text).alias("rows_without_text"),
+        F.count_if(F.col("_length") > max_length).alias("rows_cut"),
+        F.count_if(has_text & F.col("_place").isNull()).alias("rows_without_marker"),
     )

@@ -105,37 +105,48 @@ def expand_more(more: DataFrame, comments: DataFrame, loaded: DataFrame | None =
     return loaded.join(behind, "comment_id", "left_anti").unionByName(expanded)
 
 
-def loaded_only(comments: DataFrame, more: DataFrame) -> DataFrame:
-    """C5. Comments without those that placeholders stand for, nor what hangs below these."""
+def partial_tree(comments: DataFrame, more: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """C5. The tree without the comments that placeholders stand for, and without what hangs below these."""
     hidden = placeholder_children(more)
-    shown = comments.join(hidden, "comment_id", "left_anti")
-    below = (
-        comment_chains(shown)
-        .filter(F.col("missing").isNotNull())
-        .join(hidden.withColumnRenamed("comment_id", "missing"), "missing", "left_semi")
-        .select("comment_id")
-    )
-    return shown.join(below, "comment_id", "left_anti")
+    tree = comment_tree(comments.join(hidden, "comment_id", "left_anti"), hot_rows=hot_rows)
+    return tree.join(hidden.withColumnRenamed("comment_id", "missing"), "missing", "left_anti")
 
 
-def comment_positions(comments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Breadth-first `position` of every comment in its post, from 0; comments without a depth come last."""
-    tree = comment_tree(comments, hot_rows=hot_rows)
+def loaded_only(comments: DataFrame, more: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """C5. The comments of `partial_tree`."""
+    return comments.join(partial_tree(comments, more, hot_rows).select("comment_id"), "comment_id", "left_semi")
+
+
+def breadth_first(tree: DataFrame) -> DataFrame:
+    """Breadth-first `position` of every comment of a tree in its post, from 0; those without a depth come last."""
     ordered = tree.withColumn("_last", F.col("depth").isNull()).withColumn("_level", F.size("chain"))
     ranked = rank_in_group(ordered, ["post_id"], ["_last", "_level", "chain"], "position")
     return ranked.select("comment_id", "post_id", "depth", "position")
 
 
+def comment_positions(comments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """comment_id, post_id, depth and breadth-first `position` of every comment."""
+    return breadth_first(comment_tree(comments, hot_rows=hot_rows))
+
+
+def chosen_tree(comments: DataFrame, more: DataFrame | None, complete: bool, hot_rows: int) -> DataFrame:
+    if complete:
+        return comment_tree(comments, hot_rows=hot_rows)
+    if more is None:
+        raise ValueError("the partial mode needs the placeholders")
+    return durable(partial_tree(comments, more, hot_rows))
+
+
 def comments_in_order(
     comments: DataFrame, more: DataFrame | None = None, complete: bool = True, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """C4, flat: the comment records with post_id and their breadth-first `position` in the post."""
-    if not complete:
-        if more is None:
-            raise ValueError("the partial mode needs the placeholders")
-        comments = loaded_only(comments, more)
-    positions = comment_positions(comments, hot_rows)
-    return comment_record(comments).join(positions.select("comment_id", "post_id", "position"), "comment_id")
+    return _placed(comments, chosen_tree(comments, more, complete, hot_rows))
+
+
+def _placed(comments: DataFrame, tree: DataFrame) -> DataFrame:
+    positions = breadth_first(tree).select("comment_id", "post_id", "position")
+    return comment_record(comments).join(positions, "comment_id")
 
 
 def with_comments(
@@ -150,22 +161,29 @@ def with_comments(
 
     A post of any size stays whole: every `per_row` comments take a row of their own, numbered by `part`, so that no
     array has to hold an unbounded group. A post up to that size is one row with part 0, one without comments has an
-    empty array. With `complete=False`, comments behind placeholders are left out.
+    empty array. With `complete=False`, comments behind placeholders are left out. Post and comments meet on post and
+    part, so that the parts of a large post do not meet in one task either.
     """
-    flat = comments_in_order(comments, more, complete, hot_rows)
+    tree = chosen_tree(comments, more, complete, hot_rows)
     entry = F.struct("position", *V.COMMENT_FIELDS)
     nested = (
-        flat.withColumn("part", F.floor(F.col("position") / per_row))
-        .groupBy(F.col("post_id").alias("_post"), "part")
+        _placed(comments, tree)
+        .groupBy(F.col("post_id").alias("_post"), F.floor(F.col("position") / per_row).alias("_part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("comments"))
         .withColumn("comments", F.transform("comments", lambda c: c.dropFields("position")))
     )
-    return (
+    sizes = tree.groupBy(F.col("post_id").alias("_sized")).agg(F.count("*").alias("_size"))
+    last_part = F.floor((F.coalesce(F.col("_size"), F.lit(1)) - 1) / per_row)
+    parts = (
         post_record(posts)
-        .join(nested, F.col("post_id") == F.col("_post"), "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
+        .join(sizes, F.col("post_id") == F.col("_sized"), "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)))
+        .drop("_sized", "_size")
+    )
+    return (
+        parts.join(nested, (F.col("post_id") == F.col("_post")) & (F.col("part") == F.col("_part")), "left")
         .withColumn("comments", F.coalesce("comments", F.array()))
-        .drop("_post")
+        .drop("_post", "_part")
     )
 
 

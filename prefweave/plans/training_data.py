@@ -35,24 +35,31 @@ def prepare_pairs(
     vocab_size: int = VOCABULARY_SIZE,
     seed: int = V.SPLIT_SEED,
 ) -> PreparedPairs:
-    """T7. Check both tables, draw the validation rows out of the test rows, tokenise all three splits.
+    """T7. Check both tables, tokenise them, and draw the validation rows out of the test rows.
 
     `source` says where the rows come from; it is part of the cache key. The cache holds ids without padding; the
-    padded arrays are made when a split is read.
+    padded arrays are made when a split is read. The validation rows are test rows, so they are drawn from the tokenised
+    test rows by their id instead of being tokenised once more.
     """
     require_columns(train, V.TRAIN_FIELDS, "training pairs")
     require_columns(test, V.TRAIN_FIELDS, "test pairs")
-    splits = {"train": train, "val": validation_sample(test, seed=seed), "test": test}
 
-    def prepared(name: str) -> DataFrame:
+    def encoded(name: str, pairs: DataFrame) -> DataFrame:
         def build() -> DataFrame:
-            return encode_pairs(splits[name], vocab, max_length, vocab_size=vocab_size)
+            return encode_pairs(pairs, vocab, max_length, vocab_size=vocab_size)
 
         if cache_base is None:
-            encoded = build()
-        else:
-            key = cache_key(model_name, max_length, name, source, seed, vocab_size=vocab_size)
-            encoded = cached(test.sparkSession, cache_base, key, build)
-        return require_columns(pad_pairs(encoded, max_length, pad_with), V.TOKEN_FIELDS, f"{name} split")
+            return build()
+        key = cache_key(model_name, max_length, name, source, seed, vocab_size=vocab_size)
+        return cached(pairs.sparkSession, cache_base, key, build)
 
-    return PreparedPairs(prepared("train"), prepared("val"), prepared("test"))
+    def padded(name: str, pairs: DataFrame) -> DataFrame:
+        return require_columns(pad_pairs(pairs, max_length, pad_with), V.TOKEN_FIELDS, f"{name} split")
+
+    tokenised = encoded("test", test)
+    drawn = validation_sample(tokenised if cache_base else test, seed=seed)
+    return PreparedPairs(
+        padded("train", encoded("train", train)),
+        padded("validation", drawn if cache_base else encoded("validation", drawn)),
+        padded("test", tokenised),
+    )

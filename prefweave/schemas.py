@@ -4,30 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-POSTS = T.StructType.fromDDL(
-    "post_id string, title string, selftext string, url string, score int, num_comments int, "
-    "created_utc double, author string, subreddit string, permalink string, is_self boolean, "
-    "upvote_ratio double"
+_TEXT, _INT, _BIGINT, _DOUBLE, _BOOL = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(),
 )
-COMMENTS = T.StructType.fromDDL(
-    "comment_id string, post_id string, parent_id string, body string, score int, created_utc double, "
-    "author string, subreddit string, permalink string, distinguished string, is_submitter boolean, "
-    "stickied boolean"
-)
-MORE = T.StructType.fromDDL("parent_id string, children array<string>")
-PAIR_IDS = T.StructType.fromDDL("pair_id bigint, chosen_comment_id string, rejected_comment_id string")
-PAIRS = T.StructType.fromDDL(
-    "pair_id bigint, prompt string, chosen_story string, rejected_story string, "
-    "chosen_comment_id string, rejected_comment_id string, chosen_comment_score bigint, "
-    "rejected_comment_score bigint, chosen_username string, rejected_username string, "
-    "chosen_timestamp double, rejected_timestamp double"
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+POSTS = _table(
+    post_id=_TEXT, title=_TEXT, selftext=_TEXT, url=_TEXT, score=_INT, num_comments=_INT, created_utc=_DOUBLE,
+    author=_TEXT, subreddit=_TEXT, permalink=_TEXT, is_self=_BOOL, upvote_ratio=_DOUBLE,
 )
-TRAIN_PAIRS = T.StructType.fromDDL(
-    "pair_id bigint, prompt string, chosen_story string, rejected_story string"
+COMMENTS = _table(
+    comment_id=_TEXT, post_id=_TEXT, parent_id=_TEXT, body=_TEXT, score=_INT, created_utc=_DOUBLE, author=_TEXT,
+    subreddit=_TEXT, permalink=_TEXT, distinguished=_TEXT, is_submitter=_BOOL, stickied=_BOOL,
 )
-RATIONALES = T.StructType.fromDDL(
-    "row_id bigint, story_a string, story_b string, rationale string, preferred string"
+MORE = _table(parent_id=_TEXT, children=T.ArrayType(_TEXT))
+PAIR_IDS = _table(pair_id=_BIGINT, chosen_comment_id=_TEXT, rejected_comment_id=_TEXT)
+PAIRS = _table(
+    pair_id=_BIGINT, prompt=_TEXT, chosen_story=_TEXT, rejected_story=_TEXT, chosen_comment_id=_TEXT,
+    rejected_comment_id=_TEXT, chosen_comment_score=_BIGINT, rejected_comment_score=_BIGINT, chosen_username=_TEXT,
+    rejected_username=_TEXT, chosen_timestamp=_DOUBLE, rejected_timestamp=_DOUBLE,
 )
+TRAIN_PAIRS = _table(pair_id=_BIGINT, prompt=_TEXT, chosen_story=_TEXT, rejected_story=_TEXT)
+RATIONALES = _table(row_id=_BIGINT, story_a=_TEXT, story_b=_TEXT, rationale=_TEXT, preferred=_TEXT)
 
 
 def require_columns(df, names, label: str):
