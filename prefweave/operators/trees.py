@@ -46,13 +46,13 @@ def comment_chains(comments: DataFrame, max_depth: int | None = None, hot_rows:
             "chain",
         )
     )
+    closed, open_chains = nodes.filter(F.col("up").isNull()), nodes.filter(F.col("up").isNotNull())
     known_levels, left = 1, None
     while max_depth is None or known_levels <= max_depth:
-        open_chains = nodes.filter(F.col("up").isNotNull())
         load = key_load(open_chains.select("up"))
         if load.rows == 0 or load.rows == left:
             break
-        above = nodes.select(
+        above = closed.unionByName(open_chains).select(
             F.col("comment_id").alias("_above"),
             F.col("up").alias("_up"),
             F.col("missing").alias("_missing"),
@@ -67,9 +67,12 @@ def comment_chains(comments: DataFrame, max_depth: int | None = None, hot_rows:
             F.col("_rooted").alias("rooted"),
             F.concat("_chain", "chain").alias("chain"),
         )
-        nodes = durable(nodes.filter(F.col("up").isNull()).unionByName(extended))
+        # Only what changed is written; chains closed in earlier rounds stay where they are.
+        extended = durable(extended)
+        closed = closed.unionByName(extended.filter(F.col("up").isNull()))
+        open_chains = extended.filter(F.col("up").isNotNull())
         known_levels, left = known_levels * 2, load.rows
-    return nodes.select(
+    return closed.unionByName(open_chains).select(
         "comment_id", "post_id", "chain", "missing", (F.col("rooted") & F.col("up").isNull()).alias("rooted")
     )
 
