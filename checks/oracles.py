@@ -319,6 +319,12 @@ ORACLES = {
         SELECT i.post_id, {", ".join(f for f in V.POST_FIELDS if f != "post_id")}
         FROM (SELECT post_id FROM skeleton UNION SELECT concat('x', post_id) FROM skeleton) i
         LEFT JOIN posts p USING (post_id)""",
+    "c3_posts_with_comments": """
+        SELECT i.post_id, title, author, CASE WHEN p.post_id IS NOT NULL THEN coalesce(ids, '') END AS ids
+        FROM (SELECT post_id FROM skeleton UNION SELECT concat('x', post_id) FROM skeleton) i
+        LEFT JOIN posts p USING (post_id)
+        LEFT JOIN (SELECT post_id, string_agg(comment_id, ',' ORDER BY "position") AS ids FROM positions
+                   GROUP BY post_id) c USING (post_id)""",
     "c4_with_comments": nested("SELECT * FROM skeleton JOIN positions USING (comment_id, post_id)"),
     "c4_with_comments_in_parts": nested("SELECT * FROM skeleton JOIN positions USING (comment_id, post_id)", 4),
     "c5_partial_comments": nested("""
@@ -443,6 +449,19 @@ ORACLES = {
     "f5_step_of": """
         SELECT CAST(epoch AS BIGINT) AS epoch, pair_id, "position" // 8 // 16 AS step FROM pair_positions
         WHERE epoch = 0""",
+    "generative_batches": f"""
+        SELECT CAST(epoch AS BIGINT) AS epoch, batch, row_id, {array_columns(padded('ids', 'longest', 0), 'ids')},
+            {array_columns(padded('labels', 'longest', -100), 'labels')},
+            {array_columns(mask('ids', 'longest'), 'attention_mask')}
+        FROM (SELECT *, max(len(ids)) OVER (PARTITION BY epoch, batch) AS longest
+              FROM (SELECT row_id, epoch, ids,
+                        list_transform(ids, lambda x, i: CASE WHEN i > coalesce(place + 1, len(ids)) THEN x ELSE -100 END)
+                            AS labels,
+                        (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('42:', epoch, ':', row_id)), row_id)
+                            - 1) // 4 AS batch
+                    FROM chat_marks JOIN shuffled_rationales s USING (row_id), (SELECT unnest([0, 1]) AS epoch) e
+                    WHERE s.split = 'train') b
+              QUALIFY count(*) OVER (PARTITION BY epoch, batch) = 4) l""",
     "r4_pair_metrics": """
         SELECT count(*) AS pairs, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
             round(avg(ln(1 + exp(-m))), 6) AS mean_loss

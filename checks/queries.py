@@ -18,7 +18,7 @@ from prefweave.functions import arrays, text
 from prefweave.operators import batches, chat, forum, rehydrate, reward, sampling, tokens, trees
 from prefweave.plans.rehydration import rehydrate as rehydrate_pairs
 from prefweave.plans.rehydration import rehydration_report
-from prefweave.plans.training_data import prepare_pairs
+from prefweave.plans.training_data import chat_batches, prepare_pairs
 from prefweave.sources import csv_edge, sinks, tables
 
 LLAMA, OTHER = "meta-llama/Llama-3.2-1B-Instruct", "Qwen/Qwen2.5-1.5B"
@@ -241,6 +241,17 @@ def c3_posts_by_id(spark, sf):
     return longs(forum.posts_by_id(S.posts(spark, sf), known.union(unknown)), "score", "num_comments")
 
 
+@query
+def c3_posts_with_comments(spark, sf):
+    known = S.skeleton(spark, sf).select("post_id")
+    unknown = known.select(F.concat(F.lit("x"), F.col("post_id")).alias("post_id"))
+    found = trees.posts_with_comments_by_id(
+        S.posts(spark, sf, counted=False), S.skeleton(spark, sf), known.union(unknown)
+    )
+    ids = F.array_join(F.transform("comments", lambda c: c["comment_id"]), ",")
+    return found.select("post_id", "title", "author", ids.alias("ids"))
+
+
 def _nested(df: DataFrame) -> DataFrame:
     ids = F.transform("comments", lambda c: c["comment_id"])
     bodies = F.transform("comments", lambda c: F.concat_ws("|", c["body"], c["author"], c["parent_id"]))
@@ -552,11 +563,16 @@ def t7_prepared_sizes(spark, sf):
 
 def _encoded_chat(spark, sf):
     """Verdict-only chat rows as ids, and the two ids that mark where the answer begins."""
-    words = vocab(spark, sf)
     examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=False, keep=("row_id",))
+    words, tag = _words_and_marker(spark, sf)
+    return tokens.encode(examples, "row_id", "text", words), tag
+
+
+def _words_and_marker(spark, sf):
+    words = vocab(spark, sf)
     marker = {row["token"]: row["id"] for row in words.filter("token IN ('assistant', 'preferred')").collect()}
     tag = [marker.get(word, tokens.UNKNOWN_ID) for word in ("assistant", "preferred")]
-    return tokens.encode(examples, "row_id", "text", words), tag
+    return words, tag
 
 
 @query
@@ -617,6 +633,15 @@ def f5_step_of(spark, sf):
     return longs(plan.select("epoch", "pair_id", arrays.step_of(F.col("batch"), 16).alias("step")), "epoch")
 
 
+@query
+def generative_batches(spark, sf):
+    train, _ = chat.sft_splits(S.rationales(spark, sf), LLAMA, cot=False, keep=("row_id",))
+    words, tag = _words_and_marker(spark, sf)
+    rows = chat_batches(train, words, tag, batch_size=4, epochs=2)
+    columns = [c for name in ("ids", "labels", "attention_mask") for c in array_columns(F.col(name), name)]
+    return longs(rows.select("epoch", "batch", "row_id", *columns), "epoch")
+
+
 # --- reward model
 
 

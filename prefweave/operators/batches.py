@@ -50,15 +50,20 @@ def training_plan(df: DataFrame, batch: int, devices: int = 1, target: int = V.T
     )
 
 
-def pad_to_batch(batches: DataFrame, column: str, pad_with: int, side: str = "right") -> DataFrame:
-    """F4. Pad the ids in `column` to the longest row of their batch and add the `attention_mask`.
+def pad_to_batch(
+    batches: DataFrame, column: str, pad_with: int, side: str = "right", labels: str | None = None
+) -> DataFrame:
+    """F4. Pad the ids in `column` to the longest row of their batch and add the `attention_mask`; `labels` names a
+    column of labels to pad along, with places the loss ignores.
 
     A batch is as small as one training step takes, so it fits in a task.
     """
     window = Window.partitionBy("epoch", "batch")
-    return (
-        batches.withColumn("_longest", F.max(F.size(column)).over(window))
-        .withColumn("attention_mask", attention_mask(F.col(column), F.col("_longest"), side))
-        .withColumn(column, pad(F.col(column), F.col("_longest"), pad_with, side))
-        .drop("_longest")
-    )
+    longest = F.col("_longest")
+    padded = {
+        "attention_mask": attention_mask(F.col(column), longest, side),
+        column: pad(F.col(column), longest, pad_with, side),
+    }
+    if labels is not None:
+        padded[labels] = pad(F.col(labels), longest, V.IGNORED_LABEL, side)
+    return batches.withColumn("_longest", F.max(F.size(column)).over(window)).withColumns(padded).drop("_longest")

@@ -98,17 +98,20 @@ def search_posts(
     if terms:
         hits = hits.filter(reduce(and_, [found(title, t) | found(text, t) for t in terms]))
     if isinstance(sort, Column):
-        order = [sort.desc()]
+        ranking = [sort]
     elif sort == "relevance":
         matches = [found(field, t).cast("int") for t in terms for field in (title, text)]
-        order = [reduce(add, matches, F.lit(0)).desc(), F.desc("score")]
+        ranking = [reduce(add, matches, F.lit(0)), F.col("score")]
     elif sort == "top":
-        order = [F.desc("score")]
+        ranking = [F.col("score")]
     elif sort == "new":
-        order = [F.desc("created_utc")]
+        ranking = [F.col("created_utc")]
     else:
         raise ValueError("sort must be 'relevance', 'top', 'new' or a Column")
-    return post_record(top_k(hits, [*order, F.asc("post_id")], limit))
+    # As columns, so that the text is searched once per row and not once per comparison of the sort.
+    names = [f"_by_{i}" for i in range(len(ranking))]
+    ranked = hits.withColumns(dict(zip(names, ranking)))
+    return post_record(top_k(ranked, [*[F.desc(name) for name in names], F.asc("post_id")], limit))
 
 
 def posts_by_id(posts: DataFrame, ids: DataFrame) -> DataFrame:

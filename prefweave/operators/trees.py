@@ -190,6 +190,26 @@ def with_comments(
     )
 
 
+def posts_with_comments_by_id(
+    posts: DataFrame,
+    comments: DataFrame,
+    ids: DataFrame,
+    more: DataFrame | None = None,
+    complete: bool = True,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """C3 with C4: the wanted posts (column post_id of `ids`) with their comments; an unknown id is a null row.
+
+    Trees are built for the wanted posts only.
+    """
+    wanted = ids.select("post_id").distinct()
+    mine = comments.join(wanted, "post_id", "left_semi")
+    found = with_comments(
+        posts.join(wanted, "post_id", "left_semi"), mine, more, complete, hot_rows=hot_rows
+    )
+    return wanted.join(found, "post_id", "left").select(*found.columns)
+
+
 def replies(
     comments: DataFrame, ids: DataFrame, reply_limit: int = V.REPLY_LIMIT, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -1,14 +1,17 @@
-"""The three tokenised splits of a pairwise trainer."""
+"""Training data end to end: tokenised splits of a pairwise trainer, batches of a generative one."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
+from prefweave.functions.arrays import answer_labels
+from prefweave.operators.batches import assign_batches, drop_last, pad_to_batch
 from prefweave.operators.sampling import split_sizes, validation_sample
-from prefweave.operators.tokens import PAD_ID, VOCABULARY_SIZE, encode_pairs, pad_pairs
+from prefweave.operators.tokens import PAD_ID, VOCABULARY_SIZE, encode, encode_pairs, pad_pairs
 from prefweave.schemas import require_columns
 from prefweave.sources.sinks import cache_key, cached
 
@@ -63,3 +66,26 @@ def prepare_pairs(
         padded("validation", drawn if cache_base else encoded("validation", drawn)),
         padded("test", tokenised),
     )
+
+
+def chat_batches(
+    examples: DataFrame,
+    vocab: DataFrame,
+    tag: list[int],
+    batch_size: int,
+    epochs: int = 1,
+    key: str = "row_id",
+    max_length: int = V.MAX_LENGTH,
+    pad_with: int = PAD_ID,
+    vocab_size: int = VOCABULARY_SIZE,
+    seed: int = V.SPLIT_SEED,
+) -> DataFrame:
+    """Chat examples as the batches of a generative trainer: T1, T9, F1, F2, F4.
+
+    Texts are encoded once; the plan of batches is made on keys alone and meets the ids after the short last batch of
+    each epoch is gone. Labels start after the answer marker `tag`; rows are padded to the longest of their batch.
+    """
+    encoded = encode(examples, key, "text", vocab, max_length, vocab_size)
+    labelled = encoded.withColumn("labels", answer_labels(F.col("ids"), tag))
+    plan = drop_last(assign_batches(examples.select(key), key, batch_size, epochs, seed), batch_size)
+    return pad_to_batch(plan.join(labelled, key), "ids", pad_with, labels="labels")
