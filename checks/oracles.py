@@ -73,7 +73,7 @@ VIEWS = {
         SELECT g.doc_id AS pair_id, concat(g.lang, ':', g.doc_id) AS prompt, g.text AS chosen_story,
             b.text AS rejected_story
         FROM ranked_labels g JOIN ranked_labels b
-            ON g.quality = 1 AND b.quality = 0 AND g.lang = b.lang AND b.rank = g.rank % g.available""",
+            ON g.quality = 1 AND b.quality = 0 AND g.lang = b.lang AND b.rank = g.rank % nullif(g.available, 0)""",
     "rationales": """
         SELECT conv_id AS row_id, story_a, story_b,
             concat(CASE conv_id % 3 WHEN 0 THEN 'Reasoning: ' WHEN 1 THEN 'reasoning: ' ELSE '' END, said) AS rationale,
