@@ -400,6 +400,7 @@ ORACLES = {
     "g8_sft_splits_cot": chats(cot=True),
     "g8_sft_splits_direct": chats(cot=False),
     "t1_encode": f"SELECT doc_id, {array_columns('ids', 'ids')} FROM document_ids",
+    "t1_encode_plug_in": f"SELECT doc_id, {array_columns('ids', 'ids')} FROM document_ids",
     "t2_build_vocab": """
         SELECT * FROM vocab UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('<|endoftext|>', 2)) s""",
     "t3_pad_policies": f"""

@@ -42,8 +42,9 @@ def array_columns(ids: Column, name: str) -> list[Column]:
     return [F.size(ids).cast("bigint").alias(f"{name}_size"), fingerprint(ids).alias(f"{name}_md5")]
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rehydrate_pairs(S.pair_ids(spark, sf), S.skeleton(spark, sf), S.posts(spark, sf, counted=False))
+def pairs(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    comments = S.skeleton(spark, sf, spread)
+    return rehydrate_pairs(S.pair_ids(spark, sf), comments, S.posts(spark, sf, counted=False))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,6 +503,22 @@ def t1_encode(spark, sf):
     return encoded_documents(spark, sf).select("doc_id", *array_columns(F.col("ids"), "ids"))
 
 
+@query
+def t1_encode_plug_in(spark, sf):
+    """A tokenizer file that follows the native rules, so that its ids must be the native ones."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    # At most the vocabulary size in rows comes to the driver.
+    words = {row["token"]: row["id"] for row in vocab(spark, sf).collect()}
+    tokenizer = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    tokenizer.normalizer = normalizers.Lowercase()
+    tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(text.TOKEN_PATTERN), "removed", invert=True)
+    path = scratch_path(spark, "tokenizer")
+    spark.createDataFrame([(tokenizer.to_str(),)], "value string").coalesce(1).write.text(path)
+    encoded = tokens.encode_with_tokenizer(S.documents(spark, sf), "text", path)
+    return encoded.select("doc_id", *array_columns(F.col("ids"), "ids"))
+
+
 @query
 def t2_build_vocab(spark, sf):
     return longs(tokens.build_vocab(S.documents(spark, sf), "text"), "id")
@@ -539,13 +556,13 @@ def _token_arrays(df: DataFrame) -> DataFrame:
 
 @query
 def t6_tokenize_pairs(spark, sf):
-    return _token_arrays(tokens.tokenize_pairs(pairs(spark, sf), vocab(spark, sf)))
+    return _token_arrays(tokens.tokenize_pairs(pairs(spark, sf, spread=True), vocab(spark, sf)))
 
 
 @query
 def t7_prepare_pairs(spark, sf):
     ready = prepare_pairs(
-        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
+        S.train_pairs(spark, sf), pairs(spark, sf, spread=True), vocab(spark, sf), OTHER, source=sf,
         cache_base=scratch_path(spark, "processed"),
     )
     splits = {"train": ready.train, "val": ready.validation, "test": ready.test}
@@ -556,7 +573,7 @@ def t7_prepare_pairs(spark, sf):
 @query
 def t7_prepared_sizes(spark, sf):
     return prepare_pairs(
-        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
+        S.train_pairs(spark, sf), pairs(spark, sf, spread=True), vocab(spark, sf), OTHER, source=sf,
         cache_base=scratch_path(spark, "processed"),
     ).sizes()
 

@@ -51,11 +51,11 @@ def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
     )
 
 
-def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments without the columns that come from their post."""
+def skeleton(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Comments without the columns that come from their post; `spread` for work that is heavy per row."""
+    source = documents(spark, sf_dir) if spread else table(spark, sf_dir, "documents")
     return (
-        table(spark, sf_dir, "documents")
-        .filter("doc_id % 13 <> 0")
+        source.filter("doc_id % 13 <> 0")
         .selectExpr(
             "concat('c', doc_id) AS comment_id",
             "concat('p', doc_id div 10) AS post_id",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
@@ -104,28 +103,26 @@ def encode(
 def encode_with_tokenizer(
     df: DataFrame, column: str, tokenizer_file: str, max_length: int = V.MAX_LENGTH, name: str = "ids"
 ) -> DataFrame:
-    """T1, plug-in: ids from a pretrained tokenizer file, which each Python worker loads once.
+    """T1, plug-in: ids from a pretrained tokenizer file on storage that Spark can read.
 
-    Only the text goes to Python, in Arrow batches. Pads nothing and cuts at `max_length`.
+    The file, some megabytes, is read once and shipped as a broadcast variable; each task parses it once. Only the text
+    goes to Python, in Arrow batches. Nothing is padded; ids are cut at `max_length`.
     """
-    return df.withColumn(name, tokenizer_column(df.sparkSession, F.col(column), tokenizer_file, max_length))
-
-
-def tokenizer_column(spark: SparkSession, text: Column, tokenizer_file: str, max_length: int) -> Column:
-    spark.sparkContext.addFile(tokenizer_file)
-    file_name = tokenizer_file.rstrip("/").rsplit("/", 1)[-1]
+    spark = df.sparkSession
+    described = spark.read.text(tokenizer_file, wholetext=True).filter("length(value) > 0").first()["value"]
+    shipped = spark.sparkContext.broadcast(described)
 
     def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(SparkFiles.get(file_name))
+        tokenizer = Tokenizer.from_str(shipped.value)
         tokenizer.no_padding()
         tokenizer.enable_truncation(max_length)
         for texts in batches:
             encoded = iter(tokenizer.encode_batch(texts.dropna().tolist()))
             yield pd.Series([None if missing else next(encoded).ids for missing in texts.isna()], dtype=object)
 
-    return F.pandas_udf(encode_batches, ArrayType(IntegerType()))(text)
+    return df.withColumn(name, F.pandas_udf(encode_batches, ArrayType(IntegerType()))(F.col(column)))
 
 
 def encode_pairs(
