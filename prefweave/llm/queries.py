@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from prefweave.llm.bpe import round_trip_digests, shipped_vocabulary
 from prefweave.llm.columns import bound_batches
 from prefweave.llm.exact_dedup import exact_duplicates, normalised
+from prefweave.llm.language import fit_language_model, identified
 from prefweave.llm.license_scan import license_scan
+from prefweave.llm.pii import KINDS as PII_KINDS
+from prefweave.llm.pii import candidate_spans, decided, learn_spans
+from prefweave.llm.quality import fit_quality, quality_score
 from prefweave.llm.secret_scan import secret_spans
+from prefweave.llm.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,3 +88,54 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = shipped_vocabulary(spark, word_vocabulary())
     coded = round_trip_digests(F.col("text"), vocabulary)
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
+
+
+def held_out() -> Column:
+    """Rows that nothing may be learned from: crc32 of the id leaves 2 when divided by 4. Null ids are not among them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from trusted positives and unlabelled documents."""
+    bound_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trusted = (
+        labels.filter(F.col("doc_id").isNotNull() & ~held_out())
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .filter("quality = 1").select("doc_id")
+    )
+    model = fit_quality(docs.select("doc_id", "text").filter(~held_out()), trusted)
+    shipped = spark.sparkContext.broadcast(model)
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality_score(F.col("text"), shipped).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.select("doc_id", "text", "lang").filter(~held_out()))
+    shipped = spark.sparkContext.broadcast(model)
+    found = docs.select("doc_id", held_out().alias("held_out"), identified(F.col("text"), shipped).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.rejected")
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = written(docs.select("doc_id", candidate_spans(F.col("text")).alias("c")).select("doc_id", "c.*"))
+    spans = decided(found, learn_spans(found)).withColumn("base", F.filter("spans", lambda s: s["strict"]))
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return spans.select(
+        "doc_id",
+        *[count_of(F.col("base.kind"), kind).alias(f"n_{kind}") for kind in PII_KINDS],
+        sha(joined("base")).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
