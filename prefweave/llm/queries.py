@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.bpe import round_trip_digests, shipped_vocabulary
 from prefweave.llm.columns import bound_batches
+from prefweave.llm.decontaminate import contamination
 from prefweave.llm.exact_dedup import exact_duplicates, normalised
 from prefweave.llm.language import fit_language_model, identified
 from prefweave.llm.license_scan import license_scan
@@ -139,3 +140,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha(joined("base")).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found.*")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        sha(F.array_join("items", ",")).alias("items_sha256"),
+        "contaminated",
+    )
