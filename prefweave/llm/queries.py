@@ -13,6 +13,7 @@ from prefweave.llm.decontaminate import contamination
 from prefweave.llm.exact_dedup import exact_duplicates, normalised
 from prefweave.llm.language import fit_language_model, identified
 from prefweave.llm.license_scan import license_scan
+from prefweave.llm.near_dedup import near_duplicates
 from prefweave.llm.pii import KINDS as PII_KINDS
 from prefweave.llm.pii import candidate_spans, decided, learn_spans
 from prefweave.llm.quality import fit_quality, quality_score
@@ -156,3 +157,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha(F.array_join("items", ",")).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    bound_batches(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
