@@ -16,7 +16,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = links  # (a, b) with b < a: the smaller neighbours
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    least = least.withColumn("least", F.least("node", "least"))
+    # Written, so that the join reads two plain tables: the engine can then split a node with very many neighbours.
+    least = written(least.withColumn("least", F.least("node", "least")))
     joined = both.join(least, F.col("a") == F.col("node"))
     if large:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -56,7 +56,8 @@ def exact_duplicates(
     )
     # The largest struct is the row that stays: most code points, then smallest id, then first row.
     best = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r")))
-    groups = placed.groupBy(F.col("_full").alias("_key")).agg(F.count("*").alias("group_size"), best.alias("_best"))
+    # Written, so that the join below reads two plain tables, whose hot keys the engine can split.
+    groups = written(placed.groupBy(F.col("_full").alias("_key")).agg(F.count("*").alias("group_size"), best.alias("_best")))
     return placed.join(groups, F.col("_full") == F.col("_key")).select(
         F.col("_id").alias(id_column),
         F.col("_best.i").alias("keep_id"),

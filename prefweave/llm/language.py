@@ -166,7 +166,8 @@ def identified(text: Column, model) -> Column:
     """`lang`, its calibrated probability `score`, and `rejected`, by a broadcast LanguageModel.
 
     `und` with score 0, rejected, for null texts and texts without a letter; every other text gets the likeliest learned
-    label, and is rejected if its score is below the calibrated threshold. Ties go to the first label in sorted order.
+    label, and is rejected if its score is below the calibrated threshold. Ties go to the first label in sorted order. Under
+    a model that knows no language every text is `und`, and only texts without a letter are rejected.
     """
 
     def make():
@@ -175,7 +176,7 @@ def identified(text: Column, model) -> Column:
         def identify(texts: list[str]) -> list:
             known = [bool(m.languages) and has_letter(t) for t in texts]
             if not m.languages:
-                return [[UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)]
+                return [[UNKNOWN] * len(texts), [0.0] * len(texts), [not has_letter(t) for t in texts]]
             buckets, begins = subword_buckets(texts)
             places = np.diff(np.concatenate([begins, [buckets.shape[1]]]))
             total = np.zeros((len(texts), len(m.languages)))

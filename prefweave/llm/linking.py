@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefweave.llm.components import components
+from prefweave.llm.sieve import bitmap_of, sifted
 from prefweave.llm.storage import written
 
 # Members of a group that one task compares with the rest of the group.
@@ -28,10 +29,13 @@ def star_pairs(members: DataFrame) -> DataFrame:
     `center` is the hash of that member's node. Rows stay narrow, and a group of any size is only counted and joined to one
     row, so nothing gathers it.
     """
-    centers = members.groupBy("key").agg(F.min(_pick()).alias("_least"), F.count("*").alias("_size")).filter("_size > 1")
+    counted = members.groupBy("key").agg(F.min(_pick()).alias("_least"), F.count("*").alias("_size"))
+    centers = written(counted.filter("_size > 1"))
     center = F.col("_least").bitwiseXOR(F.col("key"))
+    # Most groups have one member: a bitmap of the others lets few rows through to the join.
     return (
-        members.join(centers, "key")
+        sifted(members, F.col("key"), bitmap_of(centers, "key"))
+        .join(centers, "key")
         .select("node", center.alias("center"))
         .filter(F.xxhash64("node") != F.col("center"))
         .distinct()
@@ -58,7 +62,8 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, lik
     groups = parts.groupBy("key").agg(
         F.sum("count").alias("_size"), F.count("*").alias("_parts"), F.max(F.struct("count", "label"))["label"].alias("_largest")
     )
-    open_ = groups.filter((F.col("_parts") > 1) & (F.col("_size") > 2))
+    open_ = written(groups.filter((F.col("_parts") > 1) & (F.col("_size") > 2)))
+    labelled = sifted(labelled, F.col("key"), bitmap_of(open_, "key"))
     chunks = F.ceil(F.col("_size") / CHUNK).cast("int")
     rows = written(
         labelled.join(open_, "key").select(

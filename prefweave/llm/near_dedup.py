@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labels, _ = linked(members, nodes, _likely, verify)
     places = sets.select("node", "_id").join(labels, "node", "left").select("node", "_id", F.coalesce("label", "node").alias("_label"))
     least = places.groupBy("_label").agg(F.min("_id").alias("component_id"))
-    told = places.join(least, "_label").select(F.col("node").alias("_node"), "component_id")
+    told = written(places.join(least, "_label").select(F.col("node").alias("_node"), "component_id"))
     # Rows without words have one node for all of them: spread over tasks, as they match nothing.
     spread = F.when(F.col("n") > 0, F.col("node")).otherwise(F.encode(F.concat(F.lit("none:"), F.xxhash64("_id").cast("string")), "UTF-8"))
     placed = rows.withColumn("_key", spread).join(told, F.col("_key") == F.col("_node"), "left")

@@ -13,6 +13,7 @@ from prefweave.llm.decontaminate import contamination
 from prefweave.llm.exact_dedup import exact_duplicates, normalised
 from prefweave.llm.language import fit_language_model, identified
 from prefweave.llm.license_scan import license_scan
+from prefweave.llm.line_dedup import line_duplicates
 from prefweave.llm.near_dedup import near_duplicates
 from prefweave.llm.pii import KINDS as PII_KINDS
 from prefweave.llm.pii import candidate_spans, decided, learn_spans
@@ -164,3 +165,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     bound_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that an earlier occurrence makes needless."""
+    bound_batches(spark)
+    found = line_duplicates(table(spark, sf_dir, "documents"))
+    n_dropped = F.size("dropped").cast("bigint")
+    return found.select(
+        "doc_id", "n_lines", (F.col("n_lines") - n_dropped).alias("n_kept"), n_dropped.alias("n_dropped"),
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
+    )

@@ -40,3 +40,11 @@ def marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
 def sifted(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     """The rows that `marked` marks: run before a join or semi-join, so that few wide rows are shuffled for it."""
     return marked(rows, key, bitmap, "_may").filter("_may").drop("_may")
+
+
+def without(rows: DataFrame, key: Column, dropped: DataFrame, column: str) -> DataFrame:
+    """The rows whose key is not among `dropped`: those that the bitmap lets pass freely are not shuffled for it."""
+    tagged = marked(rows, key, bitmap_of(dropped, column), "_may")
+    gone = dropped.select(F.col(column).alias("_gone"))
+    doubtful = tagged.filter("_may").join(gone, key == F.col("_gone"), "left_anti")
+    return tagged.filter(~F.col("_may")).union(doubtful).drop("_may")
