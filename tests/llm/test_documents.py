@@ -5,11 +5,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import connect, difference
 from prefweave.llm import linking
+from prefweave.llm import near_dedup as N
 from prefweave.llm.components import components
 from prefweave.llm.decontaminate import contamination
 from prefweave.llm.exact_dedup import exact_duplicates
@@ -103,10 +105,10 @@ def test_linked_finds_every_link_between_parts(spark, monkeypatch):
     n = 24
     true = {(a, b) for a in range(n) for b in range(a) if random.random() < 0.06}
     node = lambda i: f"n{i:02d}"
-    members = spark.createDataFrame([(7, node(i)) for i in range(n)] + [(8, node(i)) for i in range(0, n, 5)], "key bigint, node string")
-    nodes = spark.createDataFrame([(node(i), i) for i in range(n)], "node string, i int")
+    keys = [[7, 8] if i % 5 == 0 else [7] for i in range(n)]
+    nodes = spark.createDataFrame([(node(i), keys[i], i) for i in range(n)], "node string, keys array<bigint>, i int")
     links = spark.createDataFrame([(node(a), node(b)) for a, b in true], "a string, b string")
-    labels, _ = linking.linked(members, nodes, lambda x, y: F.lit(True), lambda pairs: pairs.join(links, ["a", "b"]))
+    labels, _ = linking.linked(nodes, lambda x, y: F.lit(True), lambda pairs: pairs.join(links, ["a", "b"]))
     got = {r["node"]: r["label"] for r in labels.collect()}
     label = list(range(n))
     for _ in range(n):
@@ -127,6 +129,22 @@ def test_odd_bits_estimate_similarity():
     assert abs(estimated_similarity(128 * (1 - (1 - 2 / 256) ** 64)) - 0.75) < 0.01
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """Sets at 0.75 differ by far fewer odd bits than the bounds allow, at either size of sketch."""
+    rng = np.random.default_rng(6)
+    kinds = ((N.MULTIPLIERS, N.SKETCH_BITS, N.MOST_ODD_BITS), (N.SHARP_MULTIPLIERS, N.SHARP_BITS, N.SHARP_MOST_ODD_BITS))
+    for multipliers, bits, most in kinds:
+        odd = []
+        for _ in range(40):
+            pool = rng.integers(0, 1 << 64, 400, np.uint64)
+            values = np.concatenate([pool[:350], pool[50:]])
+            sketches = N.odd_sketches(N.signatures(values, np.array([0, 350]), multipliers), bits)
+            odd.append(int(np.bitwise_count(sketches[0] ^ sketches[1]).sum()))
+        assert np.mean(odd) + 5 * np.std(odd) < most * 1.08
+        assert max(odd) < most
+        assert abs(N.estimated_similarity(np.mean(odd), len(multipliers), bits) - 0.75) < 0.03
+
+
 def test_sieve_lets_all_keys_through(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 11 > 0, F.col("id")).alias("k"))
     wanted = rows.filter("id % 7 = 0").select("k")
