@@ -17,7 +17,7 @@ def text_literal(value: str) -> str:
 
 SPACES = text_literal(V.WHITESPACE)
 NULL_WORDS = ", ".join(text_literal(word) for word in V.CSV_NULL_WORDS)
-TOKENS = r"regexp_extract_all(lower({}), '\p{{L}}+|\p{{N}}+')"
+TOKENS = r"regexp_extract_all(lower({}), '\p{{L}}+|\p{{N}}+|[^\p{{L}}\p{{N}}\p{{Z}}\p{{C}}]')"
 
 # Named subqueries; a query gets those it mentions, and those they mention.
 VIEWS = {
@@ -117,8 +117,7 @@ VIEWS = {
     "vocab": f"""
         SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
         FROM (SELECT token, count(*) AS n
-              FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) t GROUP BY token) c
-        QUALIFY id <= 32002""",
+              FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) t GROUP BY token) c""",
     "document_ids": f"""
         SELECT doc_id, coalesce(list(coalesce(id, 1) ORDER BY place) FILTER (place IS NOT NULL), []) AS ids
         FROM (SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS place
@@ -132,11 +131,11 @@ VIEWS = {
               FROM (SELECT row_id, {TOKENS.format('text')}[1:2048] AS words FROM direct_short) w) t
         LEFT JOIN vocab USING (token) GROUP BY row_id""",
     "chat_marks": """
-        SELECT row_id, ids, list_max(list_filter(generate_series(1, len(ids)), lambda i:
-            ids[i] = first_id AND ids[i + 1] = second_id)) AS place
+        SELECT row_id, ids, list_max(list_filter(generate_series(1, len(ids)), lambda i: ids[i : i + 4] = marker)) AS place
         FROM chat_ids, (
-            SELECT coalesce(max(id) FILTER (token = 'assistant'), 1) AS first_id,
-                coalesce(max(id) FILTER (token = 'preferred'), 1) AS second_id FROM vocab) m""",
+            SELECT list(coalesce(id, 1) ORDER BY k) AS marker
+            FROM (VALUES (1, '#'), (2, '#'), (3, '#'), (4, 'assistant'), (5, ':')) m(k, token)
+            LEFT JOIN vocab USING (token)) m""",
     "shuffled_rationales": """
         SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id)
             <= ceil((SELECT count(*) FROM rationales) * CAST(0.05 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
@@ -399,8 +398,8 @@ ORACLES = {
         FROM noisy_rationales WHERE {VALID}""",
     "g8_sft_splits_cot": chats(cot=True),
     "g8_sft_splits_direct": chats(cot=False),
-    "t1_encode": f"SELECT doc_id, {array_columns('ids', 'ids')} FROM document_ids",
-    "t1_encode_plug_in": f"SELECT doc_id, {array_columns('ids', 'ids')} FROM document_ids",
+    "t1_encode": f"""SELECT doc_id, {array_columns('ids', 'ids')}, CAST(0 AS BIGINT) AS unknown FROM document_ids""",
+    "t1_encode_by_join": f"SELECT doc_id, {array_columns('ids', 'ids')} FROM document_ids",
     "t2_build_vocab": """
         SELECT * FROM vocab UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('<|endoftext|>', 2)) s""",
     "t3_pad_policies": f"""
@@ -416,18 +415,24 @@ ORACLES = {
         token_arrays(table, f", '{split}' AS split")
         for table, split in (("train_pairs", "train"), ("drawn", "val"), ("pairs", "test"))
     ),
+    "t7_two_vocabularies": f"""
+        SELECT v.name AS vocabulary, t.pair_id, {joined_md5(padded('v_ids', '2048', 0))} AS input_ids_chosen
+        FROM (SELECT pair_id, ids FROM train_pairs_chosen_ids) t,
+            (VALUES ('full', CAST(2147483647 AS BIGINT)), ('small', 10)) v(name, most),
+            LATERAL (SELECT list_transform(t.ids, lambda x: CASE WHEN x < v.most THEN x ELSE 1 END) AS v_ids) l""",
     "t7_prepared_sizes": """
         SELECT 'train' AS split, count(*) AS "rows" FROM train_pairs
         UNION ALL SELECT 'validation', least(500, count(*)) FROM pair_ids
         UNION ALL SELECT 'test', count(*) FROM pair_ids""",
     "t8_find_marker": "SELECT row_id, CAST(place AS BIGINT) AS place FROM chat_marks",
     "t9_answer_labels": f"""
-        SELECT row_id, {array_columns("list_transform(ids, lambda x, i: CASE WHEN i > coalesce(place + 1, len(ids)) "
+        SELECT row_id, {array_columns("list_transform(ids, lambda x, i: CASE WHEN i > coalesce(place + 4, len(ids)) "
         "THEN x ELSE -100 END)", "labels")} FROM chat_marks""",
     "t10_truncation_report": f"""
         SELECT count(*) AS total_rows, count(*) FILTER (text IS NULL) AS rows_without_text,
             count(*) FILTER (len(words) > 512) AS rows_cut,
-            count(*) FILTER (NOT list_contains(words[1:512], 'assistant')) AS rows_without_marker
+            count(*) FILTER (len(list_filter(generate_series(1, least(len(words), 508)),
+                lambda i: words[i : i + 4] = ['#', '#', '#', 'assistant', ':'])) = 0) AS rows_without_marker
         FROM (SELECT text, {TOKENS.format('text')} AS words
               FROM (SELECT {chat_text(LLAMA, cot=True)} AS text FROM rationales WHERE {VALID}) c) w""",
     "f1_assign_batches": """
@@ -456,7 +461,7 @@ ORACLES = {
             {array_columns(mask('ids', 'longest'), 'attention_mask')}
         FROM (SELECT *, max(len(ids)) OVER (PARTITION BY epoch, batch) AS longest
               FROM (SELECT row_id, epoch, ids,
-                        list_transform(ids, lambda x, i: CASE WHEN i > coalesce(place + 1, len(ids)) THEN x ELSE -100 END)
+                        list_transform(ids, lambda x, i: CASE WHEN i > coalesce(place + 4, len(ids)) THEN x ELSE -100 END)
                             AS labels,
                         (row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('42:', epoch, ':', row_id)), row_id)
                             - 1) // 4 AS batch

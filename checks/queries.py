@@ -500,22 +500,14 @@ def encoded_documents(spark, sf):
 
 @query
 def t1_encode(spark, sf):
-    return encoded_documents(spark, sf).select("doc_id", *array_columns(F.col("ids"), "ids"))
+    """With its own vocabulary, which knows every word: no id is the unknown one."""
+    unknown = F.size(F.filter("ids", lambda i: i == tokens.UNKNOWN_ID)).cast("bigint").alias("unknown")
+    return encoded_documents(spark, sf).select("doc_id", *array_columns(F.col("ids"), "ids"), unknown)
 
 
 @query
-def t1_encode_plug_in(spark, sf):
-    """A tokenizer file that follows the native rules, so that its ids must be the native ones."""
-    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
-
-    # At most the vocabulary size in rows comes to the driver.
-    words = {row["token"]: row["id"] for row in vocab(spark, sf).collect()}
-    tokenizer = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
-    tokenizer.normalizer = normalizers.Lowercase()
-    tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(text.TOKEN_PATTERN), "removed", invert=True)
-    path = scratch_path(spark, "tokenizer")
-    spark.createDataFrame([(tokenizer.to_str(),)], "value string").coalesce(1).write.text(path)
-    encoded = tokens.encode_with_tokenizer(S.documents(spark, sf), "text", path)
+def t1_encode_by_join(spark, sf):
+    encoded = tokens.encode_by_join(S.documents(spark, sf), "doc_id", "text", vocab(spark, sf))
     return encoded.select("doc_id", *array_columns(F.col("ids"), "ids"))
 
 
@@ -570,6 +562,21 @@ def t7_prepare_pairs(spark, sf):
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+@query
+def t7_two_vocabularies(spark, sf):
+    """One cache, one source, two vocabularies: each gets ids of its own."""
+    base, train = scratch_path(spark, "processed"), S.train_pairs(spark, sf)
+    full = vocab(spark, sf)
+    small = full.filter(F.col("id") < 10)
+    found = [
+        prepare_pairs(train, train, words, OTHER, source=sf, cache_base=base).train.select(
+            F.lit(name).alias("vocabulary"), "pair_id", fingerprint(F.col("input_ids_chosen")).alias("input_ids_chosen")
+        )
+        for name, words in (("full", full), ("small", small))
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query
 def t7_prepared_sizes(spark, sf):
     return prepare_pairs(
@@ -579,7 +586,7 @@ def t7_prepared_sizes(spark, sf):
 
 
 def _encoded_chat(spark, sf):
-    """Verdict-only chat rows as ids, and the two ids that mark where the answer begins."""
+    """Verdict-only chat rows as ids, and the ids of the marker after which the answer begins."""
     examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=False, keep=("row_id",))
     words, tag = _words_and_marker(spark, sf)
     return tokens.encode(examples, "row_id", "text", words), tag
@@ -587,9 +594,7 @@ def _encoded_chat(spark, sf):
 
 def _words_and_marker(spark, sf):
     words = vocab(spark, sf)
-    marker = {row["token"]: row["id"] for row in words.filter("token IN ('assistant', 'preferred')").collect()}
-    tag = [marker.get(word, tokens.UNKNOWN_ID) for word in ("assistant", "preferred")]
-    return words, tag
+    return words, tokens.marker_ids(words)
 
 
 @query

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
 
-TOKEN_PATTERN = r"\p{L}+|\p{N}+"
+# Runs of letters, runs of digits, and every other character by itself, but for blanks and control characters.
+TOKEN_PATTERN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\p{Z}\p{C}]"
 
 
 def strip(text: Column) -> Column:
@@ -68,10 +71,15 @@ def rationale_text(rationale: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and runs of digits, in order; null for null text."""
+    """Lower-case runs of letters, runs of digits, and single signs, in order; null for null text."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def token_list(text: str) -> list[str]:
+    """The same for a plain ASCII string of the driver, such as a marker."""
+    return re.findall(r"[a-z]+|[0-9]+|[!-/:-@\[-`{-~]", text.lower())
+
+
 def python_bool_text(flag: Column) -> Column:
     """A boolean the way pandas writes it to CSV."""
     return F.when(flag, "True").when(~flag, "False")

@@ -165,3 +165,16 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str)
         )
         .select(*df.columns, name)
     )
+
+
+def rank_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the zero-based rank of each row in the whole table, without one task seeing all rows. `order` must be total."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    # One row per partition meets in this window.
+    earlier = F.sum("count").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy(F.col("_part").alias("_of")).count()
+    offsets = counts.select("_of", F.coalesce(earlier, F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    ranked = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    return ranked.withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset")).select(*df.columns, name)

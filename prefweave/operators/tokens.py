@@ -4,40 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from prefweave import fixed_values as V
 from prefweave.functions.arrays import attention_mask, find_subsequence, pad
-from prefweave.functions.text import tokens
-from prefweave.operators.skew import HOT_ROWS, lookup, top_k
+from prefweave.functions.text import token_list, tokens
+from prefweave.operators.skew import rank_rows, top_k
 
 # Reserved ids; words start after them.
 PAD_ID, UNKNOWN_ID, END_OF_TEXT_ID = 0, 1, 2
 SPECIAL_TOKENS = {"[PAD]": PAD_ID, "[UNK]": UNKNOWN_ID, "<|endoftext|>": END_OF_TEXT_ID}
 
-VOCABULARY_SIZE = 32_000
-# A vocabulary of up to this many entries is broadcast; a larger one is joined by shuffle.
-BROADCAST_VOCABULARY = 1_000_000
+# Bytes of tokens that `encode` ships to every task at most; a larger vocabulary is joined by `encode_by_join`.
+SHIPPED_BYTES = 256 << 20
 
 
-def build_vocab(df: DataFrame, column: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """T2. (token, id) of the special tokens and the `size` most frequent tokens; ties go by token.
+def build_vocab(df: DataFrame, column: str, size: int | None = None) -> DataFrame:
+    """T2. (token, id) of the special tokens and of every token, or of the `size` most frequent ones.
 
-    Counting combines on the map side, so frequent tokens are no hot keys.
+    Ids follow frequency, the most frequent first; ties go by token. Counting combines on the map side, so frequent tokens
+    are no hot keys, and ranks are given without one task seeing all tokens.
     """
     counts = df.select(F.explode(tokens(F.col(column))).alias("token")).groupBy("token").count()
-    frequent = top_k(counts, [F.desc("count"), F.asc("token")], size)
-    # At most `size` rows are left to number.
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token")))
-    words = frequent.select("token", (rank + (len(SPECIAL_TOKENS) - 1)).cast("int").alias("id"))
+    if size is None:
+        words = rank_rows(counts.select((-F.col("count")).alias("rarity"), "token"), ["rarity", "token"], "place")
+    else:
+        frequent = top_k(counts, [F.desc("count"), F.asc("token")], size)
+        # At most `size` rows are left to number.
+        words = frequent.withColumn("place", F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token"))) - 1)
+    words = words.select("token", (F.col("place") + len(SPECIAL_TOKENS)).cast("int").alias("id"))
     special = df.sparkSession.createDataFrame(list(SPECIAL_TOKENS.items()), "token string, id int")
     return special.unionByName(words)
 
 
+def marker_ids(vocab: DataFrame, marker: str = V.RESPONSE_MARKER) -> list[int]:
+    """The ids of the words and signs of `marker`: what says in an encoded text that the answer begins.
+
+    Only the few tokens of the marker come to the driver; one that the vocabulary lacks is unknown here as in the text.
+    """
+    wanted = token_list(marker)
+    known = {r["token"]: r["id"] for r in vocab.filter(F.col("token").isin(wanted)).collect()}
+    return [known.get(word, UNKNOWN_ID) for word in wanted]
+
+
 def pad_id(policy: str, pad: int | None = None, end_of_text: int = END_OF_TEXT_ID, added: int = PAD_ID) -> int:
     """T3. The id to pad with. A tokenizer's own `pad` id wins; without one, the pairwise trainer takes the
     end-of-text id (`end_of_text`) and the generative trainer an `added` [PAD] id (`add`)."""
@@ -50,117 +64,89 @@ def pad_id(policy: str, pad: int | None = None, end_of_text: int = END_OF_TEXT_I
     raise ValueError("policy must be 'end_of_text' or 'add'")
 
 
-def _with_ids(places: DataFrame, vocab: DataFrame, vocab_size: int, row_id: list[str], hot_rows: int) -> DataFrame:
-    """Add the vocabulary id of each `_token` as `_id`.
+class Vocabulary:
+    """The words of a vocabulary, shipped to the tasks once: give it to `encode` to use it for several texts."""
 
-    Ids are dense ranks, so cutting at `vocab_size` keeps a vocabulary of that size whole and bounds what is
-    broadcast. Beyond the bound the frequent tokens are split over tasks instead.
-    """
-    kept = vocab.filter(F.col("id") < vocab_size + len(SPECIAL_TOKENS))
-    words = kept.select(F.col("token").alias("_word"), F.col("id").alias("_id"))
-    if vocab_size <= BROADCAST_VOCABULARY:
-        return places.join(F.broadcast(words), F.col("_token") == F.col("_word"), "left")
-    return lookup(places, "_token", words, "_word", row_id, hot_rows=hot_rows)
+    def __init__(self, vocab: DataFrame, limit: int = SHIPPED_BYTES):
+        size = vocab.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
+        if size > limit:
+            raise ValueError(f"a vocabulary of {size} bytes is not shipped to every task; use encode_by_join")
+        # One row per word, and not more bytes than `limit`.
+        rows = vocab.toPandas()
+        self.shipped = vocab.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["id"].to_numpy(np.int32)))
 
+    def ids(self, words: Column) -> Column:
+        """An array of words as ids, null for null: looked up in whole Arrow batches, without leaving the row."""
+        shipped, unknown = self.shipped, UNKNOWN_ID
 
-# A place and an id share one bigint, place above id, which sorts and moves at a quarter of a struct's size.
-_PLACE = 1 << 32
+        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known, numbers = shipped.value
+            known = pa.array(known, pa.string())
+            for batch in batches:
+                flat = batch.flatten().cast(pa.string())
+                place = pc.index_in(flat, known)
+                found = np.where(
+                    pc.is_valid(place).to_numpy(zero_copy_only=False),
+                    numbers[pc.fill_null(place, 0).to_numpy()] if len(numbers) else unknown,
+                    unknown,
+                ).astype(np.int32)
+                sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found), mask=pc.is_null(batch))
 
+        return F.arrow_udf(look_up, "array<int>")(words)
 
-def _collect_ids(known: Column) -> Column:
-    """Ids in order of their place, for the rows where `known` holds."""
-    entry = F.col("_place") * F.lit(_PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
-    listed = F.array_sort(F.collect_list(F.when(known & F.col("_place").isNotNull(), entry)))
-    return F.transform(listed, lambda e: (e % F.lit(_PLACE)).cast("int"))
 
+def _vocabulary(vocab: DataFrame | Vocabulary) -> Vocabulary:
+    return vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
 
-def encode(
-    df: DataFrame,
-    key: str,
-    column: str,
-    vocab: DataFrame,
-    max_length: int = V.MAX_LENGTH,
-    vocab_size: int = VOCABULARY_SIZE,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+
+def encode(df: DataFrame, key: str, column: str, vocab: DataFrame | Vocabulary, max_length: int = V.MAX_LENGTH) -> DataFrame:
     """T1. (key, ids) with at most `max_length` ids per row; null for null text, empty for text without tokens.
 
-    `key` is unique. Texts are cut to `max_length` tokens before they are exploded. The tokens of a row lie in one
-    task, where they are put together again before the shuffle, so that one short array per row moves.
+    The tokens of a row stay in it: nothing is exploded or shuffled. Every word of the vocabulary counts.
     """
-    text = F.col(column)
-    places = df.select(
-        key,
-        text.isNull().alias("_null"),
-        F.posexplode_outer(F.slice(tokens(text), 1, max_length)).alias("_place", "_token"),
-    )
-    found = _with_ids(places, vocab, vocab_size, [key, "_place"], hot_rows)
-    return found.groupBy(key, "_null").agg(_collect_ids(F.lit(True)).alias("ids")).select(
-        key, F.when(~F.col("_null"), F.col("ids")).alias("ids")
-    )
+    words = F.slice(tokens(F.col(column)), 1, max_length)
+    return df.select(key, _vocabulary(vocab).ids(words).alias("ids"))
 
 
-def encode_with_tokenizer(
-    df: DataFrame, column: str, tokenizer_file: str, max_length: int = V.MAX_LENGTH, name: str = "ids"
-) -> DataFrame:
-    """T1, plug-in: ids from a pretrained tokenizer file on storage that Spark can read.
-
-    The file, some megabytes, is read once and shipped as a broadcast variable; each task parses it once. Only the text
-    goes to Python, in Arrow batches. Nothing is padded; ids are cut at `max_length`.
-    """
-    spark = df.sparkSession
-    described = spark.read.text(tokenizer_file, wholetext=True).filter("length(value) > 0").first()["value"]
-    shipped = spark.sparkContext.broadcast(described)
+# A place and an id share one bigint, place above id, which sorts and moves at a quarter of a struct's size.
+_PLACE = 1 << 32
 
-    def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(shipped.value)
-        tokenizer.no_padding()
-        tokenizer.enable_truncation(max_length)
-        for texts in batches:
-            encoded = iter(tokenizer.encode_batch(texts.dropna().tolist()))
-            yield pd.Series([None if missing else next(encoded).ids for missing in texts.isna()], dtype=object)
+def encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: int = V.MAX_LENGTH) -> DataFrame:
+    """As `encode`, for a vocabulary too large to ship: words meet it in a join. `key` is unique.
 
-    return df.withColumn(name, F.pandas_udf(encode_batches, ArrayType(IntegerType()))(F.col(column)))
+    Each task first joins its own distinct words, so that a frequent word is no hot key; ids then go back by word.
+    """
+    places = df.select(key, F.posexplode(F.slice(tokens(F.col(column)), 1, max_length)).alias("_place", "_token"))
+    found = places.select("_token").distinct().join(vocab, F.col("_token") == F.col("token")).select(
+        F.col("token").alias("_word"), F.col("id").alias("_id")
+    )
+    entry = F.col("_place") * F.lit(_PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
+    listed = (
+        places.join(found, F.col("_token") == F.col("_word"), "left")
+        .groupBy(F.col(key).alias("_of"))
+        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: (e % F.lit(_PLACE)).cast("int")).alias("_ids"))
+    )
+    empty = F.array().cast("array<int>")
+    joined = df.select(key, F.col(column).isNull().alias("_null")).join(listed, F.col(key).eqNullSafe(F.col("_of")), "left")
+    return joined.select(key, F.when(~F.col("_null"), F.coalesce("_ids", empty)).alias("ids"))
 
 
 def encode_pairs(
-    df: DataFrame,
-    vocab: DataFrame,
-    max_length: int = V.MAX_LENGTH,
-    key: str = "pair_id",
-    vocab_size: int = VOCABULARY_SIZE,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, vocab: DataFrame | Vocabulary, max_length: int = V.MAX_LENGTH, key: str = "pair_id"
 ) -> DataFrame:
     """(key, chosen_ids, rejected_ids) without padding: the form to store, as padding would only add bulk.
 
-    Both stories go through one pass, stacked, and come together again in the one shuffle. The prompt is not used.
+    Both stories are looked up where they lie. The prompt is not used.
     """
-    sides = [F.struct(F.lit(side).alias("side"), F.col(f"{side}_story").alias("text")) for side in ("chosen", "rejected")]
-    stacked = df.select(
-        key,
-        F.col("chosen_story").isNull().alias("_chosen_null"),
-        F.col("rejected_story").isNull().alias("_rejected_null"),
-        F.explode(F.array(*sides)).alias("_part"),
-    )
-    places = stacked.select(
-        key,
-        "_chosen_null",
-        "_rejected_null",
-        F.col("_part.side").alias("_side"),
-        F.posexplode_outer(F.slice(tokens(F.col("_part.text")), 1, max_length)).alias("_place", "_token"),
-    )
-    found = _with_ids(places, vocab, vocab_size, [key, "_side", "_place"], hot_rows)
-    encoded = found.groupBy(key, "_chosen_null", "_rejected_null").agg(
-        _collect_ids(F.col("_side") == "chosen").alias("chosen_ids"),
-        _collect_ids(F.col("_side") == "rejected").alias("rejected_ids"),
-    )
-    return encoded.select(
-        key,
-        F.when(~F.col("_chosen_null"), F.col("chosen_ids")).alias("chosen_ids"),
-        F.when(~F.col("_rejected_null"), F.col("rejected_ids")).alias("rejected_ids"),
-    )
+    words = _vocabulary(vocab)
+
+    def side(name: str) -> Column:
+        return words.ids(F.slice(tokens(F.col(f"{name}_story")), 1, max_length)).alias(f"{name}_ids")
+
+    return df.select(key, side("chosen"), side("rejected"))
 
 
 def pad_pairs(
@@ -179,25 +165,24 @@ def pad_pairs(
 
 def tokenize_pairs(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Vocabulary,
     max_length: int = V.MAX_LENGTH,
     pad_with: int = PAD_ID,
     key: str = "pair_id",
-    vocab_size: int = VOCABULARY_SIZE,
 ) -> DataFrame:
     """T6. Stories of each pair as padded ids and masks; a missing story gives null arrays."""
-    return pad_pairs(encode_pairs(df, vocab, max_length, key, vocab_size), max_length, pad_with, key)
+    return pad_pairs(encode_pairs(df, vocab, max_length, key), max_length, pad_with, key)
 
 
 def truncation_report(
     df: DataFrame, column: str, max_length: int = V.MAX_LENGTH, tag: list[str] | None = None
 ) -> DataFrame:
     """T10. Rows, rows without text, rows cut at `max_length`, and rows whose answer marker fell behind the cut and
-    which therefore train on nothing. `tag` is the marker as tokens."""
+    which therefore train on nothing. `tag` is the marker as tokens: all of them, in order, must be left."""
     # Tokens and cut tokens become columns of their own first: the search for the marker reads them place by place.
     words = df.select(tokens(F.col(column)).alias("_words"))
     kept = words.select(F.size("_words").alias("_length"), F.slice("_words", 1, max_length).alias("_kept"))
-    found = kept.select("_length", find_subsequence(F.col("_kept"), tag or ["assistant"]).alias("_place"))
+    found = kept.select("_length", find_subsequence(F.col("_kept"), tag or token_list(V.RESPONSE_MARKER)).alias("_place"))
     has_text = F.col("_length").isNotNull()
     return found.agg(
         F.count("*").alias("total_rows"),

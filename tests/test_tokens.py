@@ -1,4 +1,4 @@
-"""Vocabulary and encoding against plain Python; the tokenizer plug-in."""
+"""Vocabulary and encoding against plain Python."""
 
 from collections import Counter
 
@@ -14,7 +14,7 @@ TEXTS = ["The cat sat. The CAT ran 3 times", "Élan vital — ça va? abc123", "
 
 
 def words(text):
-    return regex.findall(r"\p{L}+|\p{N}+", text.lower())
+    return regex.findall(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\p{Z}\p{C}]", text.lower())
 
 
 def vocabulary(texts, size):
@@ -28,20 +28,18 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string").repartition(3)
 
 
-@pytest.mark.parametrize("size", [0, 4, 1000])
+@pytest.mark.parametrize("size", [0, 4, 1000, None])
 def test_vocabulary(docs, size):
     got = {r["token"]: r["id"] for r in tokens.build_vocab(docs, "text", size).collect()}
     assert got == vocabulary(TEXTS, size)
 
 
 @pytest.mark.parametrize("max_length", [1, 5, 2048])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_encode(docs, max_length, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(tokens, "BROADCAST_VOCABULARY", 0)
+@pytest.mark.parametrize("way", [tokens.encode, tokens.encode_by_join])
+def test_encode(docs, max_length, way):
     vocab = tokens.build_vocab(docs, "text", 6)
     known = vocabulary(TEXTS, 6)
-    got = {r["id"]: r["ids"] for r in tokens.encode(docs, "id", "text", vocab, max_length, 6, hot_rows=3).collect()}
+    got = {r["id"]: r["ids"] for r in way(docs, "id", "text", vocab, max_length).collect()}
     wanted = {
         i: None if t is None else [known.get(w, tokens.UNKNOWN_ID) for w in words(t)][:max_length]
         for i, t in enumerate(TEXTS)
@@ -49,6 +47,31 @@ def test_encode(docs, max_length, broadcast, monkeypatch):
     assert got == wanted
 
 
+def test_a_large_vocabulary_is_used_whole(spark):
+    words = spark.range(40_000).select(F.concat(F.lit("w"), F.conv("id", 10, 26)).alias("w"))
+    text = words.select(F.translate("w", "0123456789", "qrstuvwxyz").alias("text")).withColumn("id", F.monotonically_increasing_id())
+    vocab = tokens.build_vocab(text, "text").cache()
+    encoded = tokens.encode(text, "id", "text", vocab)
+    assert encoded.filter(F.array_contains("ids", tokens.UNKNOWN_ID)).count() == 0
+    assert vocab.count() == text.select(F.lower("text")).distinct().count() + 3
+    with pytest.raises(ValueError, match="encode_by_join"):
+        tokens.Vocabulary(vocab, limit=1000)
+
+
+def test_encode_without_vocabulary(spark, docs):
+    empty = spark.createDataFrame([], "token string, id int")
+    got = {r["id"]: r["ids"] for r in tokens.encode(docs, "id", "text", empty, 3).collect()}
+    assert got[3] is None and got[2] == [] and set(got[0]) == {tokens.UNKNOWN_ID}
+
+
+def test_marker_is_encoded_like_text(spark):
+    df = spark.createDataFrame([(1, "x ### Assistant: y"), (2, "the assistant said")], "id int, text string")
+    vocab = tokens.build_vocab(df, "text")
+    tag = tokens.marker_ids(vocab)
+    ids = {r["id"]: r["ids"] for r in tokens.encode(df, "id", "text", vocab).collect()}
+    assert ids[1][1:-1] == tag and len(tag) == 5
+
+
 def test_tokenize_pairs(spark, docs):
     pairs = [(i, "p", a, b) for i, (a, b) in enumerate((a, b) for a in TEXTS for b in TEXTS)]
     df = spark.createDataFrame(pairs, "pair_id int, prompt string, chosen_story string, rejected_story string")
@@ -70,32 +93,20 @@ def test_tokenize_pairs(spark, docs):
 
 
 def test_truncation_report(spark):
-    rows = [("x ### Assistant: y",), ("a b c Assistant d",), ("none",), (None,), ("a b c",)]
+    rows = [("x ### Assistant: y",), ("the assistant said a b ### Assistant: y",), ("none",), (None,), ("a b c",)]
     df = spark.createDataFrame(rows, "text string")
-    assert tokens.truncation_report(df, "text", 3).first().asDict() == {
-        "total_rows": 5, "rows_without_text": 1, "rows_cut": 1, "rows_without_marker": 3,
+    assert tokens.truncation_report(df, "text", 6).first().asDict() == {
+        "total_rows": 5, "rows_without_text": 1, "rows_cut": 2, "rows_without_marker": 3,
     }
 
 
-def test_one_shuffle_and_no_python(docs, plan):
+def test_nothing_is_exploded_or_shuffled(docs, plan):
     from prefweave.durable import durable
 
     vocab = durable(tokens.build_vocab(docs, "text"))
-    text = plan(tokens.encode(docs, "id", "text", vocab))
-    assert "BroadcastHashJoin" in text and "Python" not in text
-    assert text.count("Exchange hashpartitioning") == 1
-
-
-def test_tokenizer_plug_in(spark, docs, tmp_path):
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "cat": 1, "dog": 2, "The": 3}, unk_token="[UNK]"))
-    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
-    path = str(tmp_path / "words.json")
-    tokenizer.save(path)
-    got = {r["id"]: r["ids"] for r in tokens.encode_with_tokenizer(docs, "text", path, max_length=4).collect()}
-    wanted = {i: None if t is None else tokenizer.encode(t).ids[:4] for i, t in enumerate(TEXTS)}
-    assert got == wanted
+    pairs = docs.select(F.col("id").alias("pair_id"), F.col("text").alias("chosen_story"), F.col("text").alias("rejected_story"))
+    for encoded in (tokens.encode(durable(docs), "id", "text", vocab), tokens.encode_pairs(durable(pairs), vocab)):
+        assert "Generate" not in plan(encoded) and "Exchange" not in plan(encoded)
 
 
 def test_prepare_pairs(spark, docs, tmp_path):
@@ -108,5 +119,11 @@ def test_prepare_pairs(spark, docs, tmp_path):
     assert all(r["n"] == 6 for r in ready.test.select(F.size("input_ids_chosen").alias("n")).filter("n >= 0").collect())
     again = prepare_pairs(df.filter("false"), df.filter("pair_id < 10"), vocab, "org/model", "here", str(tmp_path), max_length=6)
     assert again.train.count() == 30  # from the cache
+    # Another vocabulary is another key: its ids, not those of the first.
+    shifted = vocab.withColumn("id", F.col("id") + 100)
+    other = prepare_pairs(df, df.filter("pair_id < 10"), shifted, "org/model", "here", str(tmp_path), max_length=6)
+    first = lambda ready: {r["pair_id"]: r["input_ids_chosen"] for r in ready.train.collect()}
+    ours, theirs = first(ready), first(other)
+    assert all(a is None or [x + 100 if x else x for x in a] == theirs[i] for i, a in ours.items())
     with pytest.raises(ValueError, match="rejected_story"):
         prepare_pairs(df.drop("rejected_story"), df, vocab, "m", "here")
