@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from prefweave import fixed_values as V
-from prefweave.functions.text import template_for
 
 LLAMA, OTHER = "meta-llama/Llama-3.2-1B-Instruct", "Qwen/Qwen2.5-1.5B"
-AS_OF = 1706659200
+KINDS = {LLAMA: "llama", OTHER: "other"}
+AS_OF = 1705276800
 
 
 def text_literal(value: str) -> str:
@@ -165,9 +165,18 @@ ANSWER_COT = f"concat({RATIONALE}, chr(10), 'Preferred: ', {LABEL})"
 ANSWER_DIRECT = f"concat('Preferred: ', {LABEL})"
 
 
+# Which template goes with which kind of model, written out here once more.
+TEMPLATES = {
+    ("llama", True): V.SHORT_PROMPT_WITH_REASONING,
+    ("llama", False): V.SHORT_PROMPT_VERDICT_ONLY,
+    ("other", True): V.LONG_PROMPT_WITH_REASONING,
+    ("other", False): V.LONG_PROMPT_VERDICT_ONLY,
+}
+
+
 def chat_text(model: str, cot: bool) -> str:
     answer = ANSWER_COT if cot else ANSWER_DIRECT
-    return f"concat({prompt(template_for(model, cot))}, chr(10), chr(10), '### Assistant:', chr(10), {answer})"
+    return f"concat({prompt(TEMPLATES[KINDS[model], cot])}, chr(10), chr(10), '### Assistant:', chr(10), {answer})"
 
 
 VIEWS["direct_short"] = f"SELECT row_id, {chat_text(LLAMA, cot=False)} AS text FROM rationales WHERE {VALID}"
@@ -305,12 +314,15 @@ ORACLES = {
     "b11_is_complete": """
         SELECT pair_id, chosen_story IS NOT NULL AND rejected_story IS NOT NULL AS complete FROM pairs""",
     "c1_top_posts": f"""
-        SELECT {POST} FROM posts WHERE subreddit = 'click' AND created_utc >= {AS_OF} - 7 * 86400
+        SELECT {POST} FROM posts WHERE subreddit = 'click' AND created_utc BETWEEN {AS_OF} - 7 * 86400 AND {AS_OF}
         ORDER BY score DESC, post_id LIMIT 1000""",
     "c1_top_posts_everywhere": f"""
         SELECT subreddit, row_number() OVER (PARTITION BY subreddit ORDER BY score DESC, post_id) AS rank, post_id, score
-        FROM posts WHERE created_utc >= {AS_OF} - 30 * 86400 QUALIFY rank <= 100""",
+        FROM posts WHERE created_utc BETWEEN {AS_OF} - 30 * 86400 AND {AS_OF} QUALIFY rank <= 100""",
     "c2_search_relevance": search(f"{MATCHES} DESC, score DESC"),
+    "c2_search_hot": search(
+        "sign(score) * log10(greatest(abs(score), 1)::DOUBLE) + created_utc / 45000 DESC"
+    ),
     "c2_search_top": search("score DESC"),
     "c2_search_new": search("created_utc DESC"),
     "c2_search_own_ranking": search("score * upvote_ratio DESC"),
@@ -334,6 +346,9 @@ ORACLES = {
     "c7_comment_tree": """
         SELECT comment_id, post_id, CASE WHEN rooted THEN CAST(level AS BIGINT) END AS depth,
             array_to_string(list_transform(chain, lambda c: c.id), '/') AS path FROM walk""",
+    "c7_max_depth": """
+        SELECT comment_id, post_id, CASE WHEN rooted THEN CAST(level AS BIGINT) END AS depth FROM walk
+        WHERE NOT rooted OR level <= 1""",
     "c7_breadth_first": 'SELECT comment_id, post_id, depth, "position" FROM positions',
     "c8_comments_by_id": """
         SELECT comment_id, body, score, created_utc, coalesce(author, 'None') AS author, subreddit, permalink,
@@ -381,13 +396,13 @@ ORACLES = {
     "h1_stable_position": """
         SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS "position"
         FROM documents""",
-    "g1_template_for": " UNION ALL ".join(
-        f"SELECT row_id, {text_literal(model)} AS model, {str(cot).lower()} AS cot, "
-        f"md5({prompt(template_for(model, cot))}) AS prompt_md5 FROM rationales"
-        for model in (LLAMA, OTHER)
-        for cot in (True, False)
-    ),
-    "g2_user_prompt": f"SELECT row_id, {prompt(template_for(OTHER, True))} AS prompt FROM rationales",
+    "g1_template_for": f"""
+        SELECT row_id, model, cot, md5(
+            CASE WHEN contains(lower(model), 'llama') AND cot THEN {prompt(TEMPLATES["llama", True])}
+                 WHEN contains(lower(model), 'llama') THEN {prompt(TEMPLATES["llama", False])}
+                 WHEN cot THEN {prompt(TEMPLATES["other", True])} ELSE {prompt(TEMPLATES["other", False])} END) AS prompt_md5
+        FROM rationales, (VALUES ('{LLAMA}'), ('{OTHER}')) m(model), (VALUES (true), (false)) c(cot)""",
+    "g2_user_prompt": f"SELECT row_id, {prompt(TEMPLATES["other", True])} AS prompt FROM rationales",
     "g3_rationale_text": f"SELECT row_id, {RATIONALE} AS rationale FROM rationales",
     "g4_label_text": f"SELECT row_id, CASE WHEN {VALID} THEN {LABEL} END AS label FROM noisy_rationales",
     "g4_bad_rows": f"SELECT row_id, preferred FROM noisy_rationales WHERE NOT {VALID}",

@@ -42,8 +42,8 @@ def array_columns(ids: Column, name: str) -> list[Column]:
     return [F.size(ids).cast("bigint").alias(f"{name}_size"), fingerprint(ids).alias(f"{name}_md5")]
 
 
-def pairs(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
-    comments = S.skeleton(spark, sf, spread)
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    comments = S.skeleton(spark, sf)
     return rehydrate_pairs(S.pair_ids(spark, sf), comments, S.posts(spark, sf, counted=False))
 
 
@@ -220,6 +220,11 @@ def c2_search_relevance(spark, sf):
     return _search(spark, sf, "relevance")
 
 
+@query
+def c2_search_hot(spark, sf):
+    return _search(spark, sf, "hot")
+
+
 @query
 def c2_search_top(spark, sf):
     return _search(spark, sf, "top")
@@ -299,6 +304,12 @@ def c7_comment_tree(spark, sf):
     return longs(tree.select("comment_id", "post_id", "depth", path.alias("path")), "depth")
 
 
+@query
+def c7_max_depth(spark, sf):
+    tree = trees.comment_tree(S.skeleton(spark, sf), max_depth=1)
+    return longs(tree.select("comment_id", "post_id", "depth"), "depth")
+
+
 @query
 def c7_breadth_first(spark, sf):
     return longs(trees.comment_positions(S.skeleton(spark, sf)), "depth")
@@ -473,11 +484,11 @@ def g6_answer_direct(spark, sf):
 
 @query
 def g7_chat_examples(spark, sf):
-    return chat.chat_examples(S.noisy_rationales(spark, sf), LLAMA, cot=True, keep=("row_id",))
+    return chat.chat_examples(S.noisy_rationales(spark, sf), LLAMA, cot=True, on_bad="quarantine", keep=("row_id",))
 
 
 def _chat(spark, sf, cot):
-    train, validation = chat.sft_splits(S.rationales(spark, sf), OTHER, cot, keep=("row_id",))
+    train, validation = chat.sft_splits(S.rationales(spark, sf), OTHER, cot, on_bad="quarantine", keep=("row_id",))
     return train.withColumn("split", F.lit("train")).unionByName(validation.withColumn("split", F.lit("val")))
 
 
@@ -548,13 +559,13 @@ def _token_arrays(df: DataFrame) -> DataFrame:
 
 @query
 def t6_tokenize_pairs(spark, sf):
-    return _token_arrays(tokens.tokenize_pairs(pairs(spark, sf, spread=True), vocab(spark, sf)))
+    return _token_arrays(tokens.tokenize_pairs(pairs(spark, sf), vocab(spark, sf)))
 
 
 @query
 def t7_prepare_pairs(spark, sf):
     ready = prepare_pairs(
-        S.train_pairs(spark, sf), pairs(spark, sf, spread=True), vocab(spark, sf), OTHER, source=sf,
+        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
         cache_base=scratch_path(spark, "processed"),
     )
     splits = {"train": ready.train, "val": ready.validation, "test": ready.test}
@@ -580,14 +591,14 @@ def t7_two_vocabularies(spark, sf):
 @query
 def t7_prepared_sizes(spark, sf):
     return prepare_pairs(
-        S.train_pairs(spark, sf), pairs(spark, sf, spread=True), vocab(spark, sf), OTHER, source=sf,
+        S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
         cache_base=scratch_path(spark, "processed"),
     ).sizes()
 
 
 def _encoded_chat(spark, sf):
     """Verdict-only chat rows as ids, and the ids of the marker after which the answer begins."""
-    examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=False, keep=("row_id",))
+    examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=False, on_bad="quarantine", keep=("row_id",))
     words, tag = _words_and_marker(spark, sf)
     return tokens.encode(examples, "row_id", "text", words), tag
 
@@ -611,7 +622,7 @@ def t9_answer_labels(spark, sf):
 
 @query
 def t10_truncation_report(spark, sf):
-    examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=True, keep=("row_id",))
+    examples = chat.chat_examples(S.rationales(spark, sf), LLAMA, cot=True, on_bad="quarantine", keep=("row_id",))
     return tokens.truncation_report(examples, "text", max_length=512)
 
 
@@ -657,7 +668,7 @@ def f5_step_of(spark, sf):
 
 @query
 def generative_batches(spark, sf):
-    train, _ = chat.sft_splits(S.rationales(spark, sf), LLAMA, cot=False, keep=("row_id",))
+    train, _ = chat.sft_splits(S.rationales(spark, sf), LLAMA, cot=False, on_bad="quarantine", keep=("row_id",))
     words, tag = _words_and_marker(spark, sf)
     rows = chat_batches(train, words, tag, batch_size=4, epochs=2)
     columns = [c for name in ("ids", "labels", "attention_mask") for c in array_columns(F.col(name), name)]

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from prefweave.durable import durable
 from prefweave.operators.skew import lookup, rank_in_group, top_k_by_group
-from prefweave.sources.tables import spread_small
 
-AS_OF = 1_706_659_200.0  # 2024-01-31 00:00:00 UTC
+AS_OF = 1_705_276_800.0  # 2024-01-15 00:00:00 UTC, in the midst of all posts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for work that is heavy per row: a file of one row group would keep one core busy."""
-    return spread_small(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
@@ -51,9 +50,9 @@ def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
     )
 
 
-def skeleton(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """Comments without the columns that come from their post; `spread` for work that is heavy per row."""
-    source = documents(spark, sf_dir) if spread else table(spark, sf_dir, "documents")
+def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments without the columns that come from their post."""
+    source = table(spark, sf_dir, "documents")
     return (
         source.filter("doc_id % 13 <> 0")
         .selectExpr(

@@ -58,11 +58,11 @@ def bad_rows(df: DataFrame, cot: bool) -> DataFrame:
 
 
 def chat_examples(
-    df: DataFrame, model_name: str, cot: bool, on_bad: str = "quarantine", keep: tuple[str, ...] = ()
+    df: DataFrame, model_name: str, cot: bool, on_bad: str = "raise", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """G7. text and response_marker of each row, after the columns to `keep`.
 
-    With `quarantine`, rows of `bad_rows` are left out and can be had from there; with `raise` they fail the job.
+    Rows of `bad_rows` fail the job; with `quarantine` they are left out instead, and can be had from there.
     """
     prompt = user_prompt(F.col("story_a"), F.col("story_b"), template_for(model_name, cot))
     answer = answer_cot(df, on_bad) if cot else answer_direct(df, on_bad)
@@ -80,7 +80,7 @@ def sft_splits(
     key: str = "row_id",
     test_size: float = V.TEST_SIZE,
     seed: int = V.SPLIT_SEED,
-    on_bad: str = "quarantine",
+    on_bad: str = "raise",
     keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """G8. (train, validation) chat examples of a rationale table; the split comes before the rendering."""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
 from prefweave.functions.text import author_text, is_top_level
-from prefweave.operators.skew import HOT_ROWS, key_load, lookup, top_k, top_k_by_group
+from prefweave.operators.skew import HOT_ROWS, key_load, lookup, top_k_by_group
 
 _DAY = 86_400
 # A stated choice: a month is 30 days and a year 365.
+HOT_SECONDS = 45_000
 SPANS = {"all": None, "day": _DAY, "week": 7 * _DAY, "month": 30 * _DAY, "year": 365 * _DAY}
 
 
@@ -46,14 +47,13 @@ def keep_only(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def _since(posts: DataFrame, time_filter: str, as_of) -> DataFrame:
+def _within(posts: DataFrame, time_filter: str, as_of) -> DataFrame:
     if time_filter not in SPANS:
         raise ValueError(f"time_filter must be one of {list(SPANS)}, got {time_filter!r}")
     span = SPANS[time_filter]
-    if span is None:
-        return posts
     now = F.unix_timestamp() if as_of is None else F.lit(float(as_of))
-    return posts.filter(F.col("created_utc") >= now - span)
+    until = posts.filter(F.col("created_utc") <= now)
+    return until if span is None else until.filter(F.col("created_utc") >= now - span)
 
 
 def top_posts(
@@ -63,16 +63,28 @@ def top_posts(
     limit: int = V.TOP_LIMIT,
     as_of: float | None = None,
 ) -> DataFrame:
-    """C1. The best-scored posts of one subreddit, or of each subreddit, in the time before `as_of`.
+    """C1. The best-scored posts of one subreddit, or of each subreddit, in the time up to `as_of` (now, if none is given).
 
-    Equal scores are ordered by post id. For all subreddits the result carries the `rank` in its subreddit.
+    Equal scores are ordered by post id. For all subreddits the result carries the `rank` in its subreddit. Ids and
+    scores are ranked alone; the posts that won are fetched by id.
     """
-    recent = _since(posts, time_filter, as_of)
+    recent = _within(posts, time_filter, as_of)
     order = [F.desc("score"), F.asc("post_id")]
     if subreddit is not None:
-        return post_record(top_k(recent.filter(F.col("subreddit") == subreddit), order, limit))
-    ranked = top_k_by_group(recent.select(*V.POST_FIELDS), ["subreddit"], order, limit)
-    return ranked.withColumn("author", author_text(F.col("author")))
+        best = recent.filter(F.col("subreddit") == subreddit).select("post_id", "score").orderBy(*order).limit(limit)
+        return _fetched(posts, best.select("post_id"), limit).orderBy(*order).limit(limit)
+    ranked = top_k_by_group(recent.select("subreddit", "post_id", "score"), ["subreddit"], order, limit)
+    return post_record(posts).join(ranked.select("post_id", "rank"), "post_id").select(*V.POST_FIELDS, "rank")
+
+
+# Ids of so many posts are small enough to ship to every task.
+_SHIPPED_IDS = 100_000
+
+
+def _fetched(posts: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The records of the posts with these ids, at most `limit` of them."""
+    wanted = F.broadcast(ids) if limit <= _SHIPPED_IDS else ids
+    return post_record(posts.join(wanted, "post_id", "left_semi"))
 
 
 def search_posts(
@@ -85,8 +97,9 @@ def search_posts(
     """C2. Posts of a subreddit that hold every word of `query` in title or text, in any case.
 
     The ranking of the remote service is not known; ours is stated: `relevance` counts in how many fields the words
-    were found, then score; `top` is score; `new` is creation time; any other ranking, such as hot, is a Column to
-    sort by, highest first. Ties go by post id.
+    were found, then score; `top` is score; `new` is creation time; `hot` is the sign of the score times the decimal
+    logarithm of its size (at least 1), plus one for every 45,000 seconds of creation time; any other ranking is a Column to
+    sort by, highest first. Ties go by post id. Ids are ranked alone, and the posts that won are fetched by id.
     """
     terms = query.lower().split()
     title, text = F.lower(F.col("title")), F.lower(F.col("selftext"))
@@ -106,12 +119,18 @@ def search_posts(
         ranking = [F.col("score")]
     elif sort == "new":
         ranking = [F.col("created_utc")]
+    elif sort == "hot":
+        size = F.log10(F.greatest(F.abs("score"), F.lit(1)).cast("double"))
+        ranking = [F.signum(F.col("score").cast("double")) * size + F.col("created_utc") / HOT_SECONDS]
     else:
-        raise ValueError("sort must be 'relevance', 'top', 'new' or a Column")
+        raise ValueError("sort must be 'relevance', 'top', 'new', 'hot' or a Column")
     # As columns, so that the text is searched once per row and not once per comparison of the sort.
     names = [f"_by_{i}" for i in range(len(ranking))]
-    ranked = hits.withColumns(dict(zip(names, ranking)))
-    return post_record(top_k(ranked, [*[F.desc(name) for name in names], F.asc("post_id")], limit))
+    order = [*[F.desc(name) for name in names], F.asc("post_id")]
+    ranked = hits.select("post_id", *[by.alias(name) for name, by in zip(names, ranking)])
+    best = ranked.orderBy(*order).limit(limit)
+    records = post_record(posts).join(F.broadcast(best) if limit <= _SHIPPED_IDS else best, "post_id")
+    return records.orderBy(*order).limit(limit).select(*V.POST_FIELDS)
 
 
 def posts_by_id(posts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -26,14 +26,16 @@ def fit_features(df: DataFrame, text_column: str, size: int = FEATURES) -> Pipel
 
 
 def features(df: DataFrame, text_column: str, model: PipelineModel, name: str = "features") -> DataFrame:
-    """R1. Add the feature vector of a story; rows without a story are left out."""
-    prepared = df.filter(F.col(text_column).isNotNull()).withColumn("_tokens", tokens(F.col(text_column)))
+    """R1. Add the feature vector of a story; a row without a story stays, with the vector of no words."""
+    words = F.coalesce(tokens(F.col(text_column)), F.array().cast("array<string>"))
+    prepared = df.withColumn("_tokens", words)
     return model.transform(prepared).drop("_tokens", "_counts").withColumnRenamed("features", name)
 
 
 def pair_differences(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     """Complete pairs with the `difference` of their feature vectors, chosen - rejected."""
-    both = features(features(pairs, "chosen_story", model, "_chosen"), "rejected_story", model, "_rejected")
+    complete = pairs.filter(F.col("chosen_story").isNotNull() & F.col("rejected_story").isNotNull())
+    both = features(features(complete, "chosen_story", model, "_chosen"), "rejected_story", model, "_rejected")
     minus = F.zip_with(vector_to_array("_chosen"), vector_to_array("_rejected"), lambda c, r: c - r)
     return both.withColumn("difference", array_to_vector(minus)).drop("_chosen", "_rejected")
 
@@ -62,14 +64,14 @@ def fit_bt(
 def score(
     df: DataFrame, text_column: str, model: PipelineModel, scorer: LogisticRegressionModel, name: str = "score"
 ) -> DataFrame:
-    """R3. One score per story; higher is better."""
+    """R3. One score per story; higher is better. A row without a story has a null score."""
     scored = scorer.transform(features(df, text_column, model))
     margin = vector_to_array("rawPrediction")[1]
-    return scored.withColumn(name, margin).drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), margin)).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel) -> DataFrame:
-    """R3 on both stories of each complete pair."""
+    """R3 on both stories of every pair; a missing story has a null score."""
     chosen = score(pairs, "chosen_story", model, scorer, "chosen_score")
     return score(chosen, "rejected_story", model, scorer, "rejected_score")
 

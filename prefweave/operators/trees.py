@@ -81,13 +81,13 @@ def comment_tree(comments: DataFrame, max_depth: int | None = None, hot_rows: in
     """C7. Every comment with its `depth` (0 below the post) and `chain`; breadth-first order is (depth, chain).
 
     Siblings go by score, highest first, then by id. A comment whose ancestors are not all there keeps its row with a
-    null depth. `max_depth` keeps the levels up to that depth and saves the rounds that only deeper ones need.
+    null depth, whatever `max_depth` is; that keeps the levels up to that depth.
     """
-    chains = comment_chains(comments, max_depth, hot_rows)
+    chains = comment_chains(comments, None, hot_rows)
     tree = chains.select(
         "comment_id", "post_id", F.when(F.col("rooted"), F.size("chain") - 1).alias("depth"), "chain", "missing"
     )
-    return tree if max_depth is None else tree.filter(F.col("depth") <= max_depth)
+    return tree if max_depth is None else tree.filter(F.col("depth").isNull() | (F.col("depth") <= max_depth))
 
 
 def placeholder_children(more: DataFrame) -> DataFrame:

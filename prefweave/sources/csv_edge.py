@@ -27,6 +27,8 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
     try:
         raw = reader.csv(path)
     except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no rehydrated pairs at {path}; write them first") from error
     schemas.require_columns(raw, V.TRAIN_FIELDS, f"rehydrated pairs in {path}")
 

@@ -47,19 +47,6 @@ def scan_more(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, schemas.MORE)
 
 
-def spread_small(df: DataFrame, path: str, bytes_per_core: int = 16 << 20) -> DataFrame:
-    """Spread the rows of a small input over all cores, for work that is heavy per row.
-
-    A file is read by as many tasks as it has row groups. Up to `bytes_per_core` for each core the rows are cheap to
-    move; a larger input has row groups enough and is left as it lies.
-    """
-    context = df.sparkSession.sparkContext
-    root = context._jvm.org.apache.hadoop.fs.Path(path)
-    size = root.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(root).getLength()
-    cores = context.defaultParallelism
-    return df.repartition(cores) if size <= bytes_per_core * cores else df
-
-
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
     """Save a dump as a table bucketed and sorted by its id, so that later look-ups by id do not shuffle its text.
 

@@ -155,12 +155,3 @@ def test_bucketed_dump_is_not_shuffled(spark, plan, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE dumps CASCADE")
-
-
-def test_small_input_is_spread(spark, tmp_path):
-    path = str(tmp_path / "one")
-    spark.range(100).coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert tables.spread_small(df, path).rdd.getNumPartitions() == 8
-    assert tables.spread_small(df, path, bytes_per_core=1).rdd.getNumPartitions() == df.rdd.getNumPartitions()
-    assert "REPARTITION" not in repr(tables.spread_small(df, path, bytes_per_core=1).select(F.col("id")))
