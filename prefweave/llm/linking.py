@@ -51,39 +51,45 @@ def _both(pairs: DataFrame, nodes: DataFrame, likely: Likely) -> DataFrame:
     return kept.select(F.greatest("_l_node", "_r_node").alias("a"), F.least("_l_node", "_r_node").alias("b")).distinct()
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, likely: Likely, tested: DataFrame) -> DataFrame:
-    """Pairs of groups whose members are not all connected yet: members of the smaller parts against all of other parts.
-
-    Members of the largest part are connected already and need no comparison among each other. Large groups are cut into
-    chunks of CHUNK members, which the members of the smaller parts visit one by one; the join keeps likely pairs only.
-    """
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of groups of more than two whose members are not all connected yet: key, node, label, `_large` for members of
+    the largest part of their group, and the number of `_chunks` that the group is cut into."""
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     parts = labelled.groupBy("key", "label").count()
     groups = parts.groupBy("key").agg(
         F.sum("count").alias("_size"), F.count("*").alias("_parts"), F.max(F.struct("count", "label"))["label"].alias("_largest")
     )
     open_ = written(groups.filter((F.col("_parts") > 1) & (F.col("_size") > 2)))
-    labelled = sifted(labelled, F.col("key"), bitmap_of(open_, "key"))
-    chunks = F.ceil(F.col("_size") / CHUNK).cast("int")
-    rows = written(
-        labelled.join(open_, "key").select(
-            "key", "node", "label", (F.col("label") == F.col("_largest")).alias("_large"), chunks.alias("_chunks")
+    return written(
+        sifted(labelled, F.col("key"), bitmap_of(open_, "key")).join(open_, "key").select(
+            "key", "node", "label", (F.col("label") == F.col("_largest")).alias("_large"),
+            F.ceil(F.col("_size") / CHUNK).cast("int").alias("_chunks"),
         )
-    )
-    full = nodes.join(rows, "node")
-    payload = [c for c in nodes.columns if c != "node"]
+    )
+
+
+def remaining_pairs(rows: DataFrame, nodes: DataFrame, likely: Likely, tested: DataFrame) -> DataFrame:
+    """Pairs of open groups between parts: members of the smaller parts against all members of other parts.
+
+    Members of the largest part are connected already and need no comparison among each other. Large groups are cut into
+    chunks of CHUNK members, which the members of the smaller parts visit one by one; the join keeps likely pairs only, and
+    a pair that stands together in many groups only in the group of its least common key.
+    """
+    full = rows.join(nodes, "node")
+    payload = ["node", *[c for c in nodes.columns if c != "node"]]
     home = full.select(
         F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int").alias("_chunk"),
-        F.col("label").alias("_r_label"), "_large", *[F.col(c).alias(f"_r_{c}") for c in ["node", *payload]],
+        F.col("label").alias("_r_label"), "_large", *[F.col(c).alias(f"_r_{c}") for c in payload],
     )
     visits = full.filter(~F.col("_large")).select(
         "key", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_visit"),
-        F.col("label").alias("_l_label"), *[F.col(c).alias(f"_l_{c}") for c in ["node", *payload]],
+        F.col("label").alias("_l_label"), *[F.col(c).alias(f"_l_{c}") for c in payload],
     )
     met = (
         (F.col("key") == F.col("_key")) & (F.col("_visit") == F.col("_chunk")) & (F.col("_l_label") != F.col("_r_label"))
         & (F.col("_large") | (F.col("_l_node") > F.col("_r_node")))
         & likely(lambda c: F.col(f"_l_{c}"), lambda c: F.col(f"_r_{c}"))
+        & (F.array_min(F.array_intersect("_l_keys", "_r_keys")) == F.col("key"))
     )
     pairs = visits.join(home, met).select(
         F.greatest("_l_node", "_r_node").alias("a"), F.least("_l_node", "_r_node").alias("b")
@@ -91,18 +97,26 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, lik
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def linked(members: DataFrame, nodes: DataFrame, likely: Likely, verify: Verify) -> tuple[DataFrame, DataFrame]:
-    """(labels, links): the connected groups of all true links between members of one group, and the links that were tested.
+def linked(
+    nodes: DataFrame, likely: Likely, verify: Verify, sharpen: Callable[[DataFrame], DataFrame] | None = None,
+    surely: Likely | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(labels, links): the connected groups of all true links between nodes that share a key, and the links found.
 
-    `members` has (key, node) rows, `nodes` one row per node with what `likely` reads, which may only reject pairs that are
-    no links. `verify` keeps the pairs (a, b) that are links. First every member is compared with one member of its group;
-    then all pairs are, whose ends are not connected by that. So no link between parts is lost, and groups of near copies
-    cost as many comparisons as they have members.
+    `nodes` has one row per `node` with its `keys`, an array of distinct numbers, and what `likely` reads, which may only
+    reject pairs that are no links. `verify` keeps the pairs (a, b) that are links. First every node is compared with one
+    node of each of its groups; then all pairs are, whose ends are not connected by that. So no link between parts is lost,
+    and groups of near copies cost as many comparisons as they have members. For the second step `sharpen` may replace the
+    nodes that are left (one column) by rows of (node, keys, ...) that `surely` reads, to reject more.
     """
-    first = written(_both(star_pairs(members), nodes, likely))
+    members = nodes.select(F.explode("keys").alias("key"), "node")
+    first = written(_both(star_pairs(members), nodes.drop("keys"), likely))
     links = written(verify(first))
     labels = written(components(links))
-    second = written(remaining_pairs(members, labels, nodes, likely, first))
+    rows = open_members(members, labels)
+    left = rows.select("node").distinct()
+    known = nodes.join(left, "node", "left_semi") if sharpen is None else written(sharpen(left))
+    second = written(remaining_pairs(rows, known, surely or likely, first))
     if second.isEmpty():
         return labels, links
     links = written(links.union(verify(second)))

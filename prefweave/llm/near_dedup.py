@@ -22,12 +22,16 @@ SKETCH_BITS = 256
 # A pair at the threshold has about 50 odd bits of 256, with a deviation of some 9 (from sampling and from collisions). Pairs
 # with more than this many, which is over five deviations, are no links.
 MOST_ODD_BITS = 100
+# Sets of groups that hold several components get sharper sketches: there a pair at the threshold has about 806 odd bits of
+# 4,096, with a deviation of some 30, and pairs with more than this many are less alike than 0.69.
+SHARP_SAMPLES, SHARP_BITS, SHARP_MOST_ODD_BITS = 2048, 4096, 960
 # Stated constants: seeded multipliers for shingles and samples.
 _RANDOM = np.random.default_rng(20240301)
 PLACES = _RANDOM.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 MULTIPLIERS = _RANDOM.integers(0, 1 << 64, SAMPLES, np.uint64) | np.uint64(1)
 BAND_PLACES = _RANDOM.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
-SAMPLE_SALTS = _RANDOM.integers(0, 1 << 64, SAMPLES, np.uint64)
+SAMPLE_SALTS = _RANDOM.integers(0, 1 << 64, SHARP_SAMPLES, np.uint64)
+SHARP_MULTIPLIERS = _RANDOM.integers(0, 1 << 64, SHARP_SAMPLES, np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +55,10 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total), begins
 
 
-def signatures(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """(SAMPLES, sets): the least value of every sample over each non-empty set."""
-    found = np.empty((SAMPLES, len(begins)), np.uint64)
-    for i, factor in enumerate(MULTIPLIERS):
+def signatures(hashes: np.ndarray, begins: np.ndarray, multipliers: np.ndarray = MULTIPLIERS) -> np.ndarray:
+    """(samples, sets): the least value of every sample over each non-empty set."""
+    found = np.empty((len(multipliers), len(begins)), np.uint64)
+    for i, factor in enumerate(multipliers):
         found[i] = np.minimum.reduceat(hashes * factor, begins)
     return found
 
@@ -70,18 +74,18 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(sets, SKETCH_BITS / 64): each sample turns over one bit, so that two sketches differ by the odd bits of what differs."""
-    n = samples.shape[1]
-    width = SKETCH_BITS.bit_length() - 1
-    bit = (mixed(samples + SAMPLE_SALTS[:, None]) >> np.uint64(64 - width)).astype(np.int64)
-    odd = np.bincount((bit + np.arange(n) * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.reshape(n, SKETCH_BITS).astype(np.uint8), axis=1).view(np.uint64)
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """(sets, bits / 64): each sample turns over one bit, so that two sketches differ by the odd bits of what differs."""
+    k, n = samples.shape
+    width = bits.bit_length() - 1
+    place = (mixed(samples + SAMPLE_SALTS[:k, None]) >> np.uint64(64 - width)).astype(np.int64)
+    odd = np.bincount((place + np.arange(n) * bits).ravel(), minlength=n * bits) & 1
+    return np.packbits(odd.reshape(n, bits).astype(np.uint8), axis=1).view(np.uint64)
 
 
-def estimated_similarity(odd_bits: float) -> float:
+def estimated_similarity(odd_bits: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
     """The Jaccard similarity that goes with so many odd bits between two sketches."""
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * odd_bits / SKETCH_BITS)))
+    return 1 + bits / (4 * samples) * float(np.log(max(1e-9, 1 - 2 * odd_bits / bits)))
 
 
 def _fingerprint(distinct: np.ndarray) -> bytes:
@@ -118,6 +122,27 @@ def signed(text: Column) -> Column:
     return text_function(ddl, types, _signer)(text)
 
 
+def _sharpener():
+    def sharpen(texts: list[str]) -> list:
+        hashes, begins = shingle_hashes(texts)
+        nodes = [_fingerprint(np.unique(hashes[a:b])) for a, b in zip(begins[:-1], begins[1:])]
+        full = np.flatnonzero(np.diff(begins))
+        words = np.zeros((len(texts), SHARP_BITS // 64), np.int64)
+        for at in range(0, len(full), 32):
+            some = full[at : at + 32]
+            low, high = begins[some[0]], begins[some[-1] + 1]
+            samples = signatures(hashes[low:high], begins[some] - low, SHARP_MULTIPLIERS)
+            words[some] = odd_sketches(samples, SHARP_BITS).view(np.int64)
+        return [nodes, list(words)]
+
+    return sharpen
+
+
+def _sharp(text: Column) -> Column:
+    types = {"own": pa.binary(), "sharp": pa.list_(pa.int64())}
+    return text_function("own binary, sharp array<bigint>", types, _sharpener)(text)
+
+
 def _comparer():
     part, whole = THRESHOLD
 
@@ -157,6 +182,11 @@ def compared(left: Column, right: Column) -> Column:
     return F.arrow_udf(run, "left binary, right binary, alike boolean")(left, right)
 
 
+def _holder() -> Column:
+    """An id as a key that holds null ids, too."""
+    return F.struct(F.col("_id").isNull(), F.col("_id"))
+
+
 def _likely(left, right) -> Column:
     """Set sizes and odd sketches allow a link."""
     part, whole = THRESHOLD
@@ -165,6 +195,12 @@ def _likely(left, right) -> Column:
     return sizes & (odd <= MOST_ODD_BITS)
 
 
+def _surely(left, right) -> Column:
+    """As `_likely`, with the sharper sketches."""
+    odd = F.zip_with(left("sharp"), right("sharp"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return _likely(left, right) & (F.aggregate(odd, F.lit(0), lambda total, x: total + x) <= SHARP_MOST_ODD_BITS)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every row of `docs` with its component of near-duplicates: (id, n_shingles, component_id, kept).
 
@@ -182,14 +218,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     filled = rows.filter("n > 0")
     sets = written(filled.groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
                                               *[F.first(o).alias(o) for o in SKETCH]))
-    members = sets.select(F.explode("bands").alias("key"), "node")
-    nodes = sets.select("node", "n", *SKETCH)
-    holders = sets.select("node", F.struct(F.col("_id").isNull(), F.col("_id")).alias("_holder"))
+    nodes = sets.select("node", F.array_distinct("bands").alias("keys"), "n", *SKETCH)
+    holders = sets.select("node", _holder().alias("_holder"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, holders, base)
 
-    labels, _ = linked(members, nodes, _likely, verify)
+    def sharpen(left: DataFrame) -> DataFrame:
+        held = written(left.join(holders, "node"))
+        texts = sifted(base, _holder(), bitmap_of(held, "_holder")).withColumn("_h", _holder())
+        own = held.join(texts, F.col("_holder") == F.col("_h")).select("node", _sharp(F.col("_text")).alias("s"))
+        told = own.filter(F.col("s.own") == F.col("node")).dropDuplicates(["node"]).select("node", "s.sharp")
+        return told.join(nodes, "node")
+
+    labels, _ = linked(nodes, _likely, verify, sharpen, _surely)
     places = sets.select("node", "_id").join(labels, "node", "left").select("node", "_id", F.coalesce("label", "node").alias("_label"))
     least = places.groupBy("_label").agg(F.min("_id").alias("component_id"))
     told = written(places.join(least, "_label").select(F.col("node").alias("_node"), "component_id"))
@@ -210,8 +252,7 @@ def _verified(pairs: DataFrame, holders: DataFrame, base: DataFrame) -> DataFram
     held = pairs.join(holders.withColumnsRenamed({"node": "a", "_holder": "_left"}), "a")
     held = written(held.join(holders.withColumnsRenamed({"node": "b", "_holder": "_right"}), "b"))
     wanted = held.select(F.col("_left").alias("_holder")).union(held.select("_right"))
-    holder = F.struct(F.col("_id").isNull(), F.col("_id"))
-    texts = sifted(base, holder, bitmap_of(wanted, "_holder")).select(holder.alias("_holder"), "_text")
+    texts = sifted(base, _holder(), bitmap_of(wanted, "_holder")).select(_holder().alias("_holder"), "_text")
     left = texts.withColumnsRenamed({"_holder": "_l", "_text": "_left_text"})
     right = texts.withColumnsRenamed({"_holder": "_r", "_text": "_right_text"})
     both = held.join(left, F.col("_left") == F.col("_l")).join(right, F.col("_right") == F.col("_r"))
