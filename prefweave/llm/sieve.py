@@ -15,12 +15,12 @@ def _place(key: Column) -> Column:
 
 
 def bitmap_of(keys: DataFrame, column: str) -> DataFrame:
-    """(_bucket, _bits) of the keys: at most BUCKETS rows of 4 KB."""
+    """(__sieve_bucket, __sieve_bits) of the keys: at most BUCKETS rows of 4 KB."""
     place = _place(F.col(column))
     return (
-        keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_at").alias("_bits"))
+        keys.select(F.bitmap_bucket_number(place).alias("__sieve_bucket"), F.bitmap_bit_position(place).alias("__sieve_at"))
+        .groupBy("__sieve_bucket")
+        .agg(F.bitmap_construct_agg("__sieve_at").alias("__sieve_bits"))
     )
 
 
@@ -30,21 +30,21 @@ def marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
     The share of others grows with the keys, up to all rows: results must not depend on it, only work may.
     """
     place = _place(key)
-    byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("__sieve_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     within = (F.bitmap_bit_position(place) % 8).cast("int")
     bit = F.call_function("shiftright", byte, within).bitwiseAND(F.lit(1)) == 1
-    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
-    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits")
+    joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__sieve_bucket"), "left")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__sieve_bucket", "__sieve_bits")
 
 
 def sifted(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     """The rows that `marked` marks: run before a join or semi-join, so that few wide rows are shuffled for it."""
-    return marked(rows, key, bitmap, "_may").filter("_may").drop("_may")
+    return marked(rows, key, bitmap, "__sieve_may").filter(F.col("__sieve_may")).drop("__sieve_may")
 
 
 def without(rows: DataFrame, key: Column, dropped: DataFrame, column: str) -> DataFrame:
     """The rows whose key is not among `dropped`: those that the bitmap lets pass freely are not shuffled for it."""
-    tagged = marked(rows, key, bitmap_of(dropped, column), "_may")
-    gone = dropped.select(F.col(column).alias("_gone"))
-    doubtful = tagged.filter("_may").join(gone, key == F.col("_gone"), "left_anti")
-    return tagged.filter(~F.col("_may")).union(doubtful).drop("_may")
+    tagged = marked(rows, key, bitmap_of(dropped, column), "__sieve_may")
+    gone = dropped.select(F.col(column).alias("__sieve_gone"))
+    doubtful = tagged.filter(F.col("__sieve_may")).join(gone, key == F.col("__sieve_gone"), "left_anti")
+    return tagged.filter(~F.col("__sieve_may")).union(doubtful).drop("__sieve_may")
