@@ -160,12 +160,23 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     edges = np.maximum.accumulate(edges + np.arange(BINS - 1) * 1e-12, axis=1)
     p, u = _one_hot(positive, edges), _one_hot(unlabelled, edges)
 
-    def apart(w: np.ndarray, b: float) -> np.ndarray:
-        gp, gu = -(1 - _sigmoid(p @ w + b)) / len(p), _sigmoid(u @ w + b) / len(u)
-        return np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
-
-    w, b = _descend(apart, p.shape[1])
-    prior = estimated_prior(p @ w + b, u @ w + b)
+    def ranking(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, float]:
+        """What tells positives from unlabelled rows."""
+
+        def apart(w: np.ndarray, b: float) -> np.ndarray:
+            gp, gu = -(1 - _sigmoid(p @ w + b)) / len(p), _sigmoid(u @ w + b) / len(u)
+            return np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+
+        return _descend(apart, p.shape[1])
+
+    # Each half is ranked by what the other half taught: a ranking sets the rows that it was fitted on too far apart.
+    priors = []
+    for fold in (0, 1):
+        w, b = ranking(p[fold::2], u[fold::2])
+        other_p, other_u = p[1 - fold :: 2], u[1 - fold :: 2]
+        if len(other_p) and len(other_u):
+            priors.append(estimated_prior(other_p @ w + b, other_u @ w + b))
+    prior = float(np.mean(priors)) if priors else 0.5
     w, b = fit_non_negative(p, u, prior)
     return QualityModel(edges, w.reshape(len(edges), BINS), float(b), prior)
 
