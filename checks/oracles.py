@@ -336,6 +336,9 @@ ORACLES = {
         LEFT JOIN posts p USING (post_id)
         LEFT JOIN (SELECT post_id, string_agg(comment_id, ',' ORDER BY "position") AS ids FROM positions
                    GROUP BY post_id) c USING (post_id)""",
+    "c4_comments_in_order": """
+        SELECT comment_id, body, score, coalesce(author, 'None') AS author, starts_with(parent_id, 't3_') AS is_top_level,
+            parent_id, post_id, "position" FROM skeleton JOIN positions USING (comment_id, post_id)""",
     "c4_with_comments": nested("SELECT * FROM skeleton JOIN positions USING (comment_id, post_id)"),
     "c4_with_comments_in_parts": nested("SELECT * FROM skeleton JOIN positions USING (comment_id, post_id)", 4),
     "c5_partial_comments": nested("""

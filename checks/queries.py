@@ -270,6 +270,14 @@ def _nested(df: DataFrame) -> DataFrame:
     )
 
 
+@query
+def c4_comments_in_order(spark, sf):
+    """The flat form: one row per comment, whatever the size of its post."""
+    found = trees.comments_in_order(S.skeleton(spark, sf), S.more(spark, sf))
+    kept = found.select("comment_id", "body", "score", "author", "is_top_level", "parent_id", "post_id", "position")
+    return longs(kept, "score", "position")
+
+
 @query
 def c4_with_comments(spark, sf):
     return _nested(trees.with_comments(S.posts(spark, sf, counted=False), S.skeleton(spark, sf)))

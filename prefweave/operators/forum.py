@@ -147,14 +147,16 @@ def posts_by_id(posts: DataFrame, ids: DataFrame) -> DataFrame:
 def comments_by_id(comments: DataFrame, posts: DataFrame, ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """C8. The 14 fields of each wanted comment (column comment_id of `ids`); unknown ids are absent.
 
-    As in rehydration, ids alone meet the titles of the posts, and text moves last.
+    As in rehydration, comments are cut down to the wanted ones where they are scanned, and ids alone meet the titles.
     """
     wanted = ids.select("comment_id").distinct()
     places = comments.select("comment_id", "post_id")
     load = key_load(places.select("post_id"))
+    comments = comments.join(wanted, "comment_id", "left_semi")
+    places = comments.select("comment_id", "post_id")
     titles = posts.select(F.col("post_id").alias("_post"), F.col("title").alias("post_title"))
     titled = lookup(
-        places.join(wanted, "comment_id", "left_semi"), "post_id", titles, "_post", ["comment_id"],
+        places, "post_id", titles, "_post", ["comment_id"],
         hot_rows=hot_rows, load=load,
     ).select("comment_id", "post_title")
     return (

@@ -29,16 +29,18 @@ def story_record(
 ) -> DataFrame:
     """B8. Comments (one row per comment_id) as fetched records; the prompt is the title of the post.
 
-    Ids go first and text last: comment and post ids alone are cut down to the wanted `ids` and meet the titles, where a
-    post with a large share of all comments is split over tasks. The text then moves once, by comment id, which no
-    comment shares with another, and is in place for joins on that id. How the comments lie on their posts is counted
-    before the cut: that reads one column, and the wanted comments cannot lie worse.
+    Comments are cut down to the wanted `ids` where they are scanned, so the text of others never moves when the ids are
+    few enough to ship. Comment and post ids alone then meet the titles, where a post with a large share of all comments
+    is split over tasks, and the text that is left moves by comment id, which no comment shares with another. How the
+    comments lie on their posts is counted before the cut: that reads one column, and the wanted ones cannot lie worse.
     """
     titles = posts.select(F.col("post_id").alias("_post"), F.col("title").alias("prompt"))
     places = comments.select("comment_id", "post_id")
     load = key_load(places.select("post_id"))
     if ids is not None:
-        places = places.join(ids, places["comment_id"] == ids["id"], "left_semi")
+        wanted = ids.select(F.col("id").alias("comment_id"))
+        comments = comments.join(wanted, "comment_id", "left_semi")
+        places = comments.select("comment_id", "post_id")
     prompts = lookup(places, "post_id", titles, "_post", ["comment_id"], hot_rows=hot_rows, load=load).select(
         F.col("comment_id").alias("_id"), "prompt"
     )

@@ -89,3 +89,29 @@ def test_scan_of_the_lookup_is_pruned(spark, plan, tmp_path):
     text = plan(report)
     assert "selftext" not in text and "parent_id" not in text and "created_utc" not in text
     assert report.first()["complete_rows"] == 0
+
+
+def test_text_of_unwanted_comments_stays_where_it_is(spark, plan, tmp_path):
+    """For a few ids, what is shuffled with its text has passed the semi-join with the ids."""
+    from prefweave.operators.forum import comments_by_id
+    from prefweave.sources import tables
+
+    spark.range(50).selectExpr("concat('p', id) AS post_id", "'t' AS title").write.parquet(f"{tmp_path}/posts")
+    spark.range(500).selectExpr(
+        "concat('c', id) AS comment_id", "concat('p', id % 50) AS post_id", "'t3_p' AS parent_id", "repeat('x', 200) AS body",
+        "1 AS score", "1.0D AS created_utc", "'ann' AS author",
+    ).write.parquet(f"{tmp_path}/comments")
+    comments, posts = tables.scan_comments(spark, f"{tmp_path}/comments"), tables.scan_posts(spark, f"{tmp_path}/posts")
+    # Stored ids have a size that the planner sees.
+    spark.createDataFrame([("c1",), ("c7",), ("gone",)], "id string").write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    found = R.fetch_records(ids, comments, posts)
+    assert sorted(r["id"] for r in found.collect()) == ["c1", "c7"]
+    by_id = comments_by_id(comments, posts, ids.withColumnRenamed("id", "comment_id"))
+    assert by_id.count() == 2
+    for df in (found, by_id):
+        lines = plan(df).splitlines()
+        for i, line in enumerate(lines):
+            if "FileScan" in line and "body" in line:
+                above = [x for x in lines[:i] if "LeftSemi" in x or "Exchange" in x]
+                assert "LeftSemi" in above[-1] or "BroadcastExchange" in above[-1], plan(df)
