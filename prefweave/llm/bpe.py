@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,6 +17,8 @@ from prefweave.llm.columns import text_function
 
 # Encoded words and fragments that a task keeps for reuse.
 CACHED = 400_000
+# Fragments of up to so many bytes are merged without a heap.
+SHORT = 64
 
 
 class Encoder:
@@ -43,7 +44,7 @@ class Encoder:
         self.latin_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
         self.letters = byte_letters()
         self.inside = {t[i : i + 2] for t in map(self._bare, self.vocab) for i in range(len(t) - 1)}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str]] = {}
         self.fragments: dict[tuple[str, bool], list[str]] = {}
         self._library = None
         self._described = described
@@ -51,13 +52,11 @@ class Encoder:
     def _bare(self, token: str) -> str:
         return token[: -len(self.end)] if self.end and token.endswith(self.end) else token
 
-    def normal(self, text: str) -> str:
-        return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).lower()
-
     def pieces(self, text: str) -> list[str]:
         """Words of a text, as strings of byte letters are made of them later."""
         if LATIN.fullmatch(text):
-            return self.latin_words.findall(self.normal(text))
+            # Such text is in normal form, and blanks of any kind and number part words alike.
+            return self.latin_words.findall(text.lower())
         # Beyond Latin, versions of the tables of letters differ: the library that wrote the file splits.
         if self._library is None:
             from tokenizers import Tokenizer
@@ -78,6 +77,27 @@ class Encoder:
         parts: list[str | None] = list(fragment)
         if last:
             parts[-1] += self.end
+        return self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """Look through the ranks of all pairs for each merge: fastest for words."""
+        rank, none = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+        return parts
+
+    def _merge_long(self, parts: list[str | None]) -> list[str]:
+        """The same with a heap of pairs, for fragments of any length."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self.ranks
@@ -98,8 +118,8 @@ class Encoder:
                 heapq.heappush(heap, (ranks[p], before[i], *p))
         return [p for p in parts if p is not None]
 
-    def encode_word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their texts, each joined by spaces."""
+    def encode_word(self, word: str) -> tuple[int, str]:
+        """Number of tokens, and their ids joined by spaces."""
         if word.startswith(TRANSLATED):
             spelt = word[len(TRANSLATED) :]
         else:
@@ -114,32 +134,32 @@ class Encoder:
             tokens += found
         vocab = self.vocab
         kept = [t for t in tokens if t in vocab]
-        return len(kept), " ".join(str(vocab[t]) for t in kept), " ".join(kept)
+        return len(kept), " ".join([str(vocab[t]) for t in kept])
 
     def encode(self, text: str) -> tuple[int, str]:
         """Number of tokens and the ids, joined by spaces. Special tokens in the text count as themselves."""
         total, ids = 0, []
-        known = self.known
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.special:
                 total += 1
                 ids.append(str(self.special[part]))
                 continue
-            for word in self.pieces(part):
-                found = known.get(word)
-                if found is None:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    found = known[word] = self.encode_word(word)
-                if found[0]:
-                    total += found[0]
-                    ids.append(found[1])
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            get, add = self.known.get, self._add
+            found = [get(word) or add(word) for word in self.pieces(part)]
+            total += sum([f[0] for f in found])
+            ids += [f[1] for f in found if f[0]]
         return total, " ".join(ids)
 
+    def _add(self, word: str) -> tuple[int, str]:
+        found = self.known[word] = self.encode_word(word)
+        return found
+
     def decode(self, ids: str) -> str:
         """The texts of ids joined by spaces, special tokens included; the file names no decoder, so spaces join them."""
         tokens = self.texts
-        return " ".join([tokens[i] for i in ids.split(" ")]) if ids else ""
+        return " ".join(map(tokens.__getitem__, ids.split(" "))) if ids else ""
 
     @property
     def texts(self) -> dict[str, str]:
