@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.columns import text_function
+from prefweave.llm.columns import SLICE_BYTES, text_function
 from prefweave.llm.linking import linked
 from prefweave.llm.sieve import bitmap_of, sifted
 from prefweave.llm.storage import written
@@ -169,11 +169,14 @@ def compared(left: Column, right: Column) -> Column:
 
     def run(batches: collections.abc.Iterator[tuple[pa.Array, pa.Array]]) -> collections.abc.Iterator[pa.Array]:
         for a, b in batches:
-            parts = [pa.array([], pa.struct(fields))]
-            for at in range(0, len(a), 64):
-                rows = zip(a.slice(at, 64).to_pylist(), b.slice(at, 64).to_pylist())
-                found = work([(x or "", y or "") for x, y in rows])
-                parts.append(pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(found, fields)], fields=fields))
+            parts, rows, size = [pa.array([], pa.struct(fields))], [], 0
+            for i, (x, y) in enumerate(zip(a, b), 1):
+                rows.append((x.as_py() or "", y.as_py() or ""))
+                size += len(rows[-1][0]) + len(rows[-1][1])
+                if size >= SLICE_BYTES or i == len(a):
+                    arrays = [pa.array(values, f.type) for values, f in zip(work(rows), fields)]
+                    parts.append(pa.StructArray.from_arrays(arrays, fields=fields))
+                    rows, size = [], 0
             yield pa.concat_arrays(parts)
 
     run.__annotations__ = {
