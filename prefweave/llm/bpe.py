@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prefweave.llm.columns import text_function
 
 # Encoded words and fragments that a task keeps for reuse.
-CACHED = 400_000
+CACHED = 300_000
 # Fragments of up to so many bytes are merged without a heap.
 SHORT = 64
 
@@ -125,7 +125,10 @@ class Encoder:
         else:
             spelt = "".join(map(self.letters.__getitem__, word.encode()))
         tokens: list[str] = []
-        for fragment in self.fragments_of(spelt):
+        fragments = self.fragments_of(spelt)
+        if len(fragments) == 1:  # kept as the word itself
+            tokens, fragments = self.encode_fragment(*fragments[0]), []
+        for fragment in fragments:
             found = self.fragments.get(fragment)
             if found is None:
                 if len(self.fragments) >= CACHED:

@@ -16,7 +16,7 @@ from prefweave.llm.words import ALPHANUMERIC, joined, word_hashes, word_places
 
 WINDOW = 13
 # Text of the documents that one index holds, and of the benchmark items that are searched for in one pass.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 
 

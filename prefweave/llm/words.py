@@ -27,7 +27,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+# Bytes whose words are hashed at once; a longer single word is hashed by itself.
+HASHED_BYTES = 1 << 20
+
+
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.full(size, _BASE, np.uint64)
     inverse = np.full(size, _BASE_INVERSE, np.uint64)
@@ -51,12 +55,20 @@ def word_places(data: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z in lower case."""
-    size = 1 << max(10, int(len(data)).bit_length())
-    powers, inverse = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[LOWERED[data]] * powers[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word with A-Z in lower case, worked out block by block so that scratch arrays stay small."""
+    found = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, low + HASHED_BYTES, side="right")))
+        block = data[low : ends[stop - 1]]
+        powers, inverse = _powers(1 << max(20, int(len(block)).bit_length()))
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_BYTES[LOWERED[block]] * powers[: len(block)], out=sums[1:])
+        first, last = starts[at:stop] - low, ends[at:stop] - low
+        found[at:stop] = mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        at = stop
+    return found
 
 
 def count_words(texts: list[str], in_word: np.ndarray = ALPHANUMERIC) -> np.ndarray:
