@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
 from prefweave.llm.fm_index import FmIndex
+from prefweave.llm.storage import Shipped
 from prefweave.llm.words import ALPHANUMERIC, joined, word_hashes, word_places
 
 WINDOW = 13
@@ -184,7 +185,7 @@ def contamination(
     frame, columns = docs, []
     for i, rows in enumerate(phrase_blocks(benchmark, item_column, item_text)):
         columns.append(f"_{name}_{i}")
-        frame = frame.withColumn(columns[-1], hits(F.col(text_column), spark.sparkContext.broadcast(phrases_of(rows))))
+        frame = frame.withColumn(columns[-1], hits(F.col(text_column), Shipped(spark, phrases_of(rows))))
     words, hit = F.col(f"{columns[0]}.n_words"), merged_hits(columns)
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in columns]))))
     frame = frame.withColumn(f"_{name}_hit", hit)

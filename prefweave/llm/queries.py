@@ -19,7 +19,7 @@ from prefweave.llm.pii import KINDS as PII_KINDS
 from prefweave.llm.pii import candidate_spans, decided, learn_spans
 from prefweave.llm.quality import fit_quality, quality_score
 from prefweave.llm.secret_scan import secret_spans
-from prefweave.llm.storage import written
+from prefweave.llm.storage import Shipped, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -109,7 +109,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("quality = 1").select("doc_id")
     )
     model = fit_quality(docs.select("doc_id", "text").filter(~held_out()), trusted)
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = Shipped(spark, model)
     scored = docs.select("doc_id", held_out().alias("held_out"), quality_score(F.col("text"), shipped).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
@@ -120,7 +120,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = Shipped(spark, model)
     found = docs.select("doc_id", held_out().alias("held_out"), identified(F.col("text"), shipped).alias("f"))
     return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.rejected")
 

@@ -17,7 +17,7 @@ from prefweave.llm.language import fit_language_model, identified
 from prefweave.llm.near_dedup import near_duplicates
 from prefweave.llm.queries import held_out, table, word_vocabulary
 from prefweave.llm.sieve import without
-from prefweave.llm.storage import written
+from prefweave.llm.storage import Shipped, written
 
 TAG, FOUND = "__prefweave_row", "__prefweave_found"
 
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model does not reject."""
     bound_batches(spark)
     model = fit_language_model(docs.select("doc_id", "text", "lang").filter(~held_out()))
-    return docs.filter(~identified(F.col("text"), spark.sparkContext.broadcast(model))["rejected"])
+    return docs.filter(~identified(F.col("text"), Shipped(spark, model))["rejected"])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

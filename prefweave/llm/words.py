@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 # Fixed values: [\x20\x09-\x0D] parts words of the first kind; those of the second are made of [0-9a-z] and all characters
@@ -31,8 +29,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 HASHED_BYTES = 1 << 20
 
 
-@lru_cache(maxsize=1)
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if size not in _kept:
+        _kept.clear()
+        _kept[size] = _new_powers(size)
+    return _kept[size]
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.full(size, _BASE, np.uint64)
     inverse = np.full(size, _BASE_INVERSE, np.uint64)
     ones[0] = inverse[0] = 1
