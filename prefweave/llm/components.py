@@ -25,7 +25,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).union(
             least.select(F.col("node").alias("a"), F.col("least").alias("b"))
         )
-    return moved.filter(F.col("a") != F.col("b")).distinct()
+    return moved.filter(F.col("a") != F.col("b"))
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        current = written(_star(_star(current, True), False))
+        current = written(_star(written(_star(current, True)), False).distinct())
         before, mark = mark, _mark(current)
         if mark == before:
             break

@@ -23,23 +23,16 @@ def _pick(node: str = "node") -> Column:
     return F.xxhash64(node).bitwiseXOR(F.col("key"))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(node, center): every member of a group against one member, another one in each group by chance.
-
-    `center` is the hash of that member's node. Rows stay narrow, and a group of any size is only counted and joined to one
-    row, so nothing gathers it.
-    """
+def group_centers(members: DataFrame) -> DataFrame:
+    """(key, center) of every group of more than one member: the hash of the node of one member, another one in each group
+    by chance. Rows stay narrow, and counting combines on the map side."""
     counted = members.groupBy("key").agg(F.min(_pick()).alias("_least"), F.count("*").alias("_size"))
-    centers = written(counted.filter("_size > 1"))
-    center = F.col("_least").bitwiseXOR(F.col("key"))
-    # Most groups have one member: a bitmap of the others lets few rows through to the join.
-    return (
-        sifted(members, F.col("key"), bitmap_of(centers, "key"))
-        .join(centers, "key")
-        .select("node", center.alias("center"))
-        .filter(F.xxhash64("node") != F.col("center"))
-        .distinct()
-    )
+    return written(counted.filter("_size > 1").select("key", F.col("_least").bitwiseXOR(F.col("key")).alias("center")))
+
+
+def star_pairs(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """(node, center): every member of a group against its center. A group of any size is only joined to one row."""
+    return members.join(centers, "key").select("node", "center").filter(F.xxhash64("node") != F.col("center")).distinct()
 
 
 def _both(pairs: DataFrame, nodes: DataFrame, likely: Likely) -> DataFrame:
@@ -110,14 +103,29 @@ def linked(
     nodes that are left (one column) by rows of (node, keys, ...) that `surely` reads, to reject more.
     """
     members = nodes.select(F.explode("keys").alias("key"), "node")
-    first = written(_both(star_pairs(members), nodes.drop("keys"), likely))
+    centers = group_centers(members)
+    # Most groups have one member: a bitmap of the others lets few rows through to what follows.
+    members = sifted(members, F.col("key"), bitmap_of(centers, "key"))
+    first = written(_both(star_pairs(members, centers), nodes.drop("keys"), likely))
     links = written(verify(first))
     labels = written(components(links))
     rows = open_members(members, labels)
     left = rows.select("node").distinct()
     known = nodes.join(left, "node", "left_semi") if sharpen is None else written(sharpen(left))
     second = written(remaining_pairs(rows, known, surely or likely, first))
-    if second.isEmpty():
+    more = written(verify(second)) if not second.isEmpty() else second
+    if more.isEmpty():
         return labels, links
-    links = written(links.union(verify(second)))
-    return written(components(links)), links
+    return written(_merged(labels, more)), links.union(more)
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after further links: only the labels that these join are connected anew."""
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    every = labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    left = every.select(F.col("node").alias("a"), F.col("label").alias("_a"))
+    right = every.select(F.col("node").alias("b"), F.col("label").alias("_b"))
+    joined = more.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    moved = components(joined).select(F.col("node").alias("_old"), F.col("label").alias("_new"))
+    told = every.join(moved, F.col("label") == F.col("_old"), "left")
+    return told.select("node", F.coalesce("_new", "label").alias("label"))
