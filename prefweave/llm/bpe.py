@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prefweave.llm.columns import text_function
 
 # Encoded words and fragments that a task keeps for reuse.
-CACHED = 300_000
+CACHED = 250_000
 # Fragments of up to so many bytes are merged without a heap.
 SHORT = 64
 

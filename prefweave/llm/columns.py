@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Text that one Arrow batch, and one step inside a task, may hold; a longer single text makes a step of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 
 
@@ -49,6 +49,9 @@ def text_function(ddl: str, types: dict[str, pa.DataType], make: Callable[[], Ca
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types.values())]
                 parts.append(pa.StructArray.from_arrays(arrays, fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del parts
+        # The worker lives on for other tasks: what this one freed goes back to the system.
+        pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, ddl)
 

@@ -26,7 +26,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 # Bytes whose words are hashed at once; a longer single word is hashed by itself.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 19
 
 
 _kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
