@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
+from prefweave.llm.sample import draw_order, first_by_order
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -84,13 +85,14 @@ def _vectors(text: Column) -> Column:
 
 
 def draw(labelled: DataFrame, id_column: str, text_column: str, label_column: str, rows: int) -> DataFrame:
-    """About `rows` rows of each of the LANGUAGES most frequent labels, the same on every run: drawn by a hash of the id."""
+    """At most `rows` rows of each of the LANGUAGES most frequent labels, the same on every run: the first by a hash of id and
+    text. Rows that share label, id and text count once."""
     known = labelled.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull())
     counts = known.groupBy(F.col(label_column).alias("_label")).count().orderBy(F.desc("count"), "_label").limit(LANGUAGES)
-    position = F.pmod(F.xxhash64(F.col(id_column)), F.lit(1_000_000))
-    drawn = known.join(F.broadcast(counts), F.col(label_column) == F.col("_label"))
-    return drawn.filter(position * F.col("count") < F.lit(rows * 1_000_000)).select(
-        F.xxhash64(F.col(id_column)).alias("order"), F.col("_label").alias("label"), F.col(text_column).alias("text")
+    named = known.join(F.broadcast(counts), F.col(label_column) == F.col("_label"))
+    return first_by_order(
+        named.select(draw_order(id_column, text_column).alias("order"), F.col("_label").alias("label"), F.col(text_column).alias("text")),
+        rows,
     )
 
 
@@ -98,7 +100,7 @@ def fit_language_model(
     labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang",
     rows: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
-    """Learn from about `rows` whole texts of each label; rows with a null text or label teach nothing.
+    """Learn from at most `rows` whole texts of each label; rows with a null text or label teach nothing.
 
     The sample is bounded, and its texts come to the driver as shares of at most 2^15 buckets. Without any labelled row the
     model knows no language and every text is unknown.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
+from prefweave.llm.sample import draw_order, first_by_order
 from prefweave.llm.words import NOT_BLANK, joined, word_hashes, word_places
 
 # Rows that are drawn to fit, at most: trusted positives, and unlabelled rows.
@@ -181,29 +182,27 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     return QualityModel(edges, w.reshape(len(edges), BINS), float(b), prior)
 
 
-def _drawn(rows: DataFrame, id_column: str, limit: int) -> DataFrame:
-    """About `limit` rows by a hash of the id, the same on every run."""
-    total = max(1, rows.count())
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit("draw")), F.lit(1_000_000)) < int(limit / total * 1_000_000) + 1)
+def _drawn(docs: DataFrame, id_column: str, text_column: str, limit: int) -> DataFrame:
+    """At most `limit` rows (order, text) by a hash of id and text, the same on every run."""
+    rows = docs.select(F.lit(0).alias("label"), draw_order(id_column, text_column).alias("order"), F.col(text_column).alias("text"))
+    return first_by_order(rows, limit).select("order", "text")
 
 
 def fit_quality(
     docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     positives: int = POSITIVES, unlabelled: int = UNLABELLED,
 ) -> QualityModel | None:
-    """Fit on about `positives` of the `trusted` ids (one column, distinct) and `unlabelled` rows of `docs`.
+    """Fit on at most `positives` rows of the `trusted` ids (one column) and `unlabelled` rows of `docs`.
 
     Only the features of drawn rows come to the driver. None if either sample is empty.
     """
-    wanted = _drawn(trusted.select(F.col(trusted.columns[0]).alias("_id")), "_id", positives).limit(2 * positives)
-    good = docs.join(F.broadcast(wanted), F.col(id_column) == F.col("_id"), "left_semi")
-    web = _drawn(docs, id_column, unlabelled)
+    good = docs.join(trusted.select(F.col(trusted.columns[0]).alias("_id")), F.col(id_column) == F.col("_id"), "left_semi")
 
-    def collected(rows: DataFrame) -> np.ndarray:
-        found = rows.select(F.xxhash64(F.col(id_column)).alias("o"), described(F.col(text_column)).alias("x")).toPandas()
-        return np.stack(found.sort_values("o", kind="stable")["x"]) if len(found) else np.zeros((0, FEATURES))
+    def collected(rows: DataFrame, limit: int) -> np.ndarray:
+        found = _drawn(rows, id_column, text_column, limit).select("order", described(F.col("text")).alias("x")).toPandas()
+        return np.stack(found.sort_values("order", kind="stable")["x"]) if len(found) else np.zeros((0, FEATURES))
 
-    p, u = collected(good), collected(web)
+    p, u = collected(good, positives), collected(docs, unlabelled)
     return fit_pu(p, u) if len(p) and len(u) else None
 
 

@@ -112,3 +112,21 @@ def test_held_out_quality(spark):
     print("area", area, "right", (got["predicted"] == got["quality"]).mean(), "good kept", (good >= 0.7).mean(), "bad kept", (bad >= 0.7).mean())
     assert area > 0.9
     assert (got["predicted"] == got["quality"]).mean() > 0.85
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    """A third of the rows without an id and a third under one id: samples keep their bound and draw from all of them."""
+    rows = [(None, f"none {i}") for i in range(3000)] + [(7, f"seven {i}") for i in range(3000)] + [(100 + i, f"own {i}") for i in range(3000)]
+    rows += [(None, "same text")] * 500
+    table = spark.createDataFrame([(i, t, "one", "s", 1, "x") for i, t in rows], EDGES).repartition(5)
+    sample = G.draw(table, "doc_id", "text", "lang", 90)
+    got = sorted(r["text"] for r in sample.collect())
+    assert len(got) == 90 and len(set(got)) == 90
+    assert {t.split(" ")[0] for t in got} >= {"none", "seven", "own"}
+    assert got == sorted(r["text"] for r in G.draw(table.repartition(3), "doc_id", "text", "lang", 90).collect())
+
+    seen, fit = [], Q.fit_pu
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(Q, "fit_pu", lambda p, u: seen.append((len(p), len(u))) or fit(p, u))
+        Q.fit_quality(table, spark.createDataFrame([(7,)], "doc_id bigint"), positives=40, unlabelled=200)
+    assert seen == [(40, 200)]
