@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 
 import ahocorasick
@@ -62,25 +64,45 @@ def _automaton() -> ahocorasick.Automaton:
     return automaton
 
 
+def best_first(lowered: str, windows: set[tuple[int, int]], pattern, shortest: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of matches inside the windows that do not overlap: those with fewest edits first, then the leftmost.
+
+    Where a better match covers a part of a window's best one, what is left of the window on either side is searched again,
+    so no match is lost to a better neighbour.
+    """
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def look(low: int, high: int) -> None:
+        if high - low >= shortest and (found := pattern.search(lowered, low, high)):
+            heapq.heappush(heap, (sum(found.fuzzy_counts), found.start(), found.end(), low, high))
+
+    for low, high in windows:
+        look(low, min(high, len(lowered)))
+    taken: list[tuple[int, int, int]] = []
+    while heap:
+        edits, start, end, low, high = heapq.heappop(heap)
+        at = bisect.bisect_left(taken, (end,))
+        if at and taken[at - 1][1] > start:
+            look(low, min(high, taken[at - 1][0]))
+            look(max(low, taken[at - 1][1]), high)
+        else:
+            taken.insert(at, (start, end, edits))
+    return taken
+
+
 def notice_spans(lowered: str, automaton, patterns) -> list[tuple[int, int, str, float]]:
     """(start, end, label, similarity) of every notice found with at most its number of edits."""
-    windows: dict[str, list[list[int]]] = {}
+    windows: dict[str, set[tuple[int, int]]] = {}
     for last, (size, of) in automaton.iter(lowered):
         start = last - size + 1
         for notice, offset in of:
             slack = edits_of(notice)
             low, high = max(0, start - offset - slack), start - offset + len(notice) + slack
-            runs = windows.setdefault(notice, [])
-            if runs and low <= runs[-1][1]:
-                runs[-1] = [min(low, runs[-1][0]), max(high, runs[-1][1])]
-            else:
-                runs.append([low, high])
+            windows.setdefault(notice, set()).add((low, high))
     spans = []
-    for notice, runs in windows.items():
-        for low, high in runs:
-            for found in patterns[notice].finditer(lowered, low, high):
-                edits = sum(found.fuzzy_counts)
-                spans.append((found.start(), found.end(), NOTICES[notice], 1 - edits / len(notice)))
+    for notice, around in windows.items():
+        for start, end, edits in best_first(lowered, around, patterns[notice], len(notice) - edits_of(notice)):
+            spans.append((start, end, NOTICES[notice], 1 - edits / len(notice)))
     return sorted(spans)
 
 
@@ -144,7 +166,7 @@ def license_scan(text: Column) -> Column:
 
     A notice may differ by one edit in every CHARS_PER_EDIT characters. Cut into one piece more than it may have edits, one
     piece is left whole in every match; those pieces are searched all at once, and bounded-error matching decides in the
-    windows around them.
+    windows around them. Of matches of a notice that overlap, that with fewest edits counts, then the leftmost.
     """
     types = {
         "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(),

@@ -159,6 +159,25 @@ def test_one_seed_survives_every_allowed_edit():
         assert not L.notice_spans("nothing of the kind, only words", automaton, patterns)
 
 
+def test_touching_notices_are_all_found():
+    """Copies with different numbers of edits side by side, in every order: each is reported where it stands."""
+    import regex
+
+    automaton = L._automaton()
+    patterns = {n: regex.compile(rf"(?b:{regex.escape(n)}){{e<={L.edits_of(n)}}}") for n in L.NOTICES}
+    random.seed(6)
+    copies = ["released under the mit license", "releasd under the mit license", "released undr the mit license", "relxased under the mit lixense"]
+    edits = [0, 1, 1, 2]
+    for joint in ("\n", " ", ". "):
+        for _ in range(40):
+            picks = [random.randrange(4) for _ in range(random.randrange(2, 9))]
+            text, wanted = "", []
+            for k in picks:
+                wanted.append((len(text), len(text) + len(copies[k]), "mit", 1 - edits[k] / 30))
+                text += copies[k] + joint
+            assert L.notice_spans(text, automaton, patterns) == wanted
+
+
 def test_license_column_of_edge_rows(spark):
     texts = [(1, None), (2, ""), (3, "x " * 200_000 + "MIT License"), (None, "cc by"), (4, "Licensed under the Apache Licence, Version 2.0"), (4, "by cc")]
     got = edge_table(spark, texts).select("doc_id", L.license_scan(F.col("text")).alias("s")).select("doc_id", "s.*").collect()
