@@ -182,10 +182,16 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     return QualityModel(edges, w.reshape(len(edges), BINS), float(b), prior)
 
 
-def _drawn(docs: DataFrame, id_column: str, text_column: str, limit: int) -> DataFrame:
-    """At most `limit` rows (order, text) by a hash of id and text, the same on every run."""
-    rows = docs.select(F.lit(0).alias("label"), draw_order(id_column, text_column).alias("order"), F.col(text_column).alias("text"))
-    return first_by_order(rows, limit).select("order", "text")
+def _drawn(docs: DataFrame, id_column: str, text_column: str, limit: int, ids: DataFrame | None = None) -> DataFrame:
+    """At most `limit` rows (order, text) by a hash of id and text, the same on every run; with `ids`, rows of these ids only.
+    Ids and orders alone meet the `ids`: texts stay where they are."""
+    rows = docs.select(
+        F.col(id_column).alias("_id"), F.lit(0).alias("label"), draw_order(id_column, text_column).alias("order"), F.col(text_column).alias("text")
+    )
+    among = None
+    if ids is not None:
+        among = rows.select("_id", "label", "order").join(ids.select(F.col(ids.columns[0]).alias("_id")), "_id", "left_semi")
+    return first_by_order(rows.drop("_id"), limit, among).select("order", "text")
 
 
 def fit_quality(
@@ -196,13 +202,11 @@ def fit_quality(
 
     Only the features of drawn rows come to the driver. None if either sample is empty.
     """
-    good = docs.join(trusted.select(F.col(trusted.columns[0]).alias("_id")), F.col(id_column) == F.col("_id"), "left_semi")
-
-    def collected(rows: DataFrame, limit: int) -> np.ndarray:
-        found = _drawn(rows, id_column, text_column, limit).select("order", described(F.col("text")).alias("x")).toPandas()
+    def collected(limit: int, ids: DataFrame | None = None) -> np.ndarray:
+        found = _drawn(docs, id_column, text_column, limit, ids).select("order", described(F.col("text")).alias("x")).toPandas()
         return np.stack(found.sort_values("order", kind="stable")["x"]) if len(found) else np.zeros((0, FEATURES))
 
-    p, u = collected(good, positives), collected(docs, unlabelled)
+    p, u = collected(positives, trusted), collected(unlabelled)
     return fit_pu(p, u) if len(p) and len(u) else None
 
 

@@ -13,12 +13,13 @@ def draw_order(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column), F.col(text_column), F.lit("draw"))
 
 
-def first_by_order(rows: DataFrame, limit: int) -> DataFrame:
+def first_by_order(rows: DataFrame, limit: int, among: DataFrame | None = None) -> DataFrame:
     """The first `limit` rows of every `label` by their `order`; of rows that share both only one counts.
 
     What is chosen is found on label and order alone, so `rows` is read twice and its texts move only for chosen rows.
+    `among`, if given, has the label and order of the rows that may be chosen.
     """
-    narrow = rows.select("label", "order").distinct()
+    narrow = (rows if among is None else among).select("label", "order").distinct()
     chosen = top_k_by_group(narrow, ["label"], [F.asc("order")], limit).select(
         F.col("label").alias("_label"), F.col("order").alias("_order")
     )
