@@ -15,7 +15,9 @@ from prefweave import fixed_values as V
 from prefweave import schemas
 from prefweave.durable import durable, scratch_path
 from prefweave.functions import arrays, text
-from prefweave.operators import batches, chat, forum, rehydrate, reward, sampling, tokens, trees
+from prefweave.operators import batches, chat, forum, rehydrate, reward, sampling, search, tokens, tours, trees
+from prefweave.operators import tops as tops_
+from prefweave.operators.dictionary import WordDictionary
 from prefweave.plans.rehydration import rehydrate as rehydrate_pairs
 from prefweave.plans.rehydration import rehydration_report
 from prefweave.plans.training_data import chat_batches, prepare_pairs
@@ -23,6 +25,8 @@ from prefweave.sources import csv_edge, sinks, tables
 
 LLAMA, OTHER = "meta-llama/Llama-3.2-1B-Instruct", "Qwen/Qwen2.5-1.5B"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Bytes of a vocabulary that the queries over a dictionary too large to ship let it ship: 5,461 words.
+SMALL_DICTIONARY = 1 << 16
 
 
 def query(function):
@@ -133,7 +137,7 @@ def a8_scan_posts(spark, sf):
 @query
 def a8_scan_comments(spark, sf):
     path = stored(spark, S.comments(spark, sf), "comments", "json")
-    return longs(tables.scan_comments(spark, path).drop("distinguished"), "score")
+    return longs(tables.scan_comments(spark, path), "score")
 
 
 # --- projections and predicates
@@ -210,6 +214,21 @@ def c1_top_posts_everywhere(spark, sf):
     return longs(top.select("subreddit", "rank", "post_id", "score"), "rank", "score")
 
 
+@query
+def c1_top_posts_by_days(spark, sf):
+    """A week that begins and ends within a day, from the lists of its whole days and the posts of its two ends."""
+    posts = S.posts(spark, sf)
+    tops = durable(tops_.daily_tops(posts))
+    return longs(tops_.top_posts_by_days(tops, posts, "click", "week", S.AS_OF + 30_000), "score", "num_comments")
+
+
+@query
+def c1_merged_tops(spark, sf):
+    days = range(int(S.AS_OF // tops_.DAY) - 30, int(S.AS_OF // tops_.DAY))
+    tops = durable(tops_.daily_tops(S.posts(spark, sf, counted=False), 100))
+    return longs(tops_.merged_tops(tops, days[0], days[-1], 100), "rank", "score")
+
+
 def _search(spark, sf, sort):
     found = forum.search_posts(S.posts(spark, sf, counted=False), "view", "STORY 4", sort)
     return longs(found.select("post_id", "title", "selftext", "score"), "score")
@@ -240,6 +259,33 @@ def c2_search_own_ranking(spark, sf):
     return _search(spark, sf, F.col("score") * F.col("upvote_ratio"))
 
 
+def _indexed(spark, sf, posts, subreddit, words, sort):
+    path = scratch_path(spark, "index")
+    search.save_index(posts, path)
+    found = search.search_indexed(search.open_index(spark, path), posts, subreddit, words, sort)
+    return longs(found.select("post_id", "score", "relevance"), "score")
+
+
+@query
+def c2_indexed_relevance(spark, sf):
+    """Whole texts of documents as posts, by BM25."""
+    return _indexed(spark, sf, S.document_posts(spark, sf), "en", "The, of WAS", "relevance")
+
+
+@query
+def c2_indexed_top(spark, sf):
+    return _indexed(spark, sf, S.posts(spark, sf, counted=False), "view", "story 9", "top")
+
+
+@query
+def c2_postings(spark, sf):
+    postings = search.postings_of(S.document_posts(spark, sf)).groupBy("post_id")
+    return postings.agg(
+        F.count("*").alias("words"), F.sum("in_title").alias("in_title"), F.sum("in_text").alias("in_text"),
+        F.max("length").cast("bigint").alias("length"),
+    )
+
+
 @query
 def c3_posts_by_id(spark, sf):
     known = S.skeleton(spark, sf).select("post_id")
@@ -307,7 +353,7 @@ def c6_expand_more(spark, sf):
 
 @query
 def c7_comment_tree(spark, sf):
-    tree = trees.comment_tree(S.skeleton(spark, sf))
+    tree = trees.comment_paths(S.skeleton(spark, sf))
     path = F.array_join(F.transform("chain", lambda c: c["id"]), "/")
     return longs(tree.select("comment_id", "post_id", "depth", path.alias("path")), "depth")
 
@@ -327,7 +373,7 @@ def c7_breadth_first(spark, sf):
 def c8_comments_by_id(spark, sf):
     ids = rehydrate.all_ids(S.pair_ids(spark, sf)).withColumnRenamed("id", "comment_id")
     found = forum.comments_by_id(S.comments(spark, sf), S.posts(spark, sf, counted=False), ids)
-    return longs(found.drop("distinguished"), "score")
+    return longs(found, "score")
 
 
 @query
@@ -343,6 +389,22 @@ def c9_replies_limited(spark, sf):
     return longs(rows.select("root_id", "rank", "comment_id", "depth"), "rank", "depth")
 
 
+@query
+def c9_replies_of_loaded(spark, sf):
+    """Placeholders lie below wanted comments, with more below them; some wanted comments are hidden themselves."""
+    ids = S.skeleton(spark, sf).select("comment_id")
+    rows = trees.replies(S.skeleton(spark, sf), ids, 4, more=S.inner_more(spark, sf))
+    return longs(rows.select("root_id", "rank", "comment_id", "depth"), "rank", "depth")
+
+
+@query
+def c7_tour_numbers(spark, sf):
+    """What the numbers of a tour say: level, and how many comments lie below."""
+    tree = tours.numbered_tree(S.skeleton(spark, sf))
+    below = ((F.col("exit") - F.col("entry") - 1) / 2).cast("bigint")
+    return tree.select("comment_id", "post_id", "level", below.alias("below"), (F.col("kind") == tours.ROOTED).alias("rooted"))
+
+
 @query
 def c9_comments_with_replies(spark, sf):
     comments = S.comments(spark, sf)
@@ -530,6 +592,14 @@ def t1_encode_by_join(spark, sf):
     return encoded.select("doc_id", *array_columns(F.col("ids"), "ids"))
 
 
+@query
+def t1_encode_beyond_shipped(spark, sf):
+    """The ids of `t1_encode`, by a dictionary of which only the frequent words are shipped."""
+    words = WordDictionary(vocab(spark, sf), SMALL_DICTIONARY)
+    encoded = tokens.encode(S.documents(spark, sf), "doc_id", "text", words)
+    return encoded.select("doc_id", *array_columns(F.col("ids"), "ids"))
+
+
 @query
 def t2_build_vocab(spark, sf):
     return longs(tokens.build_vocab(S.documents(spark, sf), "text"), "id")
@@ -571,16 +641,30 @@ def t6_tokenize_pairs(spark, sf):
 
 
 @query
-def t7_prepare_pairs(spark, sf):
+def t6_tokenize_beyond_shipped(spark, sf):
+    return _token_arrays(tokens.tokenize_pairs(pairs(spark, sf), WordDictionary(vocab(spark, sf), SMALL_DICTIONARY)))
+
+
+def _prepared(spark, sf, **options):
     ready = prepare_pairs(
         S.train_pairs(spark, sf), pairs(spark, sf), vocab(spark, sf), OTHER, source=sf,
-        cache_base=scratch_path(spark, "processed"),
+        cache_base=scratch_path(spark, "processed"), **options,
     )
     splits = {"train": ready.train, "val": ready.validation, "test": ready.test}
     tagged = [_token_arrays(df).withColumn("split", F.lit(name)) for name, df in splits.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+@query
+def t7_prepare_pairs(spark, sf):
+    return _prepared(spark, sf)
+
+
+@query
+def t7_prepare_beyond_shipped(spark, sf):
+    return _prepared(spark, sf, limit=SMALL_DICTIONARY)
+
+
 @query
 def t7_two_vocabularies(spark, sf):
     """One cache, one source, two vocabularies: each gets ids of its own."""
@@ -642,6 +726,12 @@ def f1_assign_batches(spark, sf):
     return longs(batches.assign_batches(S.pair_ids(spark, sf).select("pair_id"), "pair_id", 8, epochs=3), "epoch")
 
 
+@query
+def f1_permuted_batches(spark, sf):
+    """One ordering for three epochs."""
+    return longs(batches.permuted_batches(S.pair_ids(spark, sf).select("pair_id"), "pair_id", 8, epochs=3), "epoch")
+
+
 @query
 def f2_drop_last(spark, sf):
     plan = batches.assign_batches(S.pair_ids(spark, sf).select("pair_id"), "pair_id", 7, epochs=2)
@@ -690,31 +780,61 @@ def _stories(train):
     return train.select(F.explode(F.array("chosen_story", "rejected_story")).alias("story"))
 
 
-def _fitted(spark, sf):
+def _features(spark, sf):
     train = durable(S.train_pairs(spark, sf))
-    model = reward.fit_features(_stories(train), "story")
-    return train, model, reward.fit_bt(train, model)
+    return train, reward.fit_features(_stories(train), "story")
 
 
 @query
 def r1_features(spark, sf):
-    train = durable(S.train_pairs(spark, sf))
+    train, model = _features(spark, sf)
+    vectors = reward.features(reward.pair_differences(train, model), "chosen_story", model)
+    weights = F.filter(F.unwrap_udt(F.col("features"))["values"], lambda x: x != 0)
+    total = lambda values: F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x)), 4)
+    return vectors.select(
+        "pair_id", F.size(weights).cast("bigint").alias("non_zero"), total(weights).alias("weight"),
+        F.size("difference").cast("bigint").alias("differing"),
+        total(F.transform("difference", lambda e: e["value"])).alias("difference"),
+    )
+
+
+# A gradient of this length: all coefficients together are within a tenth of the best ones.
+GRADIENT_BOUND = 1e-3
+
+
+def _fitted(spark, sf):
+    """Pairs to fit on, pairs to measure on, features and scorer fitted on the former."""
+    train, validation = map(durable, sampling.exact_split(S.train_pairs(spark, sf), "pair_id"))
     model = reward.fit_features(_stories(train), "story")
-    vectors = reward.features(train, "chosen_story", model)
-    weights = reward.vector_to_array("features")
-    return vectors.select("pair_id", F.size(F.filter(weights, lambda x: x != 0)).cast("bigint").alias("non_zero"))
+    return train, validation, model, reward.fit_bt(train, model)
 
 
 @query
 def r2_fit_bt(spark, sf):
-    train, model, scorer = _fitted(spark, sf)
-    return reward.pair_metrics(reward.score_pairs(train, model, scorer))
+    """Measured on pairs that were not fitted on."""
+    train, validation, model, scorer = _fitted(spark, sf)
+    metrics = reward.pair_metrics(reward.score_pairs(validation, model, scorer))
+    return metrics.withColumn("gradient", F.lit(reward.gradient_norm(reward.penalised_gradient(train, model, scorer))))
+
+
+@query
+def r2_certificate(spark, sf):
+    """That no other coefficients fit better: the gradient at the fitted ones, worked out from the pairs."""
+    train, validation, model, scorer = _fitted(spark, sf)
+    norm = reward.gradient_norm(reward.penalised_gradient(train, model, scorer))
+    fit = reward.pair_metrics(reward.score_pairs(train, model, scorer)).select(
+        F.col("pairs").alias("train_pairs"), (F.col("mean_loss") < F.log(F.lit(2.0))).alias("better_than_chance")
+    )
+    held = F.lit(validation.count()).cast("bigint")
+    return fit.withColumns({"validation_pairs": held, "optimal": F.lit(norm < GRADIENT_BOUND)})
 
 
 @query
 def r3_score(spark, sf):
-    train, model, scorer = _fitted(spark, sf)
-    return reward.score_pairs(train, model, scorer).select("pair_id", "chosen_score", "rejected_score")
+    """Scores by the step that SQL can take, too: coefficients against the gradient at 0."""
+    train, model = _features(spark, sf)
+    scored = reward.score_pairs(train, model, reward.steepest_scorer(train, model))
+    return scored.select("pair_id", *[F.round(c, 3).alias(c) for c in ("chosen_score", "rejected_score")])
 
 
 @query

@@ -1,16 +1,17 @@
 """Forum tables made from the driver's tables by plain arithmetic (see FIXTURES.md), as lazy DataFrames.
 
-The rules that leave rows out (ids that cannot be fetched, collapsed comments) are part of what the tables mean: every
-driver row is read.
+Every row of the driver's tables that a stand-in is made of is in it, with its whole text. What cannot be fetched are ids that
+no row has.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prefweave.durable import durable
-from prefweave.operators.skew import lookup, rank_in_group, top_k_by_group
+from prefweave.operators.skew import lookup, rank_in_group
 
 AS_OF = 1_705_276_800.0  # 2024-01-15 00:00:00 UTC, in the midst of all posts
 
@@ -20,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work that is heavy per row: a file of one row group would keep one core busy."""
-    return table(spark, sf_dir, "documents")
+    """Documents for work that is heavy per row: a file of few row groups, which keep few cores busy, is dealt out first."""
+    read, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return read if len(read.inputFiles()) >= cores else read.repartition(cores)
 
 
 def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
@@ -50,24 +52,30 @@ def posts(spark: SparkSession, sf_dir: str, counted: bool = True) -> DataFrame:
     )
 
 
+def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts of their language, for work on long texts."""
+    return documents(spark, sf_dir).selectExpr(
+        "concat('p', doc_id) AS post_id", "concat(source, ' ', lang) AS title", "text AS selftext", "concat('/', doc_id) AS url",
+        "CAST(n_chars % 1000 AS INT) AS score", "0 AS num_comments", "CAST(doc_id * 60 AS DOUBLE) AS created_utc",
+        "source AS author", "lang AS subreddit", "concat('/', doc_id) AS permalink", "true AS is_self", "0.5D AS upvote_ratio",
+    )
+
+
 def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments without the columns that come from their post."""
-    source = table(spark, sf_dir, "documents")
-    return (
-        source.filter("doc_id % 13 <> 0")
-        .selectExpr(
-            "concat('c', doc_id) AS comment_id",
-            "concat('p', doc_id div 10) AS post_id",
-            "CASE WHEN doc_id % 10 < 2 THEN concat('t3_p', doc_id div 10)"
-            " ELSE concat('t1_c', (doc_id div 10) * 10 + (doc_id % 10 - 2) div 2) END AS parent_id",
-            "text AS body",
-            "CAST(n_chars % 1000 AS INT) AS score",
-            "CAST(doc_id * 60 AS DOUBLE) AS created_utc",
-            "CASE WHEN doc_id % 17 <> 0 THEN source END AS author",
-            "CAST(NULL AS STRING) AS distinguished",
-            "false AS is_submitter",
-            "false AS stickied",
-        )
+    above = "((doc_id div 10) * 10 + (doc_id % 10 - 2) div 2)"
+    return table(spark, sf_dir, "documents").selectExpr(
+        "concat('c', doc_id) AS comment_id",
+        "concat('p', doc_id div 10) AS post_id",
+        "CASE WHEN doc_id % 10 < 2 THEN concat('t3_p', doc_id div 10)"
+        f" WHEN {above} % 13 = 0 THEN concat('t1_gone', {above}) ELSE concat('t1_c', {above}) END AS parent_id",
+        "text AS body",
+        "CAST(n_chars % 1000 AS INT) AS score",
+        "CAST(doc_id * 60 AS DOUBLE) AS created_utc",
+        "CASE WHEN doc_id % 17 <> 0 THEN source END AS author",
+        "CASE WHEN doc_id % 19 = 0 THEN 'moderator' END AS distinguished",
+        "doc_id % 3 = 0 AS is_submitter",
+        "doc_id % 29 = 0 AS stickied",
     )
 
 
@@ -89,6 +97,12 @@ def more(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inner_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders for comments with replies of their own: the third of ten."""
+    ids = skeleton(spark, sf_dir).filter(F.col("comment_id").endswith("2"))
+    return ids.select("parent_id", F.array("comment_id").alias("children"))
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = skeleton(spark, sf_dir).select(F.lit("comment").alias("kind"), "comment_id", "parent_id", "body")
     hidden = more(spark, sf_dir).select(
@@ -117,15 +131,16 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring documents are pairs; a second pair for every fiftieth repeats its chosen id."""
+    """Neighbouring documents are pairs. Second pairs, with an odd id, have no chosen id, or repeat one and reject an id that
+    does not exist."""
     pair = F.expr(
         "filter(array("
         " CASE WHEN doc_id % 2 = 0 THEN named_struct('pair_id', doc_id * 2,"
-        "  'chosen_comment_id', CASE WHEN doc_id % 22 <> 0 THEN concat('c', doc_id) END,"
-        "  'rejected_comment_id', concat('c', doc_id + 1)) END,"
-        " CASE WHEN doc_id % 50 = 0 THEN named_struct('pair_id', doc_id * 2 + 1,"
-        "  'chosen_comment_id', concat('c', doc_id),"
-        "  'rejected_comment_id', concat('c', doc_id + 2)) END), p -> p IS NOT NULL)"
+        "  'chosen_comment_id', concat('c', doc_id), 'rejected_comment_id', concat('c', doc_id + 1)) END,"
+        " CASE WHEN doc_id % 22 = 0 THEN named_struct('pair_id', doc_id * 2 + 1,"
+        "  'chosen_comment_id', CAST(NULL AS STRING), 'rejected_comment_id', concat('c', doc_id + 2))"
+        " WHEN doc_id % 14 = 0 THEN named_struct('pair_id', doc_id * 2 + 1,"
+        "  'chosen_comment_id', concat('c', doc_id), 'rejected_comment_id', concat('gone', doc_id)) END), p -> p IS NOT NULL)"
     )
     return table(spark, sf_dir, "documents").select("doc_id").select(F.explode(pair).alias("p")).select("p.*")
 
@@ -156,26 +171,23 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rationales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two assistant turns of a conversation are the stories, its first user turn the rationale."""
-    turns = table(spark, sf_dir, "conversations").filter("role IN ('assistant', 'user')")
-    first = top_k_by_group(turns, ["conv_id", "role"], [F.asc("turn")], 2)
-
-    def text(role: str, rank: int):
-        return F.max(F.when((F.col("role") == role) & (F.col("rank") == rank), F.col("text")))
-
-    return (
-        first.groupBy(F.col("conv_id").alias("row_id"))
-        .agg(text("assistant", 1).alias("story_a"), text("assistant", 2).alias("story_b"), text("user", 1).alias("said"))
-        .filter("story_b IS NOT NULL")
-        .selectExpr(
-            "row_id",
-            "story_a",
-            "story_b",
-            "concat(CASE row_id % 3 WHEN 0 THEN 'Reasoning: ' WHEN 1 THEN 'reasoning: ' ELSE '' END, said) AS rationale",
-            "concat(CASE WHEN row_id % 5 = 0 THEN ' ' ELSE '' END,"
-            " CASE WHEN length(story_a) >= length(story_b) THEN 'A' ELSE 'B' END,"
-            " CASE WHEN row_id % 5 = 0 THEN ' ' ELSE '' END) AS preferred",
-        )
+    """One row per turn: its text and that of the next turn of its role (null behind the last) are the stories, the turn
+    before, of any role, is the rationale."""
+    turns = table(spark, sf_dir, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    told = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("story_a"), after.alias("story_b"),
+        F.coalesce(before, F.lit("")).alias("said"),
+    )
+    return told.selectExpr(
+        "row_id",
+        "story_a",
+        "story_b",
+        "concat(CASE row_id % 3 WHEN 0 THEN 'Reasoning: ' WHEN 1 THEN 'reasoning: ' ELSE '' END, said) AS rationale",
+        "concat(CASE WHEN row_id % 5 = 0 THEN ' ' ELSE '' END,"
+        " CASE WHEN length(story_a) >= coalesce(length(story_b), 0) THEN 'A' ELSE 'B' END,"
+        " CASE WHEN row_id % 5 = 0 THEN ' ' ELSE '' END) AS preferred",
     )
 
 

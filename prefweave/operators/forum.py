@@ -87,6 +87,12 @@ def _fetched(posts: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     return post_record(posts.join(wanted, "post_id", "left_semi"))
 
 
+def hot_rank() -> Column:
+    """The sign of the score times the decimal logarithm of its size (at least 1), plus creation time over HOT_SECONDS."""
+    size = F.log10(F.greatest(F.abs("score"), F.lit(1)).cast("double"))
+    return F.signum(F.col("score").cast("double")) * size + F.col("created_utc") / HOT_SECONDS
+
+
 def search_posts(
     posts: DataFrame,
     subreddit: str,
@@ -120,8 +126,7 @@ def search_posts(
     elif sort == "new":
         ranking = [F.col("created_utc")]
     elif sort == "hot":
-        size = F.log10(F.greatest(F.abs("score"), F.lit(1)).cast("double"))
-        ranking = [F.signum(F.col("score").cast("double")) * size + F.col("created_utc") / HOT_SECONDS]
+        ranking = [hot_rank()]
     else:
         raise ValueError("sort must be 'relevance', 'top', 'new', 'hot' or a Column")
     # As columns, so that the text is searched once per row and not once per comparison of the sort.

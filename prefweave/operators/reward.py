@@ -5,72 +5,154 @@ For a linear score this is logistic regression, without intercept, on the differ
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from prefweave.durable import scratch_path
 from prefweave.functions.text import tokens
 
-FEATURES = 1024
+FEATURES = 1 << 16
+
+
+@dataclass(frozen=True)
+class LinearScorer:
+    """Coefficients by feature, for a scorer that no solver made."""
+
+    coefficients: np.ndarray
+    intercept: float = 0.0
+
+
+def bucket(token: Column, size: int) -> Column:
+    """The feature of a token: the first 32 bits of its MD5, which other engines have too, as a number below `size`."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % size
+
+
+def _terms(text: Column, size: int) -> Column:
+    return F.transform(tokens(text), lambda token: bucket(token, size).cast("string"))
 
 
 def fit_features(df: DataFrame, text_column: str, size: int = FEATURES) -> PipelineModel:
-    """R1, fit: hashed token counts weighted by how rare a token is."""
-    counted = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=size)
+    """R1, fit: hashed token counts weighted by how rare a token is, ln((stories + 1) / (stories that hold it + 1))."""
+    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_terms", outputCol="_counts")
     weighted = IDF(inputCol="_counts", outputCol="features")
-    prepared = df.filter(F.col(text_column).isNotNull()).select(tokens(F.col(text_column)).alias("_tokens"))
-    return Pipeline(stages=[counted, weighted]).fit(prepared)
+    prepared = df.filter(F.col(text_column).isNotNull()).select(_terms(F.col(text_column), size).alias("_terms"))
+    return PipelineModel([counted, weighted.fit(counted.transform(prepared))])
 
 
 def features(df: DataFrame, text_column: str, model: PipelineModel, name: str = "features") -> DataFrame:
-    """R1. Add the feature vector of a story; a row without a story stays, with the vector of no words."""
-    words = F.coalesce(tokens(F.col(text_column)), F.array().cast("array<string>"))
-    prepared = df.withColumn("_tokens", words)
-    return model.transform(prepared).drop("_tokens", "_counts").withColumnRenamed("features", name)
+    """R1. Add the sparse feature vector of a story; a row without a story stays, with the vector of no words."""
+    size = len(model.stages[0].vocabulary)
+    prepared = df.withColumn("_terms", F.coalesce(_terms(F.col(text_column), size), F.array().cast("array<string>")))
+    return model.transform(prepared).drop("_terms", "_counts").withColumnRenamed("features", name)
+
+
+def _by_feature(vector: str) -> Column:
+    """A sparse vector as a map from feature to value."""
+    told = F.unwrap_udt(F.col(vector))
+    return F.map_from_arrays(told["indices"], told["values"])
 
 
 def pair_differences(pairs: DataFrame, model: PipelineModel) -> DataFrame:
-    """Complete pairs with the `difference` of their feature vectors, chosen - rejected."""
+    """Complete pairs with the `difference` of their features, chosen - rejected: an array of (key, value) by key.
+
+    Only features that differ are in it: it is as long as the two stories have different words, whatever the number of features.
+    """
     complete = pairs.filter(F.col("chosen_story").isNotNull() & F.col("rejected_story").isNotNull())
     both = features(features(complete, "chosen_story", model, "_chosen"), "rejected_story", model, "_rejected")
-    minus = F.zip_with(vector_to_array("_chosen"), vector_to_array("_rejected"), lambda c, r: c - r)
-    return both.withColumn("difference", array_to_vector(minus)).drop("_chosen", "_rejected")
+    zero = F.lit(0.0)
+    minus = F.map_zip_with(_by_feature("_chosen"), _by_feature("_rejected"), lambda _, c, r: F.coalesce(c, zero) - F.coalesce(r, zero))
+    entries = F.array_sort(F.map_entries(F.map_filter(minus, lambda _, x: x != 0)))
+    return both.withColumn("difference", entries).drop("_chosen", "_rejected")
+
+
+def _as_vectors(df: DataFrame, size: int) -> DataFrame:
+    """(label, features) of rows (label, difference), with sparse vectors: written as the struct that stands for a vector, and
+    read again as vectors, so no row passes through Python, and the solver reads the table as often as it likes."""
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform("difference", lambda e: e["key"]).alias("indices"), F.transform("difference", lambda e: e["value"]).alias("values"),
+    )
+    path = scratch_path(df.sparkSession, "differences")
+    df.select("label", stored.alias("features")).write.parquet(path)
+    schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def fit_bt(
-    pairs: DataFrame, model: PipelineModel, regularization: float = 0.01, iterations: int = 30
+    pairs: DataFrame, model: PipelineModel, regularization: float = 0.01, iterations: int = 100
 ) -> LogisticRegressionModel:
     """R2. Fit the scorer. The likelihood of a pair is the same either way round, so a hash of its stories turns about
     half of the pairs over: the solver then sees both labels, and every pair once."""
     won = F.pmod(F.xxhash64("chosen_story", "rejected_story"), F.lit(2)) == 0
-    turned = F.transform(vector_to_array("difference"), lambda x: -x)
+    turned = F.transform("difference", lambda e: F.struct(e["key"].alias("key"), (-e["value"]).alias("value")))
     examples = pair_differences(pairs, model).select(
-        won.cast("double").alias("label"),
-        F.when(won, F.col("difference")).otherwise(array_to_vector(turned)).alias("features"),
+        won.cast("double").alias("label"), F.when(won, F.col("difference")).otherwise(turned).alias("difference")
     )
     solver = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=regularization, maxIter=iterations, tol=1e-4
+        fitIntercept=False, standardization=False, regParam=regularization, maxIter=iterations, tol=1e-9
+    )
+    return solver.fit(_as_vectors(examples, len(model.stages[0].vocabulary)))
+
+
+def penalised_gradient(
+    pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer, regularization: float = 0.01
+) -> DataFrame:
+    """(feature, gradient) of the mean loss plus regularization / 2 * |coefficients|^2, at the scorer's coefficients.
+
+    It is worked out from the pairs, not taken from a solver: where all of it is near 0, no other coefficients do better, as
+    the loss is convex. A norm g bounds the distance to the best coefficients by g / regularization. Features that no
+    pair differs in and that have no coefficient are left out.
+    """
+    # One row per coefficient that is not 0, at most as many as there are features.
+    weights = [(i, float(w)) for i, w in enumerate(np.asarray(scorer.coefficients)) if w]
+    known = pairs.sparkSession.createDataFrame(weights, "feature int, weight double")
+    differing = pair_differences(score_pairs(pairs, model, scorer), model)
+    share = 1 / (1 + F.exp(F.col("chosen_score") - F.col("rejected_score")))
+    summed = (
+        differing.select(share.alias("_share"), F.explode("difference").alias("_e"))
+        .groupBy(F.col("_e.key").alias("_feature"))
+        .agg(F.sum(-F.col("_share") * F.col("_e.value")).alias("_sum"))
     )
-    kept = examples.persist()
-    try:
-        return solver.fit(kept)
-    finally:
-        kept.unpersist()
+    complete = pairs.filter(F.col("chosen_story").isNotNull() & F.col("rejected_story").isNotNull()).count()
+    both = summed.join(known, F.col("_feature") == F.col("feature"), "full")
+    value = F.coalesce("_sum", F.lit(0.0)) / max(1, complete) + regularization * F.coalesce("weight", F.lit(0.0))
+    return both.select(F.coalesce("feature", "_feature").alias("feature"), value.alias("gradient"))
+
+
+def gradient_norm(gradient: DataFrame) -> float:
+    """The length of the gradient; 0 only at the best coefficients."""
+    return gradient.agg(F.sqrt(F.coalesce(F.sum(F.col("gradient") ** 2), F.lit(0.0)))).first()[0]
+
+
+def steepest_scorer(pairs: DataFrame, model: PipelineModel) -> LinearScorer:
+    """The scorer after one step of length 1 against the gradient, from coefficients of 0: a baseline without a solver."""
+    size = len(model.stages[0].vocabulary)
+    coefficients = np.zeros(size)
+    # At most one row per feature.
+    for row in penalised_gradient(pairs, model, LinearScorer(np.zeros(size))).collect():
+        coefficients[row["feature"]] = -row["gradient"]
+    return LinearScorer(coefficients)
 
 
 def score(
-    df: DataFrame, text_column: str, model: PipelineModel, scorer: LogisticRegressionModel, name: str = "score"
+    df: DataFrame, text_column: str, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer, name: str = "score"
 ) -> DataFrame:
     """R3. One score per story; higher is better. A row without a story has a null score."""
-    scored = scorer.transform(features(df, text_column, model))
-    margin = vector_to_array("rawPrediction")[1]
-    return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), margin)).drop("features", "rawPrediction", "probability", "prediction")
+    product = ElementwiseProduct(scalingVec=Vectors.dense(scorer.coefficients), inputCol="_features", outputCol="_product")
+    scored = product.transform(features(df, text_column, model, "_features"))
+    total = F.aggregate(F.unwrap_udt(F.col("_product"))["values"], F.lit(0.0), lambda a, x: a + x)
+    return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), total)).drop("_features", "_product")
 
 
-def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel) -> DataFrame:
+def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer) -> DataFrame:
     """R3 on both stories of every pair; a missing story has a null score."""
     chosen = score(pairs, "chosen_story", model, scorer, "chosen_score")
     return score(chosen, "rejected_story", model, scorer, "rejected_score")

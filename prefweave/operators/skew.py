@@ -178,3 +178,19 @@ def rank_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy(*order)
     ranked = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
     return ranked.withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset")).select(*df.columns, name)
+
+
+def running_max(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add the greatest `value` of all rows before each row in the whole table; null ones do not count. `order` must be total.
+
+    No task sees all rows: they are range-partitioned, and one row per partition says what came before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    # One row per partition meets in this window.
+    earlier = F.max("_most").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    most = placed.groupBy(F.col("_part").alias("_of")).agg(F.max(value).alias("_most"))
+    offsets = most.select("_of", earlier.alias("_earlier"))
+    inside = F.max(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    told = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).withColumn("_inside", inside)
+    return told.withColumn(name, F.greatest("_inside", "_earlier")).select(*df.columns, name)

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prefweave import fixed_values as V
 from prefweave.functions.arrays import attention_mask, find_subsequence, pad
 from prefweave.functions.text import token_list, tokens
+from prefweave.operators.dictionary import PLACE, SHIPPED_BYTES, WordDictionary
 from prefweave.operators.skew import rank_rows, top_k
 
 # Reserved ids; words start after them.
 PAD_ID, UNKNOWN_ID, END_OF_TEXT_ID = 0, 1, 2
 SPECIAL_TOKENS = {"[PAD]": PAD_ID, "[UNK]": UNKNOWN_ID, "<|endoftext|>": END_OF_TEXT_ID}
 
-# Bytes of tokens that `encode` ships to every task at most; a larger vocabulary is joined by `encode_by_join`.
-SHIPPED_BYTES = 256 << 20
-
 
 def build_vocab(df: DataFrame, column: str, size: int | None = None) -> DataFrame:
     """T2. (token, id) of the special tokens and of every token, or of the `size` most frequent ones.
@@ -64,58 +57,31 @@ def pad_id(policy: str, pad: int | None = None, end_of_text: int = END_OF_TEXT_I
     raise ValueError("policy must be 'end_of_text' or 'add'")
 
 
-class Vocabulary:
-    """The words of a vocabulary, shipped to the tasks once: give it to `encode` to use it for several texts."""
+class Vocabulary(WordDictionary):
+    """The words of a vocabulary that has to fit: all of them are shipped, or it is an error."""
 
     def __init__(self, vocab: DataFrame, limit: int = SHIPPED_BYTES):
-        size = vocab.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
-        if size > limit:
-            raise ValueError(f"a vocabulary of {size} bytes is not shipped to every task; use encode_by_join")
-        # One row per word, and not more bytes than `limit`.
-        rows = vocab.toPandas()
-        self.shipped = vocab.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["id"].to_numpy(np.int32)))
-
-    def ids(self, words: Column) -> Column:
-        """An array of words as ids, null for null: looked up in whole Arrow batches, without leaving the row."""
-        shipped, unknown = self.shipped, UNKNOWN_ID
-
-        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known, numbers = shipped.value
-            known = pa.array(known, pa.string())
-            for batch in batches:
-                flat = batch.flatten().cast(pa.string())
-                place = pc.index_in(flat, known)
-                found = np.where(
-                    pc.is_valid(place).to_numpy(zero_copy_only=False),
-                    numbers[pc.fill_null(place, 0).to_numpy()] if len(numbers) else unknown,
-                    unknown,
-                ).astype(np.int32)
-                sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(found), mask=pc.is_null(batch))
-
-        return F.arrow_udf(look_up, "array<int>")(words)
-
-
-def _vocabulary(vocab: DataFrame | Vocabulary) -> Vocabulary:
-    return vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
-
-
-def encode(df: DataFrame, key: str, column: str, vocab: DataFrame | Vocabulary, max_length: int = V.MAX_LENGTH) -> DataFrame:
+        super().__init__(vocab, limit, UNKNOWN_ID)
+        if not self.whole:
+            raise ValueError(f"a vocabulary of {self.size} words is not shipped to every task; use encode_by_join or WordDictionary")
+
+
+def _dictionary(vocab: DataFrame | WordDictionary) -> WordDictionary:
+    return vocab if isinstance(vocab, WordDictionary) else WordDictionary(vocab, unknown=UNKNOWN_ID)
+
+
+def encode(df: DataFrame, key: str, column: str, vocab: DataFrame | WordDictionary, max_length: int = V.MAX_LENGTH) -> DataFrame:
     """T1. (key, ids) with at most `max_length` ids per row; null for null text, empty for text without tokens.
 
-    The tokens of a row stay in it: nothing is exploded or shuffled. Every word of the vocabulary counts.
+    The tokens of a row stay in it: nothing is exploded or shuffled, but for the rare words of a vocabulary that is too large
+    to ship (see `WordDictionary`). Every word of the vocabulary counts.
     """
     words = F.slice(tokens(F.col(column)), 1, max_length)
-    return df.select(key, _vocabulary(vocab).ids(words).alias("ids"))
-
-
-# A place and an id share one bigint, place above id, which sorts and moves at a quarter of a struct's size.
-_PLACE = 1 << 32
+    return _dictionary(vocab).encode(df, key, {"ids": words})
 
 
 def encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: int = V.MAX_LENGTH) -> DataFrame:
-    """As `encode`, for a vocabulary too large to ship: words meet it in a join. `key` is unique.
+    """As `encode`, with nothing shipped at all: every word meets the vocabulary in a join. `key` is unique.
 
     Each task first joins its own distinct words, so that a frequent word is no hot key; ids then go back by word.
     """
@@ -123,11 +89,11 @@ def encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, max_l
     found = places.select("_token").distinct().join(vocab, F.col("_token") == F.col("token")).select(
         F.col("token").alias("_word"), F.col("id").alias("_id")
     )
-    entry = F.col("_place") * F.lit(_PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
+    entry = F.col("_place") * F.lit(PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
     listed = (
         places.join(found, F.col("_token") == F.col("_word"), "left")
         .groupBy(F.col(key).alias("_of"))
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: (e % F.lit(_PLACE)).cast("int")).alias("_ids"))
+        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: (e % F.lit(PLACE)).cast("int")).alias("_ids"))
     )
     empty = F.array().cast("array<int>")
     joined = df.select(key, F.col(column).isNull().alias("_null")).join(listed, F.col(key).eqNullSafe(F.col("_of")), "left")
@@ -135,18 +101,14 @@ def encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, max_l
 
 
 def encode_pairs(
-    df: DataFrame, vocab: DataFrame | Vocabulary, max_length: int = V.MAX_LENGTH, key: str = "pair_id"
+    df: DataFrame, vocab: DataFrame | WordDictionary, max_length: int = V.MAX_LENGTH, key: str = "pair_id"
 ) -> DataFrame:
     """(key, chosen_ids, rejected_ids) without padding: the form to store, as padding would only add bulk.
 
     Both stories are looked up where they lie. The prompt is not used.
     """
-    words = _vocabulary(vocab)
-
-    def side(name: str) -> Column:
-        return words.ids(F.slice(tokens(F.col(f"{name}_story")), 1, max_length)).alias(f"{name}_ids")
-
-    return df.select(key, side("chosen"), side("rejected"))
+    texts = {f"{side}_ids": F.slice(tokens(F.col(f"{side}_story")), 1, max_length) for side in ("chosen", "rejected")}
+    return _dictionary(vocab).encode(df, key, texts)
 
 
 def pad_pairs(
@@ -165,7 +127,7 @@ def pad_pairs(
 
 def tokenize_pairs(
     df: DataFrame,
-    vocab: DataFrame | Vocabulary,
+    vocab: DataFrame | WordDictionary,
     max_length: int = V.MAX_LENGTH,
     pad_with: int = PAD_ID,
     key: str = "pair_id",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from prefweave import fixed_values as V
 from prefweave.functions.arrays import answer_labels
 from prefweave.operators.batches import assign_batches, drop_last, pad_to_batch
+from prefweave.operators.dictionary import SHIPPED_BYTES, WordDictionary
 from prefweave.operators.sampling import split_sizes, validation_sample
-from prefweave.operators.tokens import PAD_ID, Vocabulary, encode, encode_pairs, pad_pairs
+from prefweave.operators.tokens import PAD_ID, UNKNOWN_ID, encode, encode_pairs, pad_pairs
 from prefweave.schemas import require_columns
 from prefweave.sources.sinks import cache_key, cached
 
@@ -42,16 +43,18 @@ def prepare_pairs(
     max_length: int = V.MAX_LENGTH,
     pad_with: int = PAD_ID,
     seed: int = V.SPLIT_SEED,
+    limit: int = SHIPPED_BYTES,
 ) -> PreparedPairs:
     """T7. Check both tables, tokenise them, and draw the validation rows out of the test rows.
 
     `source` says where the rows come from; it is part of the cache key, as is a mark of the vocabulary. The cache holds ids without padding; the
     padded arrays are made when a split is read. The validation rows are test rows, so they are drawn from the tokenised
-    test rows by their id instead of being tokenised once more.
+    test rows by their id instead of being tokenised once more. Words beyond `limit` bytes of the vocabulary are not
+    shipped to the tasks but joined.
     """
     require_columns(train, V.TRAIN_FIELDS, "training pairs")
     require_columns(test, V.TRAIN_FIELDS, "test pairs")
-    words = Vocabulary(vocab)
+    words = WordDictionary(vocab, limit, UNKNOWN_ID)
     known = None if cache_base is None else vocabulary_mark(vocab)
 
     def encoded(name: str, pairs: DataFrame) -> DataFrame:
@@ -85,13 +88,14 @@ def chat_batches(
     max_length: int = V.MAX_LENGTH,
     pad_with: int = PAD_ID,
     seed: int = V.SPLIT_SEED,
+    limit: int = SHIPPED_BYTES,
 ) -> DataFrame:
     """Chat examples as the batches of a generative trainer: T1, T9, F1, F2, F4.
 
     Texts are encoded once; the plan of batches is made on keys alone and meets the ids after the short last batch of
     each epoch is gone. Labels start after the answer marker `tag`; rows are padded to the longest of their batch.
     """
-    encoded = encode(examples, key, "text", vocab, max_length)
+    encoded = encode(examples, key, "text", WordDictionary(vocab, limit, UNKNOWN_ID), max_length)
     labelled = encoded.withColumn("labels", answer_labels(F.col("ids"), tag))
     plan = drop_last(assign_batches(examples.select(key), key, batch_size, epochs, seed), batch_size)
     return pad_to_batch(plan.join(labelled, key), "ids", pad_with, labels="labels")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from prefweave.sources.csv_edge import write_csv
 
@@ -28,14 +32,52 @@ def cache_key(model_name: str, max_length: int, split: str, source: str, seed: i
     return f"processed_{model_name.replace('/', '_')}_{max_length}_{fingerprint}_{split}"
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+# What a finished copy says of itself, written in one step when it is whole.
+MANIFEST = "published double, build string, rows bigint, checksum string"
 
 
-def cached(spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A7. The table under `base`/`key`; built and written first if no finished copy is there."""
+def _table_mark(df: DataFrame) -> tuple[int, str]:
+    """Rows, and a sum of their hashes, which their order and their files do not change."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    row = df.agg(F.count("*"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string")).first()
+    return row[0], row[1]
+
+
+def published(spark: SparkSession, path: str) -> Row | None:
+    """The manifest of the copy that readers of `path` take: the first published, by time and then name; None if there is none."""
+    try:
+        manifests = spark.read.schema(MANIFEST).parquet(f"{path}/manifests")
+        return manifests.orderBy("published", "build").first()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def publish(df: DataFrame, path: str) -> Row:
+    """Write `df` in a folder of its own below `path` and publish it there, unless a copy is published already.
+
+    The manifest is one file, which appears when it is whole; nothing is ever overwritten. So a reader sees the files of one
+    builder only, whoever else is building. Of two that publish at once the first by the clock is taken from then on;
+    the files of the other, and of builders that failed, stay unread.
+    """
+    spark, build = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/build-{build}")
+    rows, checksum = _table_mark(spark.read.schema(df.schema).parquet(f"{path}/build-{build}"))
+    if published(spark, path) is None:
+        manifest = spark.createDataFrame([(time.time(), build, rows, checksum)], MANIFEST)
+        manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifests")
+    return published(spark, path)
+
+
+def cached(spark: SparkSession, base: str, key: str, build: Callable[[], DataFrame], check: bool = False) -> DataFrame:
+    """A7. The table under `base`/`key`; built and published first if no finished copy is there.
+
+    With `check`, rows and checksum are held against the manifest before the table is handed out.
+    """
     path = f"{base.rstrip('/')}/{key}"
-    if not _written(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    manifest = published(spark, path) or publish(build(), path)
+    table = spark.read.parquet(f"{path}/build-{manifest['build']}")
+    if check and _table_mark(table) != (manifest["rows"], manifest["checksum"]):
+        raise ValueError(f"the table in {path} is not the one that was published")
+    return table

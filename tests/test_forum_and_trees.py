@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
-from prefweave.operators import forum, trees
+from prefweave.operators import forum, search, tops, tours, trees
 
 COMMENTS = (
     "comment_id string, post_id string, parent_id string, body string, score int, created_utc double, author string, "
@@ -109,6 +109,56 @@ def test_replies(spark, grown, limit):
         assert got[seed] == [(c, d + 1) for c, d in walk(rows, f"t1_{seed}")][:limit]
 
 
+@pytest.mark.parametrize("limit", [3, 50])
+def test_replies_without_what_placeholders_hide(spark, grown, limit):
+    rows, df = grown
+    draw = random.Random(limit)
+    hidden = {r[0] for r in rows if draw.random() < 0.1} | {"c7", "nowhere"}
+    more = spark.createDataFrame([("t1_x", sorted(hidden)), ("t1_y", ["c7"])], "parent_id string, children array<string>")
+    seeds = ["c0", "c7", "c50", "c120", "unknown", *sorted(hidden)[:4]]
+    ids = spark.createDataFrame([(s,) for s in seeds + seeds], "comment_id string")
+    got = defaultdict(list)
+    for r in trees.replies(df, ids, limit, hot_rows=20, more=more).orderBy("root_id", "rank").collect():
+        got[r["root_id"]].append((r["comment_id"], r["depth"]))
+    shown = [r for r in rows if r[0] not in hidden]
+    for seed in seeds:
+        assert got[seed] == [(c, d + 1) for c, d in walk(shown, f"t1_{seed}")][:limit]
+
+
+def test_tour_numbers(grown):
+    """Entry and exit of a comment enclose those of all below it and of no others; null for circles."""
+    rows, df = grown
+    numbers = {r["comment_id"]: r for r in tours.numbered_tree(df, hot_rows=20).collect()}
+    assert set(numbers) == {r[0] for r in rows}
+    circle = {r[0] for r in rows[-3:]}
+    for r in rows:
+        mine = numbers[r[0]]
+        if r[0] in circle:
+            assert (mine["kind"], mine["section"], mine["entry"]) == (tours.CIRCULAR, None, None)
+            continue
+        below = {c for c, _ in walk(rows, f"t1_{r[0]}")}
+        inside = {
+            c for c, n in numbers.items()
+            if n["section"] == mine["section"] and n["section"] is not None and mine["entry"] < n["entry"] and n["exit"] < mine["exit"]
+        }
+        assert inside == below and mine["exit"] - mine["entry"] == 2 * len(below) + 1
+        assert (mine["kind"] == tours.ORPHANED) == (mine["kind"] != tours.ROOTED)
+
+
+def test_a_long_chain_takes_linear_space(spark):
+    """Fifty thousand comments one below the other: what is written holds a few numbers a comment, no ancestors."""
+    n = 50_000
+    df = spark.range(n).selectExpr(
+        "concat('c', id) AS comment_id", "'p' AS post_id", "if(id = 0, 't3_p', concat('t1_c', id - 1)) AS parent_id",
+        "concat('body ', id) AS body", "1 AS score", "CAST(id AS DOUBLE) AS created_utc", "'a' AS author",
+    )
+    numbered = tours.numbered_tree(df)
+    assert not any("array" in f.dataType.simpleString() for f in numbered.schema)
+    placed = tours.breadth_first(numbered)
+    assert placed.filter(F.concat(F.lit("c"), F.col("position")) != F.col("comment_id")).count() == 0
+    assert placed.filter("depth <> position").count() == 0
+
+
 def test_nested_comments_stay_whole(spark, grown):
     rows, df = grown
     posts = spark.createDataFrame([post(i) for i in range(6)], POSTS)
@@ -186,6 +236,30 @@ def test_top_posts_rejects_unknown_ranges(board):
         forum.top_posts(board[1], "big", "decade")
 
 
+@pytest.mark.parametrize("as_of", [60 * 86_400.0, 60 * 86_400.0 + 5, 61.5 * 86_400, 0.0])
+@pytest.mark.parametrize("time_filter", ["all", "month", "week", "day"])
+def test_top_posts_from_summaries(board, time_filter, as_of):
+    rows, df = board
+    summary = tops.daily_tops(df, 20)
+    wanted = [r["post_id"] for r in forum.top_posts(df, "big", time_filter, 20, as_of).collect()]
+    assert [r["post_id"] for r in tops.top_posts_by_days(summary, df, "big", time_filter, as_of, 20).collect()] == wanted
+
+
+def test_merged_tops(board, plan):
+    rows, df = board
+    summary = tops.daily_tops(df, 10)
+    for first, last in ((0, 99), (10, 30), (50, 50), (7, 8), (200, 300)):
+        got = defaultdict(list)
+        merged = tops.merged_tops(summary, first, last, 10)
+        for r in merged.orderBy("rank").collect():
+            got[r["subreddit"]].append((-r["score"], r["post_id"]))
+        days = [r for r in rows if first <= r[6] // 86_400 <= last]
+        assert got == {s: sorted((-r[4], r[0]) for r in days if r[8] == s)[:10] for s in {r[8] for r in days}}
+    assert "selftext" not in "".join(line for line in plan(merged).splitlines() if "Exchange" in line or "Sort [" in line)
+    with pytest.raises(ValueError):
+        tops.merged_tops(summary, 3, 2)
+
+
 def test_search(board):
     rows, df = board
     hits = [r for r in rows if r[8] == "big" and all(w in (r[1] + "\0" + r[2]).lower() for w in ("tale", "dragon"))]
@@ -205,6 +279,51 @@ def test_search(board):
         forum.search_posts(df, "big", "x", "rising")
 
 
+@pytest.fixture(scope="module")
+def index(spark, board, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index"))
+    search.save_index(board[1], path)
+    return search.open_index(spark, path)
+
+
+def test_indexed_search_finds_what_the_scan_finds(board, index):
+    rows, df = board
+    for query in ("dragon Tale", "other", "nothing", "tale nothing", "no such"):
+        for sort in ("top", "new", "hot"):
+            scanned = [r["post_id"] for r in forum.search_posts(df, "big", query, sort, 25).collect()]
+            assert [r["post_id"] for r in search.search_indexed(index, df, "big", query, sort, 25).collect()] == scanned
+    own = search.search_indexed(index, df, "big", "tale", F.col("score") + F.col("created_utc"), 3)
+    assert own.count() == 3
+    assert search.search_indexed(index, df, "big", " ").count() == 0
+    with pytest.raises(ValueError):
+        search.search_indexed(index, df, "big", "x", "rising")
+
+
+def test_relevance_is_bm25(board, index):
+    rows, df = board
+    words = {r[0]: (r[1] + " " + r[2]).lower().split() for r in rows}
+    mean = sum(map(len, words.values())) / len(words)
+    assert (index.posts, index.mean_length) == (300, pytest.approx(mean))
+
+    def bm25(own):
+        total = 0
+        for term in ("dragon", "tale"):
+            df_ = sum(term in w for w in words.values())
+            n = own.count(term)
+            total += math.log(1 + (300 - df_ + 0.5) / (df_ + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        return round(total, 6)
+
+    hits = sorted((-bm25(words[r[0]]), -r[4], r[0]) for r in rows if r[8] == "big" and {"dragon", "tale"} <= set(words[r[0]]))
+    got = search.search_indexed(index, df, "big", "Tale dragon dragon", limit=40).collect()
+    assert [(r["post_id"], pytest.approx(r["relevance"])) for r in got] == [(p, -b) for b, _, p in hits[:40]]
+
+
+def test_a_search_reads_the_postings_of_its_words(board, index, plan):
+    found = plan(search.matches(index, "big", ["dragon", "tale"]))
+    assert "PushedFilters: [In(word, [dragon,tale])" in found or "In(word, [dragon,tale])" in found
+    assert "selftext" not in found
+
+
 def test_posts_by_id(spark, board):
     ids = spark.createDataFrame([("p1",), ("p1",), ("none",)], "post_id string")
     got = {r["post_id"]: r["title"] for r in forum.posts_by_id(board[1], ids).collect()}

@@ -19,7 +19,7 @@ def sql():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"r1_features", "r2_fit_bt", "r3_score"}
+    assert set(QUERIES) - set(ORACLES) == {"r2_fit_bt"}
 
 
 @pytest.mark.parametrize("name", list(ORACLES))

@@ -89,3 +89,27 @@ def test_pad_to_batch(spark):
     df = spark.createDataFrame(rows, "epoch int, batch bigint, ids array<int>")
     got = {(r["batch"], tuple(r["ids"]), tuple(r["attention_mask"])) for r in batches.pad_to_batch(df, "ids", 9).collect()}
     assert got == {(0, (1, 2, 3), (1, 1, 1)), (0, (4, 9, 9), (1, 0, 0)), (1, (9, 9), (0, 0)), (1, (5, 6), (1, 1))}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10, 97, 100, 101, 1000])
+def test_permutations(spark, n):
+    """Every epoch places every row once, in an order of its own, the same on every run."""
+    plan = batches.permuted_batches(table(spark, n), "pair_id", 8, epochs=4)
+    rows = [(r["epoch"], r["position"], r["pair_id"], r["batch"]) for r in plan.collect()]
+    assert sorted((e, p) for e, p, _, _ in rows) == [(e, p) for e in range(4) for p in range(n)]
+    assert sorted((e, i) for e, _, i, _ in rows) == [(e, i * 7) for e in range(4) for i in range(n)]
+    assert all(b == p // 8 for _, p, _, b in rows)
+    again = batches.permuted_batches(table(spark, n, 5), "pair_id", 8, epochs=4)
+    assert sorted(rows) == sorted((r["epoch"], r["position"], r["pair_id"], r["batch"]) for r in again.collect())
+    if n >= 97:
+        orders = [[i for e, _, i, _ in sorted(rows) if e == epoch] for epoch in range(4)]
+        assert len({tuple(o) for o in orders}) == 4
+        # Neighbours of one epoch are not neighbours of the next.
+        place = {i: p for p, i in enumerate(orders[1])}
+        close = sum(abs(place[a] - place[b]) < 4 for a, b in zip(orders[0], orders[0][1:]))
+        assert close < n / 5
+
+
+def test_epochs_share_one_ordering(spark, plan):
+    text = plan(batches.permuted_batches(table(spark, 50), "pair_id", 8, epochs=4))
+    assert text.count("Window ") <= 3 and "epoch" not in "".join(line for line in text.splitlines() if "Exchange" in line)

@@ -123,6 +123,42 @@ def test_cache_is_written_once_and_per_key(spark, tmp_path):
     assert sinks.cache_key("m", 8, "train", "src", 1, size=1) != sinks.cache_key("m", 8, "train", "src", 1, size=2)
 
 
+def test_two_builders_never_mix(spark, tmp_path):
+    """Both build; one is published, and every reader sees that one whole."""
+    path = f"{tmp_path}/key"
+    slow = spark.range(50).selectExpr("id", "'slow' AS who").repartition(5)
+    fast = spark.range(50).selectExpr("id", "'fast' AS who").repartition(3)
+
+    def build_slowly():
+        # Another builder is done in the meantime.
+        assert {r["who"] for r in sinks.cached(spark, str(tmp_path), "key", lambda: fast).collect()} == {"fast"}
+        return slow
+
+    got = sinks.cached(spark, str(tmp_path), "key", build_slowly, check=True).collect()
+    assert len(got) == 50 and {r["who"] for r in got} == {"fast"}
+    manifest = sinks.published(spark, path)
+    assert manifest["rows"] == 50
+    # Should both have published at once, all readers take the same one of them.
+    other = spark.createDataFrame([(manifest["published"] + 1, "zzz", 50, "0")], sinks.MANIFEST)
+    other.write.mode("append").parquet(f"{path}/manifests")
+    assert sinks.published(spark, path)["build"] == manifest["build"]
+    assert sinks.cached(spark, str(tmp_path), "key", build_slowly).count() == 50
+
+
+def test_half_a_copy_is_not_read(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/key/build-dead")
+    assert sinks.published(spark, f"{tmp_path}/key") is None
+    assert sinks.cached(spark, str(tmp_path), "key", lambda: spark.range(9)).count() == 9
+
+
+def test_a_changed_copy_is_noticed(spark, tmp_path):
+    sinks.cached(spark, str(tmp_path), "key", lambda: spark.range(9))
+    manifest = sinks.published(spark, f"{tmp_path}/key")
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/key/build-{manifest['build']}")
+    with pytest.raises(ValueError, match="published"):
+        sinks.cached(spark, str(tmp_path), "key", lambda: spark.range(9), check=True)
+
+
 def test_row_ids_of_repeated_rows(spark):
     rows = [("a", "b")] * 25 + [("a", None), ("ab", ""), ("a", "b:"), (None, None), (None, None)]
     df = spark.createDataFrame(rows, "x string, y string")

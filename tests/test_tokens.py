@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
 from prefweave.operators import tokens
+from prefweave.operators.dictionary import WordDictionary
 from prefweave.plans.training_data import prepare_pairs
 
 TEXTS = ["The cat sat. The CAT ran 3 times", "Élan vital — ça va? abc123", "", None, "...", "dog " * 9, "zebra"]
@@ -58,6 +59,49 @@ def test_a_large_vocabulary_is_used_whole(spark):
         tokens.Vocabulary(vocab, limit=1000)
 
 
+@pytest.mark.parametrize("room", [0, 1, 5, 9, 1000])
+def test_a_dictionary_of_any_size(spark, docs, room):
+    """The same ids however few words are shipped; null, empty and repeated texts, and unknown words, included."""
+    vocab = tokens.build_vocab(docs, "text", 9)
+    known = vocabulary(TEXTS, 9)
+    dictionary = WordDictionary(vocab, room * 12)
+    assert dictionary.whole == (room >= 12)
+    assert len(dictionary.shipped.value[0]) <= max(room, 0)
+    wanted = {i: None if t is None else [known.get(w, 1) for w in words(t)][:20] for i, t in enumerate(TEXTS)}
+    got = tokens.encode(docs, "id", "text", dictionary, 20)
+    assert {r["id"]: r["ids"] for r in got.collect()} == wanted
+    pairs = docs.select(F.col("id").alias("pair_id"), F.col("text").alias("chosen_story"), F.reverse("text").alias("rejected_story"))
+    for row in tokens.encode_pairs(pairs, dictionary, 20).collect():
+        assert row["chosen_ids"] == wanted[row["pair_id"]]
+        back = TEXTS[row["pair_id"]]
+        assert row["rejected_ids"] == (None if back is None else [known.get(w, 1) for w in words(back[::-1])][:20])
+
+
+def test_words_with_one_fingerprint_get_another_salt(docs, monkeypatch):
+    from prefweave.operators import dictionary
+
+    vocab = tokens.build_vocab(docs, "text")
+    whole = dictionary.word_fingerprint
+    monkeypatch.setattr(dictionary, "word_fingerprint", lambda w, salt: F.length(w).cast("bigint") if salt < 2 else whole(w, salt))
+    words_ = WordDictionary(vocab)
+    assert words_.salt == 2
+    got = {r["id"]: r["ids"] for r in tokens.encode(docs, "id", "text", words_).collect()}
+    known = vocabulary(TEXTS, 1000)
+    assert got[0] == [known[w] for w in words(TEXTS[0])]
+
+
+def test_rare_words_move_without_texts(spark, docs, plan):
+    """Beyond what is shipped, fingerprints and ids are shuffled, never texts."""
+    vocab = tokens.build_vocab(docs, "text", 9)
+    encoded = tokens.encode(docs, "id", "text", WordDictionary(vocab, 36))
+    assert "text" not in " ".join(line for line in plan(encoded).splitlines() if "Exchange" in line)
+
+
+def test_batches_are_bounded_by_bytes(spark, docs):
+    WordDictionary(tokens.build_vocab(docs, "text"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_encode_without_vocabulary(spark, docs):
     empty = spark.createDataFrame([], "token string, id int")
     got = {r["id"]: r["ids"] for r in tokens.encode(docs, "id", "text", empty, 3).collect()}
