@@ -149,9 +149,12 @@ VIEWS = {
     "document_words": f"""
         SELECT doc_id, lang, n_chars, list_concat({TOKENS.format("concat(source, ' ', lang)")}, {TOKENS.format('text')}) AS words
         FROM documents""",
+    "post_words": f"""
+        SELECT post_id, subreddit, score, list_concat({TOKENS.format('title')}, {TOKENS.format('selftext')}) AS words
+        FROM posts""",
     "story_terms": f"""
         SELECT pair_id, side, bucket, count(*) AS n
-        FROM (SELECT pair_id, side, CAST(concat('0x', substr(md5(token), 1, 8)) AS BIGINT) % 65536 AS bucket
+        FROM (SELECT pair_id, side, CAST(concat('0x', substr(md5(token), 1, 8)) AS BIGINT) % 16384 AS bucket
               FROM (SELECT pair_id, 'c' AS side, unnest({TOKENS.format('chosen_story')}) AS token FROM train_pairs
                     UNION ALL
                     SELECT pair_id, 'r', unnest({TOKENS.format('rejected_story')}) FROM train_pairs) t) b
@@ -160,7 +163,8 @@ VIEWS = {
         SELECT bucket, ln((any_value(stories) + 1)::DOUBLE / (count(*) + 1)) AS idf
         FROM story_terms, (SELECT 2 * count(*) AS stories FROM train_pairs) s GROUP BY bucket""",
     "story_features": """
-        SELECT pair_id, side, bucket, n * idf AS x FROM story_terms JOIN term_weights USING (bucket) WHERE idf <> 0""",
+        SELECT pair_id, side, bucket, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY pair_id, side)) AS x
+        FROM story_terms JOIN term_weights USING (bucket) WHERE idf <> 0""",
     "feature_differences": """
         SELECT * FROM (SELECT pair_id, bucket, sum(CASE side WHEN 'c' THEN x ELSE -x END) AS x
                        FROM story_features GROUP BY pair_id, bucket) d WHERE x <> 0""",
@@ -309,6 +313,17 @@ def permuted_once(source: str) -> str:
     return f"SELECT * EXCLUDE (a, b), a * low + b AS v FROM ({sql})"
 
 
+VIEWS["numbered_pairs"] = """
+    SELECT pair_id, epoch, n, low, CAST(ceil(n / low::DOUBLE) AS BIGINT) AS high,
+        row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('42:', pair_id)), pair_id) - 1 AS v
+    FROM pair_ids, (SELECT unnest([0, 1, 2]) AS epoch) e,
+        (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS low FROM (SELECT count(*) AS n FROM pair_ids) c) s"""
+VIEWS["permuted"] = f"""
+    SELECT pair_id, epoch, n, low, high, v FROM ({permuted_once("SELECT * FROM numbered_pairs")}) f
+    UNION ALL
+    SELECT pair_id, epoch, n, low, high, v FROM ({permuted_once("SELECT * FROM permuted WHERE v >= n")}) g"""
+
+
 def chats(cot: bool) -> str:
     return (
         f"SELECT row_id, split_name AS split, {chat_text(OTHER, cot)} AS text, '### Assistant:' AS response_marker "
@@ -392,18 +407,15 @@ ORACLES = {
             (SELECT count(*) AS posts, avg(len(words))::DOUBLE AS mean_length FROM document_words) s
         WHERE lang = 'en' GROUP BY doc_id, n_chars HAVING count(*) = 4
         ORDER BY relevance DESC, score DESC, post_id LIMIT 100""",
-    "c2_indexed_top": f"""
-        WITH w AS (SELECT post_id, subreddit, score, list_concat({TOKENS.format('title')}, {TOKENS.format('selftext')}) AS words
-                   FROM posts),
-        found AS (
-            SELECT *, CAST(len(list_filter(words, lambda x: x = word)) AS DOUBLE) AS n
-            FROM w, (VALUES ('story'), ('9')) q(word)),
-        scored AS (
-            SELECT *, count(*) OVER (PARTITION BY word) AS df FROM found WHERE n > 0)
+    "c2_indexed_top": """
         SELECT post_id, score,
             round(sum(ln(1 + (posts - df + 0.5) / (df + 0.5)) * n * 2.2
                 / (n + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len(words) / mean_length))), 6) AS relevance
-        FROM scored, (SELECT count(*) AS posts, avg(len(words))::DOUBLE AS mean_length FROM w) s
+        FROM (SELECT *, count(*) OVER (PARTITION BY word) AS df
+              FROM (SELECT *, CAST(len(list_filter(words, lambda w: w = word)) AS DOUBLE) AS n
+                    FROM post_words, (VALUES ('story'), ('9')) q(word)) c
+              WHERE n > 0) f,
+            (SELECT count(*) AS posts, avg(len(words))::DOUBLE AS mean_length FROM post_words) s
         WHERE subreddit = 'view' GROUP BY post_id, score HAVING count(*) = 2
         ORDER BY score DESC, post_id LIMIT 100""",
     "c2_postings": f"""
@@ -547,19 +559,8 @@ ORACLES = {
               FROM (SELECT {chat_text(LLAMA, cot=True)} AS text FROM rationales WHERE {VALID}) c) w""",
     "f1_assign_batches": """
         SELECT pair_id, CAST(epoch AS BIGINT) AS epoch, "position", "position" // 8 AS batch FROM pair_positions""",
-    "f1_permuted_batches": f"""
-        WITH RECURSIVE sized AS (
-            SELECT n, low, CAST(ceil(n / low::DOUBLE) AS BIGINT) AS high
-            FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS low FROM (SELECT count(*) AS n FROM pair_ids))),
-        based AS (
-            SELECT pair_id, epoch, n, low, high,
-                row_number() OVER (PARTITION BY epoch ORDER BY md5(concat('42:', pair_id)), pair_id) - 1 AS v
-            FROM pair_ids, sized, (SELECT unnest([0, 1, 2]) AS epoch) e),
-        walk AS (
-            SELECT pair_id, epoch, n, low, high, v FROM ({permuted_once("SELECT * FROM based")})
-            UNION ALL
-            SELECT pair_id, epoch, n, low, high, v FROM ({permuted_once("SELECT * FROM walk WHERE v >= n")}))
-        SELECT pair_id, CAST(epoch AS BIGINT) AS epoch, v AS "position", v // 8 AS batch FROM walk WHERE v < n""",
+    "f1_permuted_batches": """
+        SELECT pair_id, CAST(epoch AS BIGINT) AS epoch, v AS "position", v // 8 AS batch FROM permuted WHERE v < n""",
     "f2_drop_last": """
         SELECT pair_id, CAST(epoch AS BIGINT) AS epoch, "position", "position" // 7 AS batch FROM pair_positions
         WHERE epoch < 2 QUALIFY count(*) OVER (PARTITION BY epoch, "position" // 7) = 7""",
@@ -603,7 +604,7 @@ ORACLES = {
         SELECT n - k AS train_pairs, k AS validation_pairs, true AS better_than_chance, true AS optimal
         FROM (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.05 AS DOUBLE)) AS BIGINT) AS k FROM train_pairs) c""",
     "r3_score": """
-        SELECT t.pair_id, round(coalesce(c.score, 0), 3) AS chosen_score, round(coalesce(r.score, 0), 3) AS rejected_score
+        SELECT t.pair_id, round(coalesce(c.score, 0), 6) AS chosen_score, round(coalesce(r.score, 0), 6) AS rejected_score
         FROM train_pairs t
         LEFT JOIN (SELECT * FROM steepest_scores WHERE side = 'c') c USING (pair_id)
         LEFT JOIN (SELECT * FROM steepest_scores WHERE side = 'r') r USING (pair_id)""",
@@ -626,7 +627,7 @@ for _name, _same in (
 def _needs(sql: str, seen: list[str]) -> list[str]:
     for name in VIEWS:
         if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
-            if not (name in ("walk", "below", "below_loaded") and sql is VIEWS[name]):
+            if not (name in ("walk", "below", "below_loaded", "permuted") and sql is VIEWS[name]):
                 seen[:] = _needs(VIEWS[name], [*seen, "." + name]) if "." + name not in seen else seen
                 if name not in seen:
                     seen.append(name)

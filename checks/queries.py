@@ -834,7 +834,7 @@ def r3_score(spark, sf):
     """Scores by the step that SQL can take, too: coefficients against the gradient at 0."""
     train, model = _features(spark, sf)
     scored = reward.score_pairs(train, model, reward.steepest_scorer(train, model))
-    return scored.select("pair_id", *[F.round(c, 3).alias(c) for c in ("chosen_score", "rejected_score")])
+    return scored.select("pair_id", *[F.round(c, 6).alias(c) for c in ("chosen_score", "rejected_score")])
 
 
 @query

@@ -1,30 +1,38 @@
 """Linear Bradley-Terry reward model: the chance that a story is preferred is sigma(score - other score).
 
-For a linear score this is logistic regression, without intercept, on the difference of the two stories' features.
+For a linear score this is logistic regression, without intercept, on the difference of the two stories' features. The
+solvers at hand scale every feature by its spread, which a penalty on plain coefficients turns into thousands of steps for
+rare words, so the few lines of a solver are here.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from prefweave.durable import scratch_path
+from prefweave.durable import durable
 from prefweave.functions.text import tokens
 
-FEATURES = 1 << 16
+# Functions of this module travel to the executors by value, which need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+FEATURES = 1 << 14
 
 
 @dataclass(frozen=True)
 class LinearScorer:
-    """Coefficients by feature, for a scorer that no solver made."""
+    """Coefficients by feature. There is no intercept, as it would cancel out of every pair."""
 
     coefficients: np.ndarray
     intercept: float = 0.0
@@ -40,18 +48,24 @@ def _terms(text: Column, size: int) -> Column:
 
 
 def fit_features(df: DataFrame, text_column: str, size: int = FEATURES) -> PipelineModel:
-    """R1, fit: hashed token counts weighted by how rare a token is, ln((stories + 1) / (stories that hold it + 1))."""
+    """R1, fit: hashed token counts weighted by how rare a token is, ln((stories + 1) / (stories that hold it + 1)), and scaled
+    to length 1, so that a long story weighs as much as a short one and the solver converges soon."""
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_terms", outputCol="_counts")
-    weighted = IDF(inputCol="_counts", outputCol="features")
+    weighted = IDF(inputCol="_counts", outputCol="_weighted")
+    scaled = Normalizer(inputCol="_weighted", outputCol="features")
     prepared = df.filter(F.col(text_column).isNotNull()).select(_terms(F.col(text_column), size).alias("_terms"))
-    return PipelineModel([counted, weighted.fit(counted.transform(prepared))])
+    return PipelineModel([counted, weighted.fit(counted.transform(prepared)), scaled])
+
+
+def _size(model: PipelineModel) -> int:
+    return len(model.stages[1].idf)
 
 
 def features(df: DataFrame, text_column: str, model: PipelineModel, name: str = "features") -> DataFrame:
     """R1. Add the sparse feature vector of a story; a row without a story stays, with the vector of no words."""
-    size = len(model.stages[0].vocabulary)
+    size = _size(model)
     prepared = df.withColumn("_terms", F.coalesce(_terms(F.col(text_column), size), F.array().cast("array<string>")))
-    return model.transform(prepared).drop("_terms", "_counts").withColumnRenamed("features", name)
+    return model.transform(prepared).drop("_terms", "_counts", "_weighted").withColumnRenamed("features", name)
 
 
 def _by_feature(vector: str) -> Column:
@@ -73,37 +87,88 @@ def pair_differences(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     return both.withColumn("difference", entries).drop("_chosen", "_rejected")
 
 
-def _as_vectors(df: DataFrame, size: int) -> DataFrame:
-    """(label, features) of rows (label, difference), with sparse vectors: written as the struct that stands for a vector, and
-    read again as vectors, so no row passes through Python, and the solver reads the table as often as it likes."""
-    stored = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.transform("difference", lambda e: e["key"]).alias("indices"), F.transform("difference", lambda e: e["value"]).alias("values"),
-    )
-    path = scratch_path(df.sparkSession, "differences")
-    df.select("label", stored.alias("features")).write.parquet(path)
-    schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+def _sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(feature, value) of the rows of one task: the gradient of their losses, and the losses themselves as feature -1."""
+    gradient, total = np.zeros(len(weights)), 0.0
+    for batch in batches:
+        entries = batch.column(0)
+        flat = entries.flatten()
+        keys, values = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        row = np.repeat(np.arange(len(entries)), pc.list_value_length(entries).to_numpy())
+        margins = np.bincount(row, values * weights[keys], len(entries))
+        total += float(np.logaddexp(0, -margins).sum())
+        share = np.exp(-np.logaddexp(0, margins))  # 1 / (1 + e^margin), whatever its size
+        gradient -= np.bincount(keys, share[row] * values, len(weights))
+    used = np.flatnonzero(gradient)
+    features = np.concatenate([[-1], used]).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(np.concatenate([[total], gradient[used]]))], ["feature", "value"])
+
+
+def _evaluated(differences: DataFrame, weights: np.ndarray, rows: int, regularization: float) -> tuple[float, np.ndarray]:
+    """Mean loss and penalty at the weights, and their gradient: each task sums its rows, and one row per feature comes back."""
+    shipped = differences.sparkSession.sparkContext.broadcast(weights)
+    sums = differences.select("difference").mapInArrow(lambda batches: _sums(batches, shipped.value), "feature int, value double")
+    told = sums.groupBy("feature").agg(F.sum("value").alias("value")).toPandas()
+    shipped.destroy()
+    by_feature = told.set_index("feature")["value"]
+    gradient = regularization * weights
+    used = by_feature.index[by_feature.index >= 0].to_numpy()
+    gradient[used] += by_feature[used].to_numpy() / rows
+    return float(by_feature[-1]) / rows + regularization / 2 * float(weights @ weights), gradient
 
 
 def fit_bt(
-    pairs: DataFrame, model: PipelineModel, regularization: float = 0.01, iterations: int = 100
-) -> LogisticRegressionModel:
-    """R2. Fit the scorer. The likelihood of a pair is the same either way round, so a hash of its stories turns about
-    half of the pairs over: the solver then sees both labels, and every pair once."""
-    won = F.pmod(F.xxhash64("chosen_story", "rejected_story"), F.lit(2)) == 0
-    turned = F.transform("difference", lambda e: F.struct(e["key"].alias("key"), (-e["value"]).alias("value")))
-    examples = pair_differences(pairs, model).select(
-        won.cast("double").alias("label"), F.when(won, F.col("difference")).otherwise(turned).alias("difference")
-    )
-    solver = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=regularization, maxIter=iterations, tol=1e-9
-    )
-    return solver.fit(_as_vectors(examples, len(model.stages[0].vocabulary)))
+    pairs: DataFrame, model: PipelineModel, regularization: float = 0.01, iterations: int = 200, tolerance: float = 1e-4
+) -> LinearScorer:
+    """R2. Fit the scorer: the least mean loss plus regularization / 2 * |coefficients|^2, up to a gradient of length `tolerance`.
+
+    The differences are written once, sparse; each step is one pass over them. Steps are those of L-BFGS with a
+    line search, on the driver, which holds a few vectors of one number per feature. Which way round a pair is given does
+    not matter: its loss is that of the difference.
+    """
+    differences = durable(pair_differences(pairs, model).select("difference"))
+    rows, size = differences.count(), _size(model)
+    at = np.zeros(size)
+    if not rows:
+        return LinearScorer(at)
+    value, gradient = _evaluated(differences, at, rows, regularization)
+    memory: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        if np.linalg.norm(gradient) <= tolerance:
+            break
+        direction = -_preconditioned(gradient, memory)
+        slope, step = float(direction @ gradient), 1.0
+        while True:
+            there = at + step * direction
+            new_value, new_gradient = _evaluated(differences, there, rows, regularization)
+            # The loss is convex, so a short enough step lowers it; below rounding there is nothing left to gain.
+            if new_value <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        moved, turned = there - at, new_gradient - gradient
+        if moved @ turned > 0:
+            memory = [*memory[-9:], (moved, turned)]
+        at, value, gradient = there, new_value, new_gradient
+    return LinearScorer(at)
+
+
+def _preconditioned(gradient: np.ndarray, memory: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The gradient times the inverse of the curvature that the remembered steps (moved, turned) have shown."""
+    found, shares = gradient.copy(), []
+    for moved, turned in reversed(memory):
+        share = (moved @ found) / (moved @ turned)
+        shares.append(share)
+        found -= share * turned
+    if memory:
+        moved, turned = memory[-1]
+        found *= (moved @ turned) / (turned @ turned)
+    for (moved, turned), share in zip(memory, reversed(shares)):
+        found += moved * (share - (turned @ found) / (moved @ turned))
+    return found
 
 
 def penalised_gradient(
-    pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer, regularization: float = 0.01
+    pairs: DataFrame, model: PipelineModel, scorer: LinearScorer, regularization: float = 0.01
 ) -> DataFrame:
     """(feature, gradient) of the mean loss plus regularization / 2 * |coefficients|^2, at the scorer's coefficients.
 
@@ -134,7 +199,7 @@ def gradient_norm(gradient: DataFrame) -> float:
 
 def steepest_scorer(pairs: DataFrame, model: PipelineModel) -> LinearScorer:
     """The scorer after one step of length 1 against the gradient, from coefficients of 0: a baseline without a solver."""
-    size = len(model.stages[0].vocabulary)
+    size = _size(model)
     coefficients = np.zeros(size)
     # At most one row per feature.
     for row in penalised_gradient(pairs, model, LinearScorer(np.zeros(size))).collect():
@@ -143,7 +208,7 @@ def steepest_scorer(pairs: DataFrame, model: PipelineModel) -> LinearScorer:
 
 
 def score(
-    df: DataFrame, text_column: str, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer, name: str = "score"
+    df: DataFrame, text_column: str, model: PipelineModel, scorer: LinearScorer, name: str = "score"
 ) -> DataFrame:
     """R3. One score per story; higher is better. A row without a story has a null score."""
     product = ElementwiseProduct(scalingVec=Vectors.dense(scorer.coefficients), inputCol="_features", outputCol="_product")
@@ -152,7 +217,7 @@ def score(
     return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), total)).drop("_features", "_product")
 
 
-def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LogisticRegressionModel | LinearScorer) -> DataFrame:
+def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LinearScorer) -> DataFrame:
     """R3 on both stories of every pair; a missing story has a null score."""
     chosen = score(pairs, "chosen_story", model, scorer, "chosen_score")
     return score(chosen, "rejected_story", model, scorer, "rejected_score")
