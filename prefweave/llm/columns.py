@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         start = stop
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, as the worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def text_function(ddl: str, types: dict[str, pa.DataType], make: Callable[[], Callable], limit: int = SLICE_BYTES):
     """A Column function from text to a struct of the fields in `types`.
 
@@ -40,7 +49,7 @@ def text_function(ddl: str, types: dict[str, pa.DataType], make: Callable[[], Ca
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        work = make()
+        work, batch = make(), None
         kind = pa.struct(list(types.items()))
         for batch in batches:
             parts = []
@@ -50,8 +59,8 @@ def text_function(ddl: str, types: dict[str, pa.DataType], make: Callable[[], Ca
                 parts.append(pa.StructArray.from_arrays(arrays, fields=list(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
             del parts
-        # The worker lives on for other tasks: what this one freed goes back to the system.
-        pa.default_memory_pool().release_unused()
+        del work, batch
+        release_memory()
 
     return F.arrow_udf(run, ddl)
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
 from prefweave.llm.fm_index import FmIndex
-from prefweave.llm.storage import Shipped
+from prefweave.llm.storage import Shipped, written
 from prefweave.llm.words import ALPHANUMERIC, joined, word_hashes, word_places
 
 WINDOW = 13
 # Text of the documents that one index holds, and of the benchmark items that are searched for in one pass.
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass
@@ -27,30 +27,41 @@ class Phrases:
 
     vocabulary: np.ndarray  # sorted word hashes; symbol = place + 1
     windows: list[np.ndarray]  # one matrix of symbols per window length
-    owners: list[list[np.ndarray]]  # per matrix and row: the places of the items in `items`
-    items: list[str]
+    owners: list[tuple[np.ndarray, np.ndarray]]  # per matrix: where the owners of each row begin (one end more), and all owners
+    items: list[str]  # an owner is a place in this list; items without an id own nothing, but their windows are here
     shortest: int
 
 
-def phrases_of(rows: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... as often as each of the `counts` says."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def phrases_of(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
     """Distinct windows of `window` words of every item; an item of fewer words, but not none, is one window."""
-    items = sorted({str(i) for i, text in rows if i is not None})
+    items = sorted({i for i, _ in rows if i is not None})
     place = {i: p for p, i in enumerate(items)}
-    texts = [(place[str(i)], text or "") for i, text in rows if i is not None]
-    data, offsets = joined([t for _, t in texts])
+    owner = np.array([place.get(i, -1) for i, _ in rows], np.int64)
+    data, offsets = joined([text or "" for _, text in rows])
     starts, ends = word_places(data, ALPHANUMERIC)
     hashes = word_hashes(data, starts, ends)
     vocabulary = np.unique(hashes)
-    symbols = np.searchsorted(vocabulary, hashes) + 1
+    symbols = (np.searchsorted(vocabulary, hashes) + 1).astype(np.int32)
     bounds = np.searchsorted(starts, offsets)
-    found: dict[int, dict[tuple, set[int]]] = {}
-    for (owner, _), a, b in zip(texts, bounds[:-1], bounds[1:]):
-        size = min(window, b - a)
-        for at in range(a, b - size + 1) if size else ():
-            found.setdefault(size, {}).setdefault(tuple(symbols[at : at + size].tolist()), set()).add(owner)
-    windows = [np.array(list(w), np.int64) for w in found.values()]
-    owners = [[np.array(sorted(o)) for o in w.values()] for w in found.values()]
-    return Phrases(vocabulary, windows, owners, items, min(found, default=window))
+    words = np.diff(bounds)
+    sizes = np.minimum(words, window)
+    windows, owners = [], []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == size)
+        counts = words[mine] - size + 1
+        first = np.repeat(bounds[:-1][mine], counts) + ramp(counts)
+        every = symbols[first[:, None] + np.arange(size)]
+        distinct, row = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([row.ravel(), np.repeat(owner[mine], counts)]), axis=1)
+        pairs = pairs[:, pairs[1] >= 0]
+        windows.append(distinct)
+        owners.append((np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), pairs[1]))
+    return Phrases(vocabulary, windows, owners, items, int(sizes[sizes > 0].min()) if (sizes > 0).any() else window)
 
 
 def shard_index(symbols: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[FmIndex, np.ndarray]:
@@ -93,7 +104,7 @@ def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, list[l
         return counts, spans, items
     edge = np.zeros(len(starts) + 1, np.int64)
     pairs = []
-    for windows, owners in zip(phrases.windows, phrases.owners):
+    for windows, (begins, owners) in zip(phrases.windows, phrases.owners):
         low, high = index.search(windows)
         hit = np.flatnonzero(low < high)
         sizes = (high - low)[hit]
@@ -106,8 +117,10 @@ def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, list[l
         text = np.searchsorted(bounds, first, side="right") - 1
         # Each pair of text and window once, then the items of the window.
         pair = np.unique(text * len(windows) + np.repeat(hit, sizes))
-        own = [owners[w] for w in (pair % len(windows)).tolist()]
-        pairs.append(np.repeat(pair // len(windows), [len(o) for o in own]) * len(phrases.items) + np.concatenate(own))
+        of = pair % len(windows)
+        counts_of = begins[of + 1] - begins[of]
+        own = owners[np.repeat(begins[of], counts_of) + ramp(counts_of)]
+        pairs.append(np.repeat(pair // len(windows), counts_of) * len(phrases.items) + own)
     covered = np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]])
     # Spans end with their text: windows never reach over its end, but neighbours may touch.
     change = np.diff(covered)
@@ -148,12 +161,12 @@ def hits(text: Column, phrases) -> Column:
 
 
 def phrase_blocks(benchmark: DataFrame, id_column: str, text_column: str, limit: int = BLOCK_BYTES) -> Iterator[list]:
-    """The items in blocks of about `limit` bytes, dealt by a hash of the id: each block is small enough to ship."""
+    """The items in blocks of about `limit` bytes, dealt by a hash of id and text: each block is small enough to ship."""
     items = benchmark.select(F.col(id_column).cast("string").alias("i"), F.coalesce(text_column, F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(total // limit) + 1
     for block in range(blocks):
-        yield [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
+        yield [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()]
 
 
 def merged_hits(found: list[str]) -> Column:
@@ -173,19 +186,24 @@ def merged_hits(found: list[str]) -> Column:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
-    item_column: str = "item_id", item_text: str = "text", name: str = "found",
+    item_column: str = "item_id", item_text: str = "text", name: str = "found", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Add the struct `name` to every row of `docs`: n_words, n_hit, items (sorted as strings), contaminated.
 
-    A row is contaminated if a word is hit and at least one word in twenty is. Items with a null id are left out, those with
-    equal ids count as one; an empty benchmark hits nothing. Rows never move: each task indexes its own shards. A benchmark
-    of more than BLOCK_BYTES is searched block by block, so that what is shipped to the tasks has a bound.
+    A row is contaminated if a word is hit and at least one word in twenty is. Words inside windows of items with a null id are
+    hit like any others; only the list of ids goes without them. Items with equal ids count as one; an empty benchmark hits
+    nothing. Rows never move: each task indexes its own shards. A benchmark of more than `block_bytes` is searched block by
+    block: what one block finds is written before the next is shipped, so the tasks hold one block at a time.
     """
     spark = docs.sparkSession
-    frame, columns = docs, []
-    for i, rows in enumerate(phrase_blocks(benchmark, item_column, item_text)):
+    frame, columns, before = docs, [], None
+    for i, rows in enumerate(phrase_blocks(benchmark, item_column, item_text, block_bytes)):
+        if before is not None:
+            frame = written(frame)
+            before.packed.destroy()
+        before = Shipped(spark, phrases_of(rows))
         columns.append(f"_{name}_{i}")
-        frame = frame.withColumn(columns[-1], hits(F.col(text_column), Shipped(spark, phrases_of(rows))))
+        frame = frame.withColumn(columns[-1], hits(F.col(text_column), before))
     words, hit = F.col(f"{columns[0]}.n_words"), merged_hits(columns)
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in columns]))))
     frame = frame.withColumn(f"_{name}_hit", hit)

@@ -173,13 +173,15 @@ def line_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     base = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = written(
-        base.select("_id", signed_lines(F.col("_text")).alias("s"))
-        .select("_id", "s.*")
+        base.select("_id", F.xxhash64("_text").alias("_mark"), signed_lines(F.col("_text")).alias("s"))
+        .select("_id", "_mark", "s.*")
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("at").alias("at"))
-    occurrences = rows.select("_id", "_row", F.posexplode(F.arrays_zip("node", "sim", "size")).alias("at", "l")).select(
-        "_id", "_row", "at", "l.*"
+    place = F.struct(
+        F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("at").alias("at"), F.col("_mark").alias("m")
+    )
+    occurrences = rows.select("_id", "_mark", "_row", F.posexplode(F.arrays_zip("node", "sim", "size")).alias("at", "l")).select(
+        "_id", "_mark", "_row", "at", "l.*"
     ).filter("size > 0")
     lines = written(
         occurrences.groupBy("node").agg(
@@ -214,16 +216,22 @@ def without_lines(text: Column, dropped: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, base: DataFrame) -> DataFrame:
-    """The pairs of lines that are alike, by the words of one occurrence of each."""
+    """The pairs of lines that are alike, by the words of one occurrence of each.
+
+    Rows are found by id and a hash of their text, so that rows which share an id, or have none, are no group of their own. A line
+    that is found has to be the one looked for: its own node is worked out again.
+    """
+    holder = lambda n, i, m: F.struct(n.alias("n"), i.alias("i"), m.alias("m"))
     wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
-    held = written(wanted.join(lines, F.col("_node") == F.col("node")).select("_node", F.col("_first.i").alias("_of"), F.col("_first.at").alias("_at")))
-    texts = sifted(base, F.col("_id"), bitmap_of(held, "_of"))
-    spelt = texts.select("_id", F.posexplode(_normal_lines(F.col("_text"))).alias("at", "line"))
-    near = sifted(spelt, F.struct("_id", "at"), bitmap_of(held.select(F.struct("_of", "_at").alias("_place")), "_place"))
-    # Rows that share an id may bring two lines for one place: both are tried.
-    found = written(
-        held.join(near, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("at"))).select("_node", "line").distinct()
-    )
+    of = holder(F.col("_first.n"), F.col("_first.i"), F.col("_first.m"))
+    held = written(wanted.join(lines, F.col("_node") == F.col("node")).select("_node", of.alias("_of"), F.col("_first.at").alias("_at")))
+    rows = base.select(holder(F.col("_id").isNull(), F.col("_id"), F.xxhash64("_text")).alias("_holder"), "_text")
+    texts = sifted(rows, F.col("_holder"), bitmap_of(held, "_of")).dropDuplicates(["_holder"])
+    told = texts.select("_holder", F.arrays_zip(signed_lines(F.col("_text"))["node"].alias("own"), _normal_lines(F.col("_text")).alias("line")).alias("l"))
+    spelt = told.select("_holder", F.posexplode("l").alias("at", "l")).select("_holder", "at", "l.*")
+    near = sifted(spelt, F.col("own"), bitmap_of(held, "_node"))
+    same = (F.col("_of") == F.col("_holder")) & (F.col("_at") == F.col("at")) & (F.col("_node") == F.col("own"))
+    found = written(held.join(near, same).select("_node", "line"))
     left = found.withColumnsRenamed({"_node": "_l", "line": "_left"})
     right = found.withColumnsRenamed({"_node": "_r", "line": "_right"})
     both = pairs.join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.columns import SLICE_BYTES, text_function
+from prefweave.llm.columns import SLICE_BYTES, release_memory, text_function
 from prefweave.llm.linking import linked
 from prefweave.llm.sieve import bitmap_of, sifted
 from prefweave.llm.storage import written
@@ -178,6 +178,7 @@ def compared(left: Column, right: Column) -> Column:
                     parts.append(pa.StructArray.from_arrays(arrays, fields=fields))
                     rows, size = [], 0
             yield pa.concat_arrays(parts)
+        release_memory()
 
     run.__annotations__ = {
         "batches": collections.abc.Iterator[tuple[pa.Array, pa.Array]], "return": collections.abc.Iterator[pa.Array],
@@ -186,8 +187,14 @@ def compared(left: Column, right: Column) -> Column:
 
 
 def _holder() -> Column:
-    """An id as a key that holds null ids, too."""
-    return F.struct(F.col("_id").isNull(), F.col("_id"))
+    """What a row is fetched by: its id, which may be null or shared by very many rows, together with a hash of its text."""
+    return F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_mark").alias("m"))
+
+
+def _held_texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_holder, _text): one row for each `_holder` of `wanted`, and for few others. Equal rows fall together before they move."""
+    texts = base.withColumn("_mark", F.xxhash64("_text")).select(_holder().alias("_holder"), "_text")
+    return sifted(texts, F.col("_holder"), bitmap_of(wanted, "_holder")).dropDuplicates(["_holder"])
 
 
 def _likely(left, right) -> Column:
@@ -217,19 +224,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     what cannot be a link, and full sets decide. Texts are shuffled only where a bitmap of the wanted ids lets them through.
     """
     base = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    rows = written(base.select("_id", signed(F.col("_text")).alias("s")).select("_id", "s.*"))
+    marked = base.select("_id", F.xxhash64("_text").alias("_mark"), signed(F.col("_text")).alias("s"))
+    rows = written(marked.select("_id", "_mark", "s.*"))
     filled = rows.filter("n > 0")
-    sets = written(filled.groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+    sets = written(filled.groupBy("node").agg(F.min("_id").alias("_id"), F.min(_holder()).alias("_holder"), F.first("n").alias("n"), F.first("bands").alias("bands"),
                                               *[F.first(o).alias(o) for o in SKETCH]))
     nodes = sets.select("node", F.array_distinct("bands").alias("keys"), "n", *SKETCH)
-    holders = sets.select("node", _holder().alias("_holder"))
+    holders = sets.select("node", "_holder")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, holders, base)
 
     def sharpen(left: DataFrame) -> DataFrame:
         held = written(left.join(holders, "node"))
-        texts = sifted(base, _holder(), bitmap_of(held, "_holder")).withColumn("_h", _holder())
+        texts = _held_texts(base, held).withColumnRenamed("_holder", "_h")
         own = held.join(texts, F.col("_holder") == F.col("_h")).select("node", _sharp(F.col("_text")).alias("s"))
         told = own.filter(F.col("s.own") == F.col("node")).dropDuplicates(["node"]).select("node", "s.sharp")
         return told.join(nodes, "node")
@@ -255,7 +263,7 @@ def _verified(pairs: DataFrame, holders: DataFrame, base: DataFrame) -> DataFram
     held = pairs.join(holders.withColumnsRenamed({"node": "a", "_holder": "_left"}), "a")
     held = written(held.join(holders.withColumnsRenamed({"node": "b", "_holder": "_right"}), "b"))
     wanted = held.select(F.col("_left").alias("_holder")).union(held.select("_right"))
-    texts = sifted(base, _holder(), bitmap_of(wanted, "_holder")).select(_holder().alias("_holder"), "_text")
+    texts = _held_texts(base, wanted)
     left = texts.withColumnsRenamed({"_holder": "_l", "_text": "_left_text"})
     right = texts.withColumnsRenamed({"_holder": "_r", "_text": "_right_text"})
     both = held.join(left, F.col("_left") == F.col("_l")).join(right, F.col("_right") == F.col("_r"))

@@ -88,6 +88,20 @@ def test_near_duplicates_of_edge_rows(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_rows_without_ids_cost_no_more(spark):
+    """Texts are fetched by id and text: rows that share an id, or have none, are no group of their own."""
+    import time
+
+    rows = near_copies(21, groups=500, copies=4, words=40)
+    seconds = []
+    for ids in (lambda i: i, lambda i: None, lambda i: 7 if i % 2 else None):
+        started = time.perf_counter()
+        got = near_duplicates(table(spark, [(ids(i), t) for i, t in rows])).count()
+        seconds.append(time.perf_counter() - started)
+        assert got == len(rows)
+    assert max(seconds[1:]) < 2 * seconds[0] + 5
+
+
 def test_remaining_pairs_connect_what_stars_miss(spark, monkeypatch):
     """Chains: neighbours are alike, ends are not, and chunks are tiny."""
     monkeypatch.setattr(linking, "CHUNK", 2)
@@ -190,7 +204,7 @@ def brute_contamination(text, items):
         for i in range(len(words) - size + 1) if size else ():
             if tuple(words[i : i + size]) in windows:
                 hit.update(range(i, i + size))
-                found.add(str(item))
+                found |= {str(item)} if item is not None else set()
     return len(words), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
@@ -199,13 +213,10 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block_bytes):
     from prefweave.llm import decontaminate
 
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
-    limit = block_bytes
-    original = decontaminate.phrase_blocks
-    monkeypatch.setattr(decontaminate, "phrase_blocks", lambda b, i, t: original(b, i, t, limit))
     random.seed(3)
     vocabulary = [f"k{i}" for i in range(25)] + ["Été", "ß", "9"]
     items = [(i, " ".join(random.choices(vocabulary, k=random.choice([3, 12, 13, 14, 40])))) for i in range(12)]
-    items += [(20, None), (21, ""), (22, " .,; "), (None, "k1 k2"), (3, items[3][1]), (23, items[0][1].upper())]
+    items += [(20, None), (21, ""), (22, " .,; "), (None, "k1 k2"), (None, items[2][1] + " k9 k8"), (None, "k1 k2"), (3, items[3][1]), (23, items[0][1].upper())]
     rows = []
     for i in range(60):
         words = random.choices(vocabulary + ["other"], k=random.randrange(80))
@@ -216,11 +227,18 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block_bytes):
         rows.append((i, random.choice([" ", ", ", "\n"]).join(words)))
     rows += [(100, None), (101, ""), (102, "..."), (None, items[0][1]), (7, rows[7][1]), (103, items[1][1] * 1), (104, "zz " * 50_000 + items[2][1])]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    got = contamination(table(spark, rows), benchmark, name="told").select("doc_id", "text", "told.*").collect()
-    known = [(i, t) for i, t in items if i is not None]
+    told = contamination(table(spark, rows), benchmark, name="told", block_bytes=block_bytes)
+    got = told.select("doc_id", "text", "told.*").collect()
     assert len(got) == len(rows)
     for r in got:
-        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == brute_contamination(r["text"], known)
+        assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == brute_contamination(r["text"], items)
+
+
+def test_items_without_an_id_are_searched(spark):
+    """Also where no item has one: their windows are hit, and the list of ids stays empty."""
+    benchmark = spark.createDataFrame([(None, "a b c"), (None, None)], "item_id bigint, text string")
+    got = contamination(table(spark, [(1, "x a b c y"), (2, "a b")]), benchmark).select("found.*").collect()
+    assert [tuple(r) for r in got] == [(5, 3, [], True), (2, 0, [], False)]
 
 
 def test_contamination_without_rows(spark):
