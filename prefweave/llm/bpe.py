@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
 
-# Encoded words and fragments that a task keeps for reuse.
-CACHED = 250_000
+# Encoded words, and fragments of longer ones, that a task keeps for reuse.
+CACHED, CACHED_FRAGMENTS = 100_000, 25_000
 # Fragments of up to so many bytes are merged without a heap.
 SHORT = 64
 
@@ -37,14 +37,14 @@ class Encoder:
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        self.texts = {str(i): t for t, i in [*self.vocab.items(), *self.special.items()]}
         pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         # Latin letters need no tables: the same expression for them, in the standard library.
         self.latin_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
         self.letters = byte_letters()
         self.inside = {t[i : i + 2] for t in map(self._bare, self.vocab) for i in range(len(t) - 1)}
-        self.known: dict[str, tuple[int, str]] = {}
+        self.known: dict[str, str] = {}
         self.fragments: dict[tuple[str, bool], list[str]] = {}
         self._library = None
         self._described = described
@@ -118,8 +118,8 @@ class Encoder:
                 heapq.heappush(heap, (ranks[p], before[i], *p))
         return [p for p in parts if p is not None]
 
-    def encode_word(self, word: str) -> tuple[int, str]:
-        """Number of tokens, and their ids joined by spaces."""
+    def encode_word(self, word: str) -> str:
+        """The ids of the tokens, joined by spaces."""
         if word.startswith(TRANSLATED):
             spelt = word[len(TRANSLATED) :]
         else:
@@ -131,44 +131,34 @@ class Encoder:
         for fragment in fragments:
             found = self.fragments.get(fragment)
             if found is None:
-                if len(self.fragments) >= CACHED:
+                if len(self.fragments) >= CACHED_FRAGMENTS:
                     self.fragments.clear()
                 found = self.fragments[fragment] = self.encode_fragment(*fragment)
             tokens += found
         vocab = self.vocab
-        kept = [t for t in tokens if t in vocab]
-        return len(kept), " ".join([str(vocab[t]) for t in kept])
+        return " ".join([str(vocab[t]) for t in tokens if t in vocab])
 
     def encode(self, text: str) -> tuple[int, str]:
         """Number of tokens and the ids, joined by spaces. Special tokens in the text count as themselves."""
-        total, ids = 0, []
+        ids = []
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.special:
-                total += 1
                 ids.append(str(self.special[part]))
                 continue
             if len(self.known) >= CACHED:
                 self.known.clear()
             get, add = self.known.get, self._add
-            found = [get(word) or add(word) for word in self.pieces(part)]
-            total += sum([f[0] for f in found])
-            ids += [f[1] for f in found if f[0]]
-        return total, " ".join(ids)
+            ids += filter(None, [get(word) or add(word) for word in self.pieces(part)])
+        joined = " ".join(ids)
+        return joined.count(" ") + 1 if joined else 0, joined
 
-    def _add(self, word: str) -> tuple[int, str]:
+    def _add(self, word: str) -> str:
         found = self.known[word] = self.encode_word(word)
         return found
 
     def decode(self, ids: str) -> str:
         """The texts of ids joined by spaces, special tokens included; the file names no decoder, so spaces join them."""
-        tokens = self.texts
-        return " ".join(map(tokens.__getitem__, ids.split(" "))) if ids else ""
-
-    @property
-    def texts(self) -> dict[str, str]:
-        if not hasattr(self, "_texts"):
-            self._texts = {str(i): t for i, t in self.tokens.items()}
-        return self._texts
+        return " ".join(map(self.texts.__getitem__, ids.split(" "))) if ids else ""
 
 
 # Marks a word that is in byte letters already; the private-use character stands in no byte letter.
