@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.columns import text_function
 
-# Encoded words, and fragments of longer ones, that a task keeps for reuse.
-CACHED, CACHED_FRAGMENTS = 100_000, 25_000
+# Encoded words that a task keeps for reuse, in each of two generations, and fragments of longer words.
+CACHED, CACHED_FRAGMENTS = 125_000, 25_000
 # Fragments of up to so many bytes are merged without a heap.
 SHORT = 64
 
@@ -45,6 +45,7 @@ class Encoder:
         self.letters = byte_letters()
         self.inside = {t[i : i + 2] for t in map(self._bare, self.vocab) for i in range(len(t) - 1)}
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.fragments: dict[tuple[str, bool], list[str]] = {}
         self._library = None
         self._described = described
@@ -146,14 +147,18 @@ class Encoder:
                 ids.append(str(self.special[part]))
                 continue
             if len(self.known) >= CACHED:
-                self.known.clear()
+                # Words that are still in use come back from the older generation; the others go with it.
+                self.known, self.older = {}, self.known
             get, add = self.known.get, self._add
             ids += filter(None, [get(word) or add(word) for word in self.pieces(part)])
         joined = " ".join(ids)
         return joined.count(" ") + 1 if joined else 0, joined
 
     def _add(self, word: str) -> str:
-        found = self.known[word] = self.encode_word(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode_word(word)
+        self.known[word] = found
         return found
 
     def decode(self, ids: str) -> str:
