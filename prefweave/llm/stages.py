@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefweave.llm.bpe import round_trip_digests, shipped_vocabulary
-from prefweave.llm.columns import bound_batches
+from prefweave.llm.columns import bound_batches, release_memory
 from prefweave.llm.decontaminate import contamination
 from prefweave.llm.exact_dedup import exact_duplicates
 from prefweave.llm.language import fit_language_model, identified
@@ -36,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model does not reject."""
     bound_batches(spark)
     model = fit_language_model(docs.select("doc_id", "text", "lang").filter(~held_out()))
+    release_memory()  # of the driver, which goes on to other stages
     return docs.filter(~identified(F.col("text"), Shipped(spark, model))["rejected"])
 
 
