@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder (`spark.checkpoint.dir`).
 
-    Where none is named it is a folder in the warehouse, which all executors reach as well; never one of a single machine.
+    Where none is named, and the session runs on one machine, it is a folder in its warehouse. On a cluster a folder that all
+    executors reach has to be named.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
             folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
