@@ -15,16 +15,19 @@ from prefweave.llm.sieve import bitmap_of, sifted
 from prefweave.llm.storage import written
 from prefweave.llm.words import ALPHANUMERIC, joined, mixed, word_hashes, word_places
 
-# Two lines may differ in MOST_BITS of 64 bits of their SimHash: one of MOST_BITS + 1 blocks of bits is then the same. With two
-# bits a block has 21 of them; with the class of length that keeps chance groups rare up to some 10^8 different lines, where
-# three bits, and blocks of 16, would fill groups by chance from 10^6 on.
-MOST_BITS = 2
-BLOCKS = MOST_BITS + 1
-BLOCK_BITS = 64 // BLOCKS
+# A SimHash has BLOCKS blocks of BLOCK_BITS bits. In each block only some of the different words of a line vote, VOTING of 256 by a hash
+# of the word, so that a changed word leaves most blocks as they were; where fewer than LEAST_VOTERS would vote, all words do. Lines
+# meet that have a block in common: always when the words that differ vote in less than all blocks (pigeonhole), else by chance.
+BLOCKS = 8
+BLOCK_BITS = 24
+VOTING = 80
+LEAST_VOTERS = 3
+# Lines that meet by chance differ in some 84 of the other 168 bits; lines of edit similarity 0.9 in fewer than this.
+MOST_BITS = 64
 # Lines are alike when edits, to the longer one's length, leave this share.
 SIMILARITY = (90, 100)
 # Lengths within that share of each other fall into the same class of this ratio, or a class that both stand in.
-CLASS_RATIO = 1.3
+CLASS_RATIO = 2.0
 
 _ALL = np.arange(256)
 # Letters in lower case, every digit as 0, everything else as a blank.
@@ -44,8 +47,35 @@ def _lines(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def line_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line: 128 bits of its words in order, as two columns; the SimHash of its words; length when normalised."""
+# Words of the lines whose blocks are worked out at once; a longer single line is a step of its own.
+STEP_WORDS = 1 << 16
+
+
+def _different(hashes: np.ndarray, line_of: np.ndarray) -> np.ndarray:
+    """Places of the first occurrence of each word in its line, in order."""
+    tags = mixed(hashes ^ mixed(line_of.astype(np.uint64) + np.uint64(1)))
+    return np.sort(np.unique(tags, return_index=True)[1])
+
+
+def _blocks(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Every block of lines whose words begin at `begins`, which ends with the number of words. No line is without words."""
+    line_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    lots = mixed(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)).view(np.uint8).reshape(-1, 8)
+    blocks = np.zeros((len(begins) - 1, BLOCKS), np.int64)
+    for k in range(BLOCKS):
+        votes = lots[:, k] < VOTING
+        few = np.add.reduceat(votes, begins[:-1], dtype=np.int32) < LEAST_VOTERS
+        chosen = np.flatnonzero(votes | few[line_of])
+        counts = np.bincount(line_of[chosen], minlength=len(blocks))
+        salted = mixed(hashes[chosen] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+        bits = np.unpackbits(salted.view(np.uint8).reshape(-1, 8)[:, : BLOCK_BITS // 8], axis=1)
+        ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+        blocks[:, k] = (2 * ones > counts[:, None]) @ (1 << np.arange(BLOCK_BITS))
+    return blocks
+
+
+def _parsed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the lines: hash and length of each, where the words of each line begin (and end), and 128 bits of every line."""
     data, offsets = joined([line.replace("\n", " ") for line in lines])
     data = FOLD[data]
     starts, ends = word_places(data, ALPHANUMERIC)
@@ -55,37 +85,80 @@ def line_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     counts = np.diff(bounds)
     full = np.flatnonzero(counts)
     keys = np.zeros((len(lines), 2), np.uint64)
-    sims = np.zeros(len(lines), np.uint64)
-    lengths = np.zeros(len(lines), np.int64)
     if len(full):
         begins = bounds[:-1][full]
         place = (np.arange(len(hashes)) - np.repeat(begins, counts[full])).astype(np.uint64)
         for column, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             keys[full, column] = np.add.reduceat(mixed(hashes ^ mixed(place * np.uint64(salt) + np.uint64(column))), begins)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        sims[full] = np.packbits((2 * ones > counts[full][:, None]).astype(np.uint8), axis=1).view(np.uint64).ravel()
-        lengths[full] = np.add.reduceat(ends - starts, begins) + counts[full] - 1
+    return hashes, ends - starts, bounds, keys
+
+
+def line_signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line: 128 bits of its words in order, as two columns; its blocks, two to a column; length when normalised."""
+    hashes, sizes, bounds, keys = _parsed(lines)
+    counts = np.diff(bounds)
+    full = np.flatnonzero(counts)
+    sims = np.zeros((len(lines), BLOCKS // 2), np.int64)
+    lengths = np.zeros(len(lines), np.int64)
+    if len(full):
+        lengths[full] = np.add.reduceat(sizes, bounds[:-1][full]) + counts[full] - 1
+        line_of = np.repeat(np.arange(len(full)), counts[full])
+        kept = _different(hashes, line_of)
+        begins = np.concatenate([[0], np.cumsum(np.bincount(line_of[kept], minlength=len(full)))])
+        first = 0
+        while first < len(full):
+            last = max(first + 1, int(np.searchsorted(begins, begins[first] + STEP_WORDS, side="right")) - 1)
+            low, high = begins[first], begins[last]
+            blocks = _blocks(hashes[kept[low:high]], begins[first : last + 1] - low)
+            sims[full[first:last]] = blocks[:, 0::2] | blocks[:, 1::2] << 32
+            first = last
     return keys, sims, lengths
 
 
+def _split_all(texts: list[str]) -> tuple[list[str], pa.Array]:
+    split = [_lines(t) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(lines) for lines in split])]).astype(np.int32)
+    return [line for lines in split for line in lines], pa.array(ends)
+
+
+def _nodes(keys: np.ndarray) -> pa.Array:
+    raw = keys.tobytes()
+    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+
+
+SIMS = tuple(f"sim{i}" for i in range(BLOCKS // 2))
+
+
 def _signer():
     def sign(texts: list[str]) -> list:
-        split = [_lines(t) for t in texts]
-        keys, sims, lengths = line_signatures([line for lines in split for line in lines])
-        ends = np.concatenate([[0], np.cumsum([len(lines) for lines in split])]).astype(np.int32)
-        raw = keys.tobytes()
-        nodes = pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
-        nested = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
-        return [nested(nodes), nested(pa.array(sims.view(np.int64))), nested(pa.array(lengths.astype(np.int32)))]
+        lines, ends = _split_all(texts)
+        keys, sims, lengths = line_signatures(lines)
+        nested = lambda values: pa.ListArray.from_arrays(ends, values)
+        return [nested(_nodes(keys)), *[nested(pa.array(s)) for s in sims.T], nested(pa.array(lengths.astype(np.int32)))]
 
     return sign
 
 
 def signed_lines(text: Column) -> Column:
-    """Arrays `node`, `sim` and `size` of the lines of whole texts; lines without words have size 0."""
-    types = {"node": pa.list_(pa.binary()), "sim": pa.list_(pa.int64()), "size": pa.list_(pa.int32())}
-    return text_function("node array<binary>, sim array<bigint>, size array<int>", types, _signer)(text)
+    """Arrays `node`, `sim0` to `sim3` and `size` of the lines of whole texts; lines without words have size 0."""
+    types = {"node": pa.list_(pa.binary()), **{s: pa.list_(pa.int64()) for s in SIMS}, "size": pa.list_(pa.int32())}
+    ddl = ", ".join(["node array<binary>", *[f"{s} array<bigint>" for s in SIMS], "size array<int>"])
+    return text_function(ddl, types, _signer)(text)
+
+
+def _speller():
+    def spell(texts: list[str]) -> list:
+        lines, ends = _split_all(texts)
+        nested = lambda values: pa.ListArray.from_arrays(ends, values)
+        return [nested(_nodes(_parsed(lines)[3])), nested(pa.array([normal_line(line) for line in lines], pa.string()))]
+
+    return spell
+
+
+def spelt_lines(text: Column) -> Column:
+    """Arrays `own` (the nodes) and `line` (normalised) of the lines of whole texts."""
+    types = {"own": pa.list_(pa.binary()), "line": pa.list_(pa.string())}
+    return text_function("own array<binary>, line array<string>", types, _speller)(text)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -122,6 +195,10 @@ def alike(a: str, b: str) -> bool:
     """Edit similarity of two normalised lines of at least SIMILARITY."""
     part, whole = SIMILARITY
     most = (whole - part) * max(len(a), len(b)) // whole
+    left, right = a.split(" "), b.split(" ")
+    # Changing words where they stand is one way to edit; where that is few enough edits, the least number need not be known.
+    if len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right) if x != y) <= most:
+        return True
     return edit_distance(a, b, most) <= most
 
 
@@ -136,35 +213,30 @@ def _alike_column(left: Column, right: Column) -> Column:
     return F.arrow_udf(run, "boolean")(left, right)
 
 
-def _normal_lines(text: Column) -> Column:
-    def make():
-        return lambda texts: [[[normal_line(line) for line in _lines(t)] for t in texts]]
-
-    return text_function("lines array<string>", {"lines": pa.list_(pa.string())}, make)(text)["lines"]
-
-
-def block_keys(sim: Column, size: Column) -> Column:
-    """Keys of the groups a line stands in: a block of its bits within its class of length, and within the class below where
-    a line of that class could be alike."""
+def block_keys(sims: list[Column], size: Column) -> Column:
+    """Keys of the groups a line stands in: each of its blocks within its class of length, and within the class below where a
+    line of that class could be alike."""
     part, whole = SIMILARITY
     own = F.floor(F.log(size) / float(np.log(CLASS_RATIO)))
     lowest = F.floor(F.log(size * part / whole) / float(np.log(CLASS_RATIO)))
-    bits = [F.call_function("shiftright", sim, F.lit(BLOCK_BITS * i)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
-    return F.array_distinct(F.array(*[F.xxhash64(F.lit(i), b, c) for c in (own, lowest) for i, b in enumerate(bits)]))
+    bits = [F.call_function("shiftright", sims[i // 2], F.lit(32 * (i % 2))).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(BLOCKS)]
+    within = lambda c: [F.xxhash64(F.lit(i), b, c) for i, b in enumerate(bits)]
+    return F.when(own == lowest, F.array(*within(own))).otherwise(F.array(*within(own), *within(lowest)))
 
 
 def _likely(left, right) -> Column:
     part, whole = SIMILARITY
     sizes = (whole * left("size") >= part * right("size")) & (whole * right("size") >= part * left("size"))
-    return sizes & (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= MOST_BITS)
+    apart = [F.bit_count(left(s).bitwiseXOR(right(s))) for s in SIMS]
+    return sizes & (sum(apart[1:], apart[0]) <= MOST_BITS)
 
 
 def line_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for every row of `docs`: (id, n_lines, dropped), `dropped` being the numbers from 0 of lines to drop, in order.
 
     Lines are parted by line feeds and normalised to words in lower case, with digits as 0. Two lines are linked when they are
-    equal then, or when their SimHashes differ in at most MOST_BITS bits and their edit similarity is at least SIMILARITY. Of
-    every connected group one occurrence stays: that of the least id, null ids last, then the first line; of repeated rows the
+    equal then, or when their edit similarity is at least SIMILARITY and their SimHashes have a block in common and differ in
+    MOST_BITS bits at most. Nearly all pairs of that similarity meet; README has the measured share. Of every connected group one occurrence stays: that of the least id, null ids last, then the first line; of repeated rows the
     first. Lines without words are never dropped. Null and empty texts have no lines. Ids may be of any orderable type.
 
     Equal lines fall together first, by one aggregation, so a line that stands in a third of all texts is one row from there on.
@@ -180,15 +252,15 @@ def line_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     place = F.struct(
         F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("at").alias("at"), F.col("_mark").alias("m")
     )
-    occurrences = rows.select("_id", "_mark", "_row", F.posexplode(F.arrays_zip("node", "sim", "size")).alias("at", "l")).select(
+    occurrences = rows.select("_id", "_mark", "_row", F.posexplode(F.arrays_zip("node", *SIMS, "size")).alias("at", "l")).select(
         "_id", "_mark", "_row", "at", "l.*"
     ).filter("size > 0")
     lines = written(
         occurrences.groupBy("node").agg(
-            F.min(place).alias("_first"), F.count("*").alias("_count"), F.min("sim").alias("sim"), F.min("size").alias("size")
+            F.min(place).alias("_first"), F.count("*").alias("_count"), *[F.min(c).alias(c) for c in (*SIMS, "size")]
         )
     )
-    nodes = lines.select("node", block_keys(F.col("sim"), F.col("size")).alias("keys"), "sim", "size")
+    nodes = lines.select("node", block_keys([F.col(s) for s in SIMS], F.col("size")).alias("keys"), *SIMS, "size")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, lines, base)
@@ -227,8 +299,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, base: DataFrame) -> DataFrame:
     held = written(wanted.join(lines, F.col("_node") == F.col("node")).select("_node", of.alias("_of"), F.col("_first.at").alias("_at")))
     rows = base.select(holder(F.col("_id").isNull(), F.col("_id"), F.xxhash64("_text")).alias("_holder"), "_text")
     texts = sifted(rows, F.col("_holder"), bitmap_of(held, "_of")).dropDuplicates(["_holder"])
-    told = texts.select("_holder", F.arrays_zip(signed_lines(F.col("_text"))["node"].alias("own"), _normal_lines(F.col("_text")).alias("line")).alias("l"))
-    spelt = told.select("_holder", F.posexplode("l").alias("at", "l")).select("_holder", "at", "l.*")
+    told = texts.select("_holder", spelt_lines(F.col("_text")).alias("s")).select("_holder", "s.*")
+    spelt = told.select("_holder", F.posexplode(F.arrays_zip("own", "line")).alias("at", "l")).select("_holder", "at", "l.*")
     near = sifted(spelt, F.col("own"), bitmap_of(held, "_node"))
     same = (F.col("_of") == F.col("_holder")) & (F.col("_at") == F.col("at")) & (F.col("_node") == F.col("own"))
     found = written(held.join(near, same).select("_node", "line"))

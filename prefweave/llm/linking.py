@@ -105,7 +105,7 @@ def linked(
     members = nodes.select(F.explode("keys").alias("key"), "node")
     centers = group_centers(members)
     # Most groups have one member: a bitmap of the others lets few rows through to what follows.
-    members = sifted(members, F.col("key"), bitmap_of(centers, "key"))
+    members = written(sifted(members, F.col("key"), bitmap_of(centers, "key")))
     first = written(_both(star_pairs(members, centers), nodes.drop("keys"), likely))
     links = written(verify(first))
     labels = written(components(links))

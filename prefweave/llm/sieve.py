@@ -15,13 +15,16 @@ def _place(key: Column) -> Column:
 
 
 def bitmap_of(keys: DataFrame, column: str) -> DataFrame:
-    """(__sieve_bucket, __sieve_bits) of the keys: at most BUCKETS rows of 4 KB."""
+    """(__sieve_bucket, __sieve_bits) of the keys: at most BUCKETS rows of 4 KB, their bytes as an array, so that one is cheap to read."""
     place = _place(F.col(column))
-    return (
+    packed = (
         keys.select(F.bitmap_bucket_number(place).alias("__sieve_bucket"), F.bitmap_bit_position(place).alias("__sieve_at"))
         .groupBy("__sieve_bucket")
-        .agg(F.bitmap_construct_agg("__sieve_at").alias("__sieve_bits"))
+        .agg(F.bitmap_construct_agg("__sieve_at").alias("bits"))
     )
+    # Less 128, as a byte of Spark has a sign.
+    byte = lambda i: (F.conv(F.hex(F.substring(F.col("bits"), i, F.lit(1))), 16, 10).cast("int") - 128).cast("tinyint")
+    return packed.select("__sieve_bucket", F.transform(F.sequence(F.lit(1), F.lit(BUCKET_BITS // 8)), byte).alias("__sieve_bits"))
 
 
 def marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
@@ -30,8 +33,9 @@ def marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
     The share of others grows with the keys, up to all rows: results must not depend on it, only work may.
     """
     place = _place(key)
-    byte = F.conv(F.hex(F.substring("__sieve_bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    within = (F.bitmap_bit_position(place) % 8).cast("int")
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.get("__sieve_bits", F.call_function("shiftright", at, F.lit(3))).cast("int") + 128
+    within = at.bitwiseAND(F.lit(7))
     bit = F.call_function("shiftright", byte, within).bitwiseAND(F.lit(1)) == 1
     joined = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("__sieve_bucket"), "left")
     return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__sieve_bucket", "__sieve_bits")

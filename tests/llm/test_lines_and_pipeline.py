@@ -37,12 +37,22 @@ def test_edit_distance(a, b, most):
     assert got == true if true <= most else got > most
 
 
+def blocks_of(signature):
+    """The blocks of a signature, each with its number."""
+    return {(i, int(signature[i // 2]) >> 32 * (i % 2) & 0xFFFFFFFF) for i in range(D.BLOCKS)}
+
+
+def bits_apart(a, b):
+    return sum(int(x ^ y).bit_count() for x, y in zip(a, b))
+
+
 def brute_lines(rows):
     """Groups of linked lines by comparing every pair, and what each row loses."""
     lines = [(d is None, d if d is not None else 0, r, at, line) for r, (d, t) in enumerate(rows) for at, line in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if D.normal_line(x[4])] if lines else []
     forms = sorted({D.normal_line(x[4]) for x in lines})
     _, sims, _ = D.line_signatures(forms) if forms else (0, [], 0)
+    met = [blocks_of(x) for x in sims]
     label = {f: f for f in forms}
 
     def root(f):
@@ -52,7 +62,7 @@ def brute_lines(rows):
 
     for i, a in enumerate(forms):
         for j in range(i):
-            if int(sims[i] ^ sims[j]).bit_count() <= D.MOST_BITS and D.alike(a, forms[j]):
+            if met[i] & met[j] and bits_apart(sims[i], sims[j]) <= D.MOST_BITS and D.alike(a, forms[j]):
                 label[root(a)] = root(forms[j])
     first = {}
     for x in sorted(lines):
@@ -117,19 +127,63 @@ def test_lines_are_taken_out(spark):
 
 
 def test_alike_lines_share_a_key(spark):
-    """Pigeonhole: as many bits turned over as may be, and lengths within the bound, leave a common key."""
+    """One block that is the same, and lengths within the bound, leave a common key."""
     random.seed(9)
     rows = []
     for _ in range(200):
-        sim, size = random.getrandbits(64), random.randrange(5, 4000)
-        other = sim
-        for bit in random.sample(range(64), D.MOST_BITS):
-            other ^= 1 << bit
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        rows.append((signed(sim), size, signed(other), random.randrange(-(-size * 90 // 100), size + 1)))
-    df = spark.createDataFrame(rows, "s bigint, n int, t bigint, m int")
-    keys = lambda s, n: D.block_keys(F.col(s), F.col(n))
-    assert df.filter(~F.arrays_overlap(keys("s", "n"), keys("t", "m"))).count() == 0
+        blocks = [random.getrandbits(D.BLOCK_BITS) for _ in range(D.BLOCKS)]
+        others, size = [random.getrandbits(D.BLOCK_BITS) for _ in blocks], random.randrange(5, 4000)
+        same = random.randrange(D.BLOCKS)
+        others[same] = blocks[same]
+        packed = [side[i] | side[i + 1] << 32 for side in (blocks, others) for i in range(0, D.BLOCKS, 2)]
+        rows.append((*packed, size, random.randrange(-(-size * 90 // 100), size + 1)))
+    half = D.BLOCKS // 2
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} bigint" for i in range(2 * half)) + ", n int, m int")
+    keys = lambda first, size: D.block_keys([F.col(f"c{first + i}") for i in range(half)], F.col(size))
+    assert df.filter(~F.arrays_overlap(keys(0, "n"), keys(half, "m"))).count() == 0
+
+
+def test_a_changed_word_leaves_blocks_as_they_were():
+    random.seed(6)
+    words = ["".join(random.choices("abdeginorst", k=6)) for _ in range(400)]
+    lines = [random.sample(words, 30) for _ in range(200)]
+    others = [line[:9] + [f"new{chr(97 + i % 26)}{chr(97 + i // 26)}"] + line[10:] for i, line in enumerate(lines)]
+    sims = [D.line_signatures([" ".join(line) for line in side])[1] for side in (lines, others)]
+    shared = [len(blocks_of(a) & blocks_of(b)) for a, b in zip(*sims)]
+    # Neither word votes in a block with a chance of (11/16)^2.
+    assert sum(map(bool, shared)) >= 0.97 * len(shared) and sum(shared) / len(shared) > 0.4 * D.BLOCKS
+
+
+def test_signatures_in_steps(monkeypatch):
+    """Many words are worked out in steps, each line by itself, with the same signatures; repeated words vote once."""
+    random.seed(4)
+    lines = [" ".join(random.choice("abcdefgh") * random.randrange(1, 4) for _ in range(random.randrange(0, 90))) for _ in range(60)]
+    whole = D.line_signatures(lines)
+    monkeypatch.setattr(D, "STEP_WORDS", 40)
+    assert all((a == b).all() for a, b in zip(whole, D.line_signatures(lines)))
+    assert [D.line_signatures([line])[1][0].tolist() for line in lines] == whole[1].tolist()
+    assert D.line_signatures(["x y z"])[1].tolist() == D.line_signatures(["x y x z y"])[1].tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_recall_against_edit_similarity_alone(spark):
+    """Of all pairs of lines that are alike by their edits, whatever their signatures, nine in ten have to meet."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    lines = sorted({D.normal_line(line) for (t,) in texts for line in (t or "").split("\n")} - {""}, key=len)
+    _, sims, _ = D.line_signatures(lines)
+    counts = [{c: line.count(c) for c in set(line)} for line in lines]
+    alike = met = 0
+    for i, a in enumerate(lines):
+        for j in range(i + 1, len(lines)):
+            b = lines[j]
+            if 10 * len(a) < 9 * len(b):
+                break
+            # Each edit changes the counts of two letters at most.
+            apart = sum(abs(counts[i].get(c, 0) - counts[j].get(c, 0)) for c in counts[i].keys() | counts[j].keys())
+            if 5 * apart <= len(b) and D.alike(a, b):
+                alike += 1
+                met += bool(blocks_of(sims[i]) & blocks_of(sims[j])) and bits_apart(sims[i], sims[j]) <= D.MOST_BITS
+    assert alike >= 30 and met >= 0.9 * alike, (met, alike)
 
 
 def rows_for_pipeline():
