@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from prefweave.durable import durable
@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ENTRY_BYTES = 12
 # Bytes of entries that are shipped to every task at most.
 SHIPPED_BYTES = 256 << 20
+# Bytes of entries that pass the driver at once.
+BLOCK_BYTES = 8 << 20
 # Text and ids that one Arrow batch may hold, whatever the number of its rows.
 BATCH_BYTES = 4 << 20
 # Stands for a word that the shipped entries do not hold; no id is that low.
@@ -41,14 +43,63 @@ def word_fingerprint(word: Column, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), word)
 
 
-def _search(known: np.ndarray, ids: np.ndarray, words: np.ndarray, missing: int) -> np.ndarray:
-    """The id of each fingerprint, by the sorted `known` ones."""
-    if not len(known) or not len(words):
-        return np.full(len(words), missing, np.int32)
-    # Each word of a batch is searched once, in order, which keeps the searches close together.
-    distinct, back = np.unique(words, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-    return np.where(known[at] == distinct, ids[at], np.int32(missing))[back]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a task as one row: first fingerprint, all fingerprints, all ids."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    words, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [(), ()]))
+    if len(words):
+        row = [[int(words[0])], [words.astype(np.int64).tobytes()], [ids.astype(np.int32).tobytes()]]
+        types = [pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["first", "words", "ids"])
+
+
+class Entries:
+    """Fingerprints and ids in the order of the fingerprints, shipped in blocks.
+
+    Tasks sort and pack them; one block after the other passes the driver, which keeps none. Each block is a broadcast of its own.
+    """
+
+    def __init__(self, entries: DataFrame, rows: int, block: int):
+        spark = entries.sparkSession
+        dealt = entries.repartitionByRange(max(1, -(-rows * ENTRY_BYTES // block)), "word").sortWithinPartitions("word", "id")
+        packed = dealt.mapInArrow(_packed, "first bigint, words binary, ids binary")
+        self.firsts: list[int] = []
+        self.blocks: list[Broadcast] = []
+        held: list[Row] = []
+
+        def ship() -> None:
+            words, ids = b"".join(r["words"] for r in held), b"".join(r["ids"] for r in held)
+            self.firsts.append(held[0]["first"])
+            self.blocks.append(spark.sparkContext.broadcast((np.frombuffer(words, np.int64), np.frombuffer(ids, np.int32))))
+            held.clear()
+
+        # Ranges come in order; small neighbours share a block.
+        for row in packed.toLocalIterator():
+            if held and sum(len(r["words"]) + len(r["ids"]) for r in [*held, row]) > block:
+                ship()
+            held.append(row)
+        if held:
+            ship()
+
+    @property
+    def value(self) -> tuple[np.ndarray, np.ndarray]:
+        """All fingerprints and ids, in order."""
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return tuple(np.concatenate(x) for x in zip(empty, *[b.value for b in self.blocks]))
+
+    def search(self, words: np.ndarray, missing: int) -> np.ndarray:
+        """The id of each fingerprint."""
+        # Each word of a batch is searched once, in order, which keeps the searches close together.
+        distinct, back = np.unique(words, return_inverse=True)
+        found = np.full(len(distinct), missing, np.int32)
+        cuts = np.append(np.searchsorted(distinct, np.array(self.firsts, np.int64)), len(distinct))
+        for block, begin, end in zip(self.blocks, cuts, cuts[1:]):
+            if begin < end:
+                known, ids = block.value
+                wanted = distinct[begin:end]
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                found[begin:end] = np.where(known[at] == wanted, ids[at], np.int32(missing))
+        return found[back]
 
 
 def _ends(batch: pa.Array) -> np.ndarray:
@@ -90,11 +141,8 @@ class WordDictionary:
                 low = (F.col("id") >= 0) & (F.col("id") < F.lit(cut))
             self.rest = durable(entries.filter(~low))
             entries = entries.filter(low)
-        # At most `limit` bytes come to the driver and go to the tasks.
-        rows = entries.toPandas()
-        order = np.argsort(rows["word"].to_numpy(np.int64), kind="stable")
-        shipped = rows["word"].to_numpy(np.int64)[order], rows["id"].to_numpy(np.int32)[order]
-        self.shipped = spark.sparkContext.broadcast(shipped)
+        # At most `limit` bytes go to the tasks, and a block of them at once through the driver.
+        self.shipped = Entries(entries, min(self.size, room), BLOCK_BYTES)
 
     def _collides(self, vocab: DataFrame) -> bool:
         hashed = vocab.groupBy(word_fingerprint(F.col("token"), self.salt).alias("_word"))
@@ -116,7 +164,7 @@ class WordDictionary:
         def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 flat = batch.flatten().to_numpy(zero_copy_only=False)
-                found = _search(*shipped.value, flat, _OPEN)
+                found = shipped.search(flat, _OPEN)
                 ends, nulls, left = _ends(batch), pc.is_null(batch), found == _OPEN
                 left_ends = np.concatenate([[0], np.cumsum(left)])[ends]
                 arrays = [_nested(ends, found, nulls), _nested(left_ends, flat[left], nulls)]
@@ -132,7 +180,7 @@ class WordDictionary:
 
         def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                found = _search(*shipped.value, batch.flatten().to_numpy(zero_copy_only=False), unknown)
+                found = shipped.search(batch.flatten().to_numpy(zero_copy_only=False), unknown)
                 yield _nested(_ends(batch), found, pc.is_null(batch))
 
         return F.arrow_udf(look_up, "array<int>")(self._prints(words))

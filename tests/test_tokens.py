@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -77,6 +78,29 @@ def test_a_dictionary_of_any_size(spark, docs, room):
         assert row["rejected_ids"] == (None if back is None else [known.get(w, 1) for w in words(back[::-1])][:20])
 
 
+def test_entries_pass_the_driver_in_blocks(spark, docs, monkeypatch):
+    """The driver holds a block of the shipped entries at most, whatever the vocabulary, and the ids are the same."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from prefweave.operators import dictionary
+
+    def refused(self, *_):
+        raise AssertionError("all rows at once on the driver")
+
+    vocab = tokens.build_vocab(docs, "text")
+    known = vocabulary(TEXTS, 1000)
+    monkeypatch.setattr(dictionary, "BLOCK_BYTES", 36)
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(DataFrame, "collect", refused)
+    shipped = WordDictionary(vocab)
+    monkeypatch.undo()
+    blocks = [b.value[0] for b in shipped.shipped.blocks]
+    assert len(blocks) > 2 and sum(map(len, blocks)) == len(known)
+    assert (np.diff(np.concatenate(blocks)) > 0).all()
+    got = {r["id"]: r["ids"] for r in tokens.encode(docs, "id", "text", shipped).collect()}
+    assert got == {i: None if t is None else [known[w] for w in words(t)] for i, t in enumerate(TEXTS)}
+
+
 def test_words_with_one_fingerprint_get_another_salt(docs, monkeypatch):
     from prefweave.operators import dictionary
 
