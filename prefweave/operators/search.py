@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
+from prefweave.durable import durable
 from prefweave.functions.text import tokens
+from prefweave.operators.dictionary import bound_batches
 from prefweave.operators.forum import _SHIPPED_IDS, hot_rank, post_record
 
+# Functions of this module travel to the executors by value, which need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Stated constants of BM25: how soon a repeated word adds no more, and how much the length of a post counts.
 SATURATION, LENGTH_SHARE = 1.2, 0.75
 # Distances in relevance below this are ties.
 RELEVANCE_DIGITS = 6
+# Columns of a post that its postings repeat. Rows that agree in them, and in their length, count as one post.
+_SAME = ["post_id", "subreddit", "score", "created_utc"]
 
 
 @dataclass(frozen=True)
@@ -26,24 +41,47 @@ class SearchIndex:
     mean_length: float
 
 
+def _counted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The distinct words of each row's title and text, with how often they are in either."""
+    for title, text in batches:
+        n, titles = len(title), title.flatten()
+        coded = pa.concat_arrays([titles, text.flatten()]).dictionary_encode()
+        rows = np.concatenate([np.repeat(np.arange(n), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in (title, text)])
+        known = max(1, len(coded.dictionary))
+        entry, of = np.unique(rows * known + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        counts = [np.bincount(x, minlength=len(entry)).astype(np.int64) for x in (of[: len(titles)], of[len(titles) :])]
+        told = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(entry % known)), *map(pa.array, counts)], ["word", "in_title", "in_text"])
+        ends = np.searchsorted(entry, np.arange(n + 1) * known)
+        yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), told)
+
+
 def postings_of(posts: DataFrame) -> DataFrame:
     """(word, post_id, subreddit, in_title, in_text, length, score, created_utc), one row for each word of each post.
 
     `in_title` and `in_text` count the word in that field, `length` all words of both. Words are runs of letters, runs of digits
-    and single signs, in lower case. All rows of a post are made in one task, so its words are counted before they move.
+    and single signs, in lower case. The words of a row are counted in the row, and nothing moves. Only where rows agree in all of
+    `_SAME`, which a count of these columns tells, do their postings meet, to be summed.
     """
+    bound_batches(posts.sparkSession)
+    posts = posts.select(*_SAME[:2], F.col("score").cast("bigint").alias("score"), "created_utc", "title", "selftext")
+    again = durable(posts.groupBy(*_SAME).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in _SAME]))
+    if again.isEmpty():
+        return _postings(posts)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SAME])
+    met = _postings(posts.join(again, same, "left_semi"))
+    keys = [c for c in met.columns if c not in ("in_title", "in_text")]
+    summed = met.groupBy(*keys).agg(F.sum("in_title").alias("in_title"), F.sum("in_text").alias("in_text"))
+    return _postings(posts.join(again, same, "left_anti")).unionByName(summed)
+
+
+def _postings(posts: DataFrame) -> DataFrame:
+    """The postings of each row by itself."""
     title, text = (F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in ("title", "selftext"))
-    split = posts.select(
-        "post_id", "subreddit", F.col("score").cast("bigint").alias("score"), "created_utc", title.alias("_title"), text.alias("_text")
-    ).withColumn("length", F.size("_title") + F.size("_text"))
-    entry = lambda of_title: lambda w: F.struct(w.alias("word"), F.lit(of_title).alias("of_title"))
-    entries = F.concat(F.transform("_title", entry(True)), F.transform("_text", entry(False)))
-    rows = split.select("post_id", "subreddit", "length", "score", "created_utc", F.explode(entries).alias("e"))
-    return (
-        rows.groupBy(F.col("e.word").alias("word"), "post_id", "subreddit", "length", "score", "created_utc")
-        .agg(F.count_if("e.of_title").alias("in_title"), F.count_if(~F.col("e.of_title")).alias("in_text"))
-        .select("word", "post_id", "subreddit", "in_title", "in_text", "length", "score", "created_utc")
-    )
+    split = posts.select(*_SAME, title.alias("_title"), text.alias("_text"))
+    counted = F.arrow_udf(_counted, "array<struct<word string, in_title bigint, in_text bigint>>")(F.col("_title"), F.col("_text"))
+    told = split.select(*_SAME, (F.size("_title") + F.size("_text")).alias("length"), counted.alias("_words"))
+    rows = told.select(*_SAME, "length", F.inline("_words"))
+    return rows.select("word", "post_id", "subreddit", "in_title", "in_text", "length", "score", "created_utc")
 
 
 def save_index(posts: DataFrame, path: str) -> None:

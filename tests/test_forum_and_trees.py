@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefweave import fixed_values as V
+from prefweave.durable import durable
 from prefweave.operators import forum, search, tops, tours, trees
 
 COMMENTS = (
@@ -318,6 +319,27 @@ def test_relevance_is_bm25(board, index):
     assert [(r["post_id"], pytest.approx(r["relevance"])) for r in got] == [(p, -b) for b, _, p in hits[:40]]
 
 
+def test_postings_are_counted_where_the_posts_lie(spark, plan):
+    """Nothing is shuffled for posts that are told apart; rows that are one post are summed as before, null ids included."""
+    rows = [("a", "b", "The tale", "the Tale, the end", 1, 1.0), ("c", None, None, "x x", 2, 2.0), ("d", "b", "", "", 3, 3.0)]
+    twice = [(None, "b", "x", "y x", 4, None)] * 2 + [("a", "b", "one", "x", 9, 1.0)]
+    ddl = "post_id string, subreddit string, title string, selftext string, score int, created_utc double"
+
+    def told(some):
+        found = search.postings_of(some).collect()
+        return {(r["post_id"], r["score"], r["word"]): (r["in_title"], r["in_text"], r["length"]) for r in found}
+
+    wanted = {
+        ("a", 1, "the"): (1, 2, 7), ("a", 1, "tale"): (1, 1, 7), ("a", 1, ","): (0, 1, 7), ("a", 1, "end"): (0, 1, 7),
+        ("c", 2, "x"): (0, 2, 2),
+    }
+    once = spark.createDataFrame(rows, ddl).repartition(2)
+    assert told(once) == wanted
+    assert "Exchange" not in plan(search.postings_of(durable(once)))
+    more = {(None, 4, "x"): (2, 2, 3), (None, 4, "y"): (0, 2, 3), ("a", 9, "one"): (1, 0, 2), ("a", 9, "x"): (0, 1, 2)}
+    assert told(spark.createDataFrame(rows + twice, ddl).repartition(3)) == wanted | more
+
+
 def test_a_search_reads_the_postings_of_its_words(board, index, plan):
     found = plan(search.matches(index, "big", ["dragon", "tale"]))
     assert "PushedFilters: [In(word, [dragon,tale])" in found or "In(word, [dragon,tale])" in found
