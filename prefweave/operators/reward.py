@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from prefweave.durable import durable
 from prefweave.functions.text import tokens
+from prefweave.operators.dictionary import bound_batches
 
 # Functions of this module travel to the executors by value, which need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,12 +46,24 @@ def bucket(token: Column, size: int) -> Column:
 
 
 def _terms(text: Column, size: int) -> Column:
-    return F.transform(tokens(text), lambda token: bucket(token, size).cast("string"))
+    """The `bucket` of every token, as text. A batch hashes each of its words once, however often it stands there."""
+
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            coded = batch.flatten().dictionary_encode()
+            words = coded.dictionary.cast(pa.binary()).to_pylist()
+            terms = pa.array([str(int.from_bytes(md5(w).digest()[:4]) % size) for w in words], pa.string())
+            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(ends, terms.take(coded.indices), mask=pc.is_null(batch))
+
+    return F.arrow_udf(hashed, "array<string>")(tokens(text))
 
 
 def fit_features(df: DataFrame, text_column: str, size: int = FEATURES) -> PipelineModel:
     """R1, fit: hashed token counts weighted by how rare a token is, ln((stories + 1) / (stories that hold it + 1)), and scaled
     to length 1, so that a long story weighs as much as a short one and the solver converges soon."""
+    bound_batches(df.sparkSession)
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_terms", outputCol="_counts")
     weighted = IDF(inputCol="_counts", outputCol="_weighted")
     scaled = Normalizer(inputCol="_weighted", outputCol="features")
@@ -63,6 +77,7 @@ def _size(model: PipelineModel) -> int:
 
 def features(df: DataFrame, text_column: str, model: PipelineModel, name: str = "features") -> DataFrame:
     """R1. Add the sparse feature vector of a story; a row without a story stays, with the vector of no words."""
+    bound_batches(df.sparkSession)
     size = _size(model)
     prepared = df.withColumn("_terms", F.coalesce(_terms(F.col(text_column), size), F.array().cast("array<string>")))
     return model.transform(prepared).drop("_terms", "_counts", "_weighted").withColumnRenamed("features", name)
@@ -74,17 +89,25 @@ def _by_feature(vector: str) -> Column:
     return F.map_from_arrays(told["indices"], told["values"])
 
 
+def _vectors(pairs: DataFrame, model: PipelineModel) -> DataFrame:
+    """Complete pairs with the features of their stories as `_chosen` and `_rejected`."""
+    complete = pairs.filter(F.col("chosen_story").isNotNull() & F.col("rejected_story").isNotNull())
+    return features(features(complete, "chosen_story", model, "_chosen"), "rejected_story", model, "_rejected")
+
+
+def _difference() -> Column:
+    """`_chosen` - `_rejected` as entries, without those that are 0."""
+    zero = F.lit(0.0)
+    minus = F.map_zip_with(_by_feature("_chosen"), _by_feature("_rejected"), lambda _, c, r: F.coalesce(c, zero) - F.coalesce(r, zero))
+    return F.array_sort(F.map_entries(F.map_filter(minus, lambda _, x: x != 0)))
+
+
 def pair_differences(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     """Complete pairs with the `difference` of their features, chosen - rejected: an array of (key, value) by key.
 
     Only features that differ are in it: it is as long as the two stories have different words, whatever the number of features.
     """
-    complete = pairs.filter(F.col("chosen_story").isNotNull() & F.col("rejected_story").isNotNull())
-    both = features(features(complete, "chosen_story", model, "_chosen"), "rejected_story", model, "_rejected")
-    zero = F.lit(0.0)
-    minus = F.map_zip_with(_by_feature("_chosen"), _by_feature("_rejected"), lambda _, c, r: F.coalesce(c, zero) - F.coalesce(r, zero))
-    entries = F.array_sort(F.map_entries(F.map_filter(minus, lambda _, x: x != 0)))
-    return both.withColumn("difference", entries).drop("_chosen", "_rejected")
+    return _vectors(pairs, model).withColumn("difference", _difference()).drop("_chosen", "_rejected")
 
 
 def _sums(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -179,10 +202,13 @@ def penalised_gradient(
     # One row per coefficient that is not 0, at most as many as there are features.
     weights = [(i, float(w)) for i, w in enumerate(np.asarray(scorer.coefficients)) if w]
     known = pairs.sparkSession.createDataFrame(weights, "feature int, weight double")
-    differing = pair_differences(score_pairs(pairs, model, scorer), model)
+    # Each story's features are worked out once, for its score and for the difference.
+    both = _vectors(pairs, model)
+    for side in ("chosen", "rejected"):
+        both = _with_total(both, f"_{side}", scorer, f"{side}_score")
     share = 1 / (1 + F.exp(F.col("chosen_score") - F.col("rejected_score")))
     summed = (
-        differing.select(share.alias("_share"), F.explode("difference").alias("_e"))
+        both.select(share.alias("_share"), F.explode(_difference()).alias("_e"))
         .groupBy(F.col("_e.key").alias("_feature"))
         .agg(F.sum(-F.col("_share") * F.col("_e.value")).alias("_sum"))
     )
@@ -211,10 +237,15 @@ def score(
     df: DataFrame, text_column: str, model: PipelineModel, scorer: LinearScorer, name: str = "score"
 ) -> DataFrame:
     """R3. One score per story; higher is better. A row without a story has a null score."""
-    product = ElementwiseProduct(scalingVec=Vectors.dense(scorer.coefficients), inputCol="_features", outputCol="_product")
-    scored = product.transform(features(df, text_column, model, "_features"))
+    scored = _with_total(features(df, text_column, model, "_features"), "_features", scorer, name)
+    return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), F.col(name))).drop("_features")
+
+
+def _with_total(df: DataFrame, vector: str, scorer: LinearScorer, name: str) -> DataFrame:
+    """Add the sum of a vector's features, each times its coefficient."""
+    product = ElementwiseProduct(scalingVec=Vectors.dense(scorer.coefficients), inputCol=vector, outputCol="_product")
     total = F.aggregate(F.unwrap_udt(F.col("_product"))["values"], F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn(name, F.when(F.col(text_column).isNotNull(), total)).drop("_features", "_product")
+    return product.transform(df).withColumn(name, total).drop("_product")
 
 
 def score_pairs(pairs: DataFrame, model: PipelineModel, scorer: LinearScorer) -> DataFrame:

@@ -114,3 +114,14 @@ def test_metrics_of_extreme_margins(spark):
     wanted = [0.0, 2000.0, math.log(2), math.log(1 + math.exp(-1))]
     assert row["pairs"] == 4 and row["accuracy"] == 0.5
     assert row["mean_loss"] == pytest.approx(sum(wanted) / 4)
+
+
+def test_words_are_hashed_once_a_batch_and_stories_once(spark, pairs, fitted, plan):
+    """Terms are the buckets of the tokens; the gradient works out the features of each story once, not for score and difference each."""
+    texts = [("The cat, the CAT ça 12",), ("",), (None,), ("...",)]
+    df = spark.createDataFrame(texts, "t string")
+    by_token = F.transform(reward.tokens(F.col("t")), lambda w: reward.bucket(w, 1000).cast("string"))
+    got = df.select(reward._terms(F.col("t"), 1000).alias("a"), by_token.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[2]["a"] is None and got[1]["a"] == []
+    told = plan(reward.penalised_gradient(pairs, *fitted))
+    assert told.count("ArrowEvalPython") == 2 and "md5" not in told
