@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from prefweave import fixed_values as V
+from prefweave.durable import durable
 from prefweave.functions.arrays import attention_mask, find_subsequence, pad
 from prefweave.functions.text import token_list, tokens
-from prefweave.operators.dictionary import PLACE, SHIPPED_BYTES, WordDictionary
+from prefweave.operators.dictionary import SHIPPED_BYTES, WordDictionary
 from prefweave.operators.skew import rank_rows, top_k
 
+# Functions of this module travel to the executors by value, which need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Text of the rows that meet their words in one task.
+GROUP_BYTES = 8 << 20
 # Reserved ids; words start after them.
 PAD_ID, UNKNOWN_ID, END_OF_TEXT_ID = 0, 1, 2
 SPECIAL_TOKENS = {"[PAD]": PAD_ID, "[UNK]": UNKNOWN_ID, "<|endoftext|>": END_OF_TEXT_ID}
@@ -83,21 +96,48 @@ def encode(df: DataFrame, key: str, column: str, vocab: DataFrame | WordDictiona
 def encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: int = V.MAX_LENGTH) -> DataFrame:
     """As `encode`, with nothing shipped at all: every word meets the vocabulary in a join. `key` is unique.
 
-    Each task first joins its own distinct words, so that a frequent word is no hot key; ids then go back by word.
+    Rows are dealt by a hash of their key into groups of about GROUP_BYTES of text. Each word of a group joins the vocabulary once,
+    however often it stands there, and comes back to its group with its id; the rows move as text, not word by word.
     """
-    places = df.select(key, F.posexplode(F.slice(tokens(F.col(column)), 1, max_length)).alias("_place", "_token"))
-    found = places.select("_token").distinct().join(vocab, F.col("_token") == F.col("token")).select(
-        F.col("token").alias("_word"), F.col("id").alias("_id")
-    )
-    entry = F.col("_place") * F.lit(PLACE) + F.coalesce(F.col("_id"), F.lit(UNKNOWN_ID))
-    listed = (
-        places.join(found, F.col("_token") == F.col("_word"), "left")
-        .groupBy(F.col(key).alias("_of"))
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: (e % F.lit(PLACE)).cast("int")).alias("_ids"))
-    )
-    empty = F.array().cast("array<int>")
-    joined = df.select(key, F.col(column).isNull().alias("_null")).join(listed, F.col(key).eqNullSafe(F.col("_of")), "left")
-    return joined.select(key, F.when(~F.col("_null"), F.coalesce("_ids", empty)).alias("ids"))
+    total = df.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+    # No token holds a line break. Every group has a word here, if only a null one.
+    said = F.array_join(F.slice(tokens(F.col(column)), 1, max_length), "\n")
+    group = F.pmod(F.xxhash64(key), F.lit(total // GROUP_BYTES + 1))
+    dealt = durable(df.select(F.col(key).alias("_key"), group.alias("_group"), said.alias("_said")).repartition("_group"))
+    needed = dealt.select("_group", F.explode_outer(F.split("_said", "\n")).alias("_token")).distinct()
+    known = needed.join(vocab.select("token", F.col("id").cast("int").alias("id")), F.col("_token") == F.col("token"), "left")
+    told = known.select(F.col("_group").alias("_of"), "_token", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("_id"))
+    schema = StructType([StructField(key, df.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
+
+    def ids_of(rows: pa.Table, words: pa.Table) -> pa.Table:
+        return _ids_of_group(rows, words).rename_columns([key, "ids"])
+
+    return dealt.groupBy("_group").cogroup(told.groupBy("_of")).applyInArrow(ids_of, schema)
+
+
+def _ids_of_group(rows: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of the rows of a group, by its words."""
+    said, keys = (rows[c].combine_chunks() for c in ("_said", "_key"))
+    split = pc.split_pattern(said, "\n")
+    flat, sizes = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    coded = flat.dictionary_encode()
+    at = pc.index_in(coded.dictionary, value_set=words["_token"].combine_chunks()) if words.num_rows else None
+    ids = np.zeros(0, np.int32) if at is None else words["_id"].to_numpy()[at.to_numpy(zero_copy_only=False)]
+    # An empty text is one empty word here, which is no token.
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    row = np.repeat(np.arange(len(said)), sizes)[real]
+    found = ids[coded.indices.to_numpy(zero_copy_only=False)][real]
+    # Rows that share a key share their ids, by place.
+    of = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    counts = np.bincount(of[row], minlength=len(said))
+    if len(of) and of.max() + 1 < len(of):
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        found = found[np.lexsort((found, place, of[row]))]
+    begins, lengths = (np.cumsum(counts) - counts)[of], counts[of]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    taken = found[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(taken.astype(np.int32)), mask=pc.is_null(said))
+    return pa.table([keys, lists], names=["_key", "ids"])
 
 
 def encode_pairs(

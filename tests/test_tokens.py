@@ -132,6 +132,21 @@ def test_encode_without_vocabulary(spark, docs):
     assert got[3] is None and got[2] == [] and set(got[0]) == {tokens.UNKNOWN_ID}
 
 
+def test_a_join_moves_each_word_of_a_group_once(spark, plan):
+    """Words meet the vocabulary once a group; repeated and null keys, empty texts and an empty vocabulary are as before."""
+    rows = [(1, "a b a a"), (2, "a"), (None, "b b"), (3, ""), (4, None), (5, "c b"), (5, "a zz d")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate("abcd")], "token string, id int")
+    encoded = tokens.encode_by_join(df, "id", "text", vocab)
+    told = plan(encoded)
+    assert "posexplode" not in told and "collect_list" not in told
+    wanted = [(1, [3, 4, 3, 3]), (2, [3]), (None, [4, 4]), (3, []), (4, None), (5, [3, 5, 1, 4, 6]), (5, [3, 5, 1, 4, 6])]
+    assert sorted(((r["id"], r["ids"]) for r in encoded.collect()), key=str) == sorted(wanted, key=str)
+    none = tokens.encode_by_join(df.filter("id < 4"), "id", "text", vocab.limit(0)).collect()
+    assert {r["id"]: r["ids"] for r in none} == {1: [1] * 4, 2: [1], 3: []}
+    assert tokens.encode_by_join(df.filter("id = 4"), "id", "text", vocab).first()["ids"] is None
+
+
 def test_marker_is_encoded_like_text(spark):
     df = spark.createDataFrame([(1, "x ### Assistant: y"), (2, "the assistant said")], "id int, text string")
     vocab = tokens.build_vocab(df, "text")
