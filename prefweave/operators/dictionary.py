@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from prefweave.durable import durable
-from prefweave.operators.skew import lookup
+from prefweave.operators.skew import Load, lookup
 
 # Functions of this module travel to the executors by value, which need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,8 +29,9 @@ BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 # Stands for a word that the shipped entries do not hold; no id is that low.
 _OPEN = -(1 << 31)
-# A place and an id share one bigint, place above id, which sorts and moves at a quarter of a struct's size.
-PLACE = 1 << 32
+# Bytes of an id, and of the ids of the rows that meet their open words in one task.
+ID_BYTES = 4
+GROUP_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -186,33 +188,50 @@ class WordDictionary:
         return F.arrow_udf(look_up, "array<int>")(self._prints(words))
 
     def encode(self, df: DataFrame, key: str, texts: dict[str, Column]) -> DataFrame:
-        """`key` and, for each name in `texts`, the ids of that array of words; null for null. `key` is unique."""
+        """`key` and, for each name in `texts`, the ids of that array of words; null for null.
+
+        Beyond what is shipped, each open word of a group of rows meets its entry once, and the ids move once, to their group.
+        """
         if self.whole:
             return df.select(key, *[self.ids(words).alias(name) for name, words in texts.items()])
-        marked = durable(df.select(key, *[self._open(words).alias(name) for name, words in texts.items()]))
-        places = None
-        for name in texts:
-            some = marked.select(F.col(key).alias("_of"), F.lit(name).alias("_text"), F.posexplode(f"{name}.open").alias("_place", "_word"))
-            places = some if places is None else places.unionByName(some)
-        found = lookup(places, "_word", self.rest.withColumnRenamed("id", "_id"), "word", ["_of", "_text", "_place"])
-        entry = F.col("_place") * F.lit(PLACE) + F.coalesce("_id", F.lit(self.unknown))
-        ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: (e % F.lit(PLACE)).cast("int"))
-        filled = marked
-        listed = durable(found.groupBy("_of", "_text").agg(ordered.alias("_ids")))
-        for name in texts:
-            mine = listed.filter(F.col("_text") == name).select("_of", F.col("_ids").alias("_found"))
-            joined = filled.join(mine, F.col(key).eqNullSafe(F.col("_of")), "left")
-            filled = joined.withColumn(name, _filled(F.col(f"{name}.ids"), F.col("_found"))).select(*filled.columns)
-        return filled
-
-
-def _filled(ids: Column, found: Column) -> Column:
-    """`ids` with the `found` ones, in order, where they are open."""
-
-    def fill(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            flat = left.flatten().to_numpy(zero_copy_only=False).copy()
-            flat[flat == _OPEN] = right.flatten().to_numpy(zero_copy_only=False)
-            yield _nested(_ends(left), flat, pc.is_null(left))
-
-    return F.arrow_udf(fill, "array<int>")(ids, found)
+        # Rows are told apart by a number of their own, so null and repeated keys are no group.
+        opened = [self._open(words).alias(name) for name, words in texts.items()]
+        marked = durable(df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), *opened))
+        part, place = F.call_function("shiftright", "_row", F.lit(33)), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = [F.coalesce(F.size(f"{name}.ids"), F.lit(0)).cast("bigint") for name in texts]
+        rows, ids, parts = marked.agg(F.count("*"), F.sum(sum(sizes, F.lit(0))), F.max(part)).first()
+        # Rows that lie next to each other, of GROUP_BYTES together on average, meet their open words in one task.
+        together = max(1, rows * GROUP_BYTES // max(1, (ids or 0) * ID_BYTES))
+        grouped = marked.withColumn("_group", F.xxhash64(part, F.floor(place / together)))
+        # A word is met once by each group.
+        load = Load(rows, rows // together + (parts or 0) + 1)
+        words = F.flatten(F.array(*[F.coalesce(F.col(f"{name}.open"), F.array().cast("array<bigint>")) for name in texts]))
+        needed = grouped.select("_group", F.explode(words).alias("_word")).distinct()
+        found = lookup(needed, "_word", self.rest.withColumnRenamed("id", "_id"), "word", ["_group"], "inner", load=load)
+        told = found.select(F.col("_group").alias("_of"), "_word", F.col("_id").cast("int").alias("_id"))
+        fields = [StructField(key, df.schema[key].dataType), *[StructField(name, ArrayType(IntegerType())) for name in texts]]
+        names, unknown = list(texts), self.unknown
+
+        def fill(rows: pa.Table, entries: pa.Table) -> pa.Table:
+            return _filled(rows, entries, names, unknown).rename_columns([key, *names])
+
+        return grouped.groupBy("_group").cogroup(told.groupBy("_of")).applyInArrow(fill, StructType(fields))
+
+
+def _filled(rows: pa.Table, entries: pa.Table, names: list[str], unknown: int) -> pa.Table:
+    """The keys of the rows of a group, and their ids, the open ones by the entries of its words."""
+    words, ids = entries["_word"].to_numpy(), entries["_id"].to_numpy()
+    order = np.lexsort((ids, words))
+    words, ids = words[order], ids[order]
+    columns = [rows["_key"].combine_chunks()]
+    for name in names:
+        known, left = (rows[name].combine_chunks().field(f) for f in ("ids", "open"))
+        flat = known.flatten().to_numpy(zero_copy_only=False).copy()
+        wanted, back = np.unique(left.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        told = np.full(len(wanted), unknown, np.int32)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+            told = np.where(words[at] == wanted, ids[at], told)
+        flat[flat == _OPEN] = told[back]
+        columns.append(_nested(_ends(known), flat, pc.is_null(known)))
+    return pa.table(columns, names=["_key", *names])

@@ -121,6 +121,25 @@ def test_rare_words_move_without_texts(spark, docs, plan):
     assert "text" not in " ".join(line for line in plan(encoded).splitlines() if "Exchange" in line)
 
 
+def test_open_words_meet_their_entries_once_a_group(spark, plan, monkeypatch):
+    """Beyond what is shipped no word moves by its place; null and repeated keys are rows like others, whatever the groups."""
+    from prefweave.operators import dictionary
+
+    rows = [(1, "a b a a"), (2, "d"), (None, "b b d"), (None, "c zz"), (3, ""), (4, None), (5, "c b"), (5, "a zz d d")]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate("abcd")], "token string, id int")
+    ids = {w: i + 3 for i, w in enumerate("abcd")}
+    wanted = [(i, None if t is None else [ids.get(w, 1) for w in t.split()]) for i, t in rows]
+    for group in (1, dictionary.GROUP_BYTES):
+        monkeypatch.setattr(dictionary, "GROUP_BYTES", group)
+        encoded = tokens.encode(df, "id", "text", WordDictionary(vocab, 60))
+        told = plan(encoded)
+        assert "posexplode" not in told and "collect_list" not in told
+        assert sorted(((r["id"], r["ids"]) for r in encoded.collect()), key=str) == sorted(wanted, key=str)
+    empty = tokens.encode(df.filter("false"), "id", "text", WordDictionary(vocab, 0))
+    assert empty.count() == 0 and empty.columns == ["id", "ids"]
+
+
 def test_batches_are_bounded_by_bytes(spark, docs):
     WordDictionary(tokens.build_vocab(docs, "text"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
