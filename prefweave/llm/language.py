@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +110,18 @@ def fit_language_model(
         draw(labelled, id_column, text_column, label_column, rows)
         .select("order", "label", _vectors(F.col("text")).alias("v"))
         .select("order", "label", "v.ids", "v.shares")
-        .toPandas()
-        .sort_values(["order", "label"], kind="stable")
+        .toArrow()  # as arrays: millions of Python numbers would fill the driver
     )
-    languages = sorted(sample["label"].unique())
+    sample = sample.sort_by([("order", "ascending"), ("label", "ascending")]).combine_chunks()
+    labels = sample["label"].to_pylist()
+    languages = sorted(set(labels))
     size, k = 1 << BUCKET_BITS, len(languages)
     if not k:
         return LanguageModel([], np.zeros((size, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    target = sample["label"].map({name: i for i, name in enumerate(languages)}).to_numpy()
-    ids, shares = list(sample["ids"]), list(sample["shares"])
+    place = {name: i for i, name in enumerate(languages)}
+    target = np.array([place[name] for name in labels])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(sample["ids"]).to_numpy())])
+    ids, shares = (np.split(pc.list_flatten(sample[name]).to_numpy(), ends[1:-1]) for name in ("ids", "shares"))
     rng = np.random.default_rng(SEED)
     calibrates = np.arange(len(target)) % CALIBRATION_SHARE == CALIBRATION_SHARE - 1
     train = np.flatnonzero(~calibrates)
@@ -149,7 +153,7 @@ def fit_language_model(
             embedding[used] -= rate * (x.T @ back)
     held = np.flatnonzero(calibrates) if calibrates.any() else train
     table = embedding @ weights
-    logits = np.stack([shares[r] @ table[ids[r]] + bias for r in held])
+    logits = np.stack([shares[r].astype(np.float64) @ table[ids[r]] + bias for r in held])
     temperature = min(
         np.geomspace(0.05, 20, 61), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), target[held]] + 1e-12).mean()
     )

@@ -60,6 +60,22 @@ def test_nothing_learned(spark):
 
 
 @needs_tables
+def test_the_sample_reaches_the_driver_as_arrays(spark, model, monkeypatch):
+    """Not number by number; the model is that of its rows in order, however they are dealt."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self, *_):
+        raise AssertionError("Python numbers on the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(DataFrame, "collect", refused)
+    rows = [(i, f"{'abc' if i % 2 else 'xyz'} {i}", ("one", "two")[i % 2]) for i in range(40)]
+    df = spark.createDataFrame([*rows, (90, None, "one"), (91, "abc", None)], "doc_id int, text string, lang string")
+    first, second = (G.fit_language_model(x, rows=30) for x in (df.coalesce(1), df.repartition(7)))
+    assert first.languages == ["one", "two"]
+    assert (first.table == second.table).all() and first.threshold == second.threshold
+
+
 def test_held_out_languages(spark):
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op9_language"](spark, SF).join(truth, "doc_id").filter("held_out and lang is not null").toPandas()
