@@ -9,23 +9,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.columns import text_function
+from prefweave.llm.columns import release_memory, slices, text_function
 from prefweave.llm.linking import linked
-from prefweave.llm.sieve import bitmap_of, sifted
+from prefweave.llm.sieve import bitmap_of, marked, sifted
 from prefweave.llm.storage import written
 from prefweave.llm.words import ALPHANUMERIC, joined, mixed, word_hashes, word_places
 
-# A SimHash has BLOCKS blocks of BLOCK_BITS bits. In each block only some of the different words of a line vote, VOTING of 256 by a hash
-# of the word, so that a changed word leaves most blocks as they were; where fewer than LEAST_VOTERS would vote, all words do. Lines
+# A SimHash has BLOCKS blocks of BLOCK_BITS bits. In each block only some of the different words of a line vote, by a hash of the word,
+# so that a changed word leaves most blocks as they were: the least share of VOTING (of 256) by which LEAST_VOTERS vote at all. Lines
 # meet that have a block in common: always when the words that differ vote in less than all blocks (pigeonhole), else by chance.
-BLOCKS = 8
-BLOCK_BITS = 24
-VOTING = 80
+# A block is as wide as two fit into a signed column: lines that differ in all their words share one with a chance of 1 in 2^31.
+BLOCKS = 6
+BLOCK_BITS = 31
+VOTING = (48, 96, 192, 256)
 LEAST_VOTERS = 3
-# Lines that meet by chance differ in some 84 of the other 168 bits; lines of edit similarity 0.9 in fewer than this.
+# Lines that meet by chance differ in some 77 of the other 155 bits; lines of edit similarity 0.9 mostly in fewer than this.
 MOST_BITS = 64
 # Lines are alike when edits, to the longer one's length, leave this share.
 SIMILARITY = (90, 100)
+# Characters of a line that is long.
+LONG_LINE = 4096
 # Lengths within that share of each other fall into the same class of this ratio, or a class that both stand in.
 CLASS_RATIO = 2.0
 
@@ -52,25 +55,61 @@ STEP_WORDS = 1 << 16
 
 
 def _different(hashes: np.ndarray, line_of: np.ndarray) -> np.ndarray:
-    """Places of the first occurrence of each word in its line, in order."""
+    """Places of one occurrence of each word in its line, in order."""
     tags = mixed(hashes ^ mixed(line_of.astype(np.uint64) + np.uint64(1)))
-    return np.sort(np.unique(tags, return_index=True)[1])
+    slots = np.zeros(1 << max(10, len(tags).bit_length() + 1), np.int64)
+    found, rest, turn = [], np.arange(len(tags)), 0
+    while len(rest):
+        # The last place that is put into a slot stays there; words that lost it to another word try other slots.
+        at = (mixed(tags[rest] + np.uint64(turn)) if turn else tags[rest]) & np.uint64(len(slots) - 1)
+        slots[at] = rest
+        stays = slots[at]
+        found.append(rest[stays == rest])
+        rest, turn = rest[tags[stays] != tags[rest]], turn + 1
+    return np.sort(np.concatenate(found)) if found else rest
+
+
+# The bits of a byte as eight counters of a byte each, which are added as one number.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+_COUNTER_MOST = 255
+
+
+def _ones(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each line's values, `counts` of them in order, have each of their first 32 bits set. No count is zero."""
+    # A counter holds so many; a line of more values is summed in runs.
+    runs = -(-counts // _COUNTER_MOST)
+    ends = np.cumsum(counts)
+    first = np.cumsum(runs) - runs
+    within = np.arange(runs.sum()) - np.repeat(first, runs)
+    begins = np.repeat(ends - counts, runs) + within * _COUNTER_MOST
+    stops = np.append(begins[1:], len(values))
+    octets = values.view(np.uint8).reshape(-1, 8)
+    sums = np.empty((len(begins), 4), np.uint64)
+    total = np.zeros(len(values) + 1, np.uint64)
+    for i in range(4):
+        # The total wraps around; differences do not.
+        np.cumsum(_COUNTERS[octets[:, i]], out=total[1:])
+        sums[:, i] = total[stops] - total[begins]
+    ones = sums.view(np.uint8)
+    return ones if len(ones) == len(counts) else np.add.reduceat(ones, first, axis=0, dtype=np.int32)
 
 
 def _blocks(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Every block of lines whose words begin at `begins`, which ends with the number of words. No line is without words."""
-    line_of = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    sizes = np.diff(begins)
     lots = mixed(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)).view(np.uint8).reshape(-1, 8)
-    blocks = np.zeros((len(begins) - 1, BLOCKS), np.int64)
+    blocks = np.zeros((len(sizes), BLOCKS), np.int64)
     for k in range(BLOCKS):
-        votes = lots[:, k] < VOTING
-        few = np.add.reduceat(votes, begins[:-1], dtype=np.int32) < LEAST_VOTERS
-        chosen = np.flatnonzero(votes | few[line_of])
-        counts = np.bincount(line_of[chosen], minlength=len(blocks))
+        below = np.full(len(sizes), VOTING[0])
+        for more in VOTING[1:]:
+            counts = np.diff(np.concatenate([[0], np.cumsum(lots[:, k] < np.repeat(below, sizes))])[begins])
+            below = np.where(counts < LEAST_VOTERS, more, below)
+        chosen = np.flatnonzero(lots[:, k] < np.repeat(below, sizes))
+        counts = np.diff(np.searchsorted(chosen, begins))
         salted = mixed(hashes[chosen] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
-        bits = np.unpackbits(salted.view(np.uint8).reshape(-1, 8)[:, : BLOCK_BITS // 8], axis=1)
-        ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int32)
-        blocks[:, k] = (2 * ones > counts[:, None]) @ (1 << np.arange(BLOCK_BITS))
+        bits = 2 * _ones(salted, counts).astype(np.int32) > counts[:, None]
+        packed = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+        blocks[:, k] = packed & np.uint32((1 << BLOCK_BITS) - 1)
     return blocks
 
 
@@ -122,8 +161,7 @@ def _split_all(texts: list[str]) -> tuple[list[str], pa.Array]:
 
 
 def _nodes(keys: np.ndarray) -> pa.Array:
-    raw = keys.tobytes()
-    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
 
 
 SIMS = tuple(f"sim{i}" for i in range(BLOCKS // 2))
@@ -140,25 +178,34 @@ def _signer():
 
 
 def signed_lines(text: Column) -> Column:
-    """Arrays `node`, `sim0` to `sim3` and `size` of the lines of whole texts; lines without words have size 0."""
+    """Arrays `node`, `sim0` to `sim2` and `size` of the lines of whole texts; lines without words have size 0."""
     types = {"node": pa.list_(pa.binary()), **{s: pa.list_(pa.int64()) for s in SIMS}, "size": pa.list_(pa.int32())}
     ddl = ", ".join(["node array<binary>", *[f"{s} array<bigint>" for s in SIMS], "size array<int>"])
     return text_function(ddl, types, _signer)(text)
 
 
-def _speller():
-    def spell(texts: list[str]) -> list:
-        lines, ends = _split_all(texts)
-        nested = lambda values: pa.ListArray.from_arrays(ends, values)
-        return [nested(_nodes(_parsed(lines)[3])), nested(pa.array([normal_line(line) for line in lines], pa.string()))]
-
-    return spell
+def spelt_lines(text: Column, places: Column) -> Column:
+    """Structs of `at`, `own` (the node) and `line` (normalised) of the lines of whole texts at `places`, an array of line numbers."""
 
+    def run(batches: collections.abc.Iterator[tuple[pa.Array, pa.Array]]) -> collections.abc.Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("own", pa.binary()), ("line", pa.string())]))
+        for texts, wanted in batches:
+            parts, done = [pa.array([], kind)], 0
+            for piece in slices(texts):
+                asked = wanted.slice(done, len(piece))
+                done += len(piece)
+                told = [(at, lines[at]) for t, ats in zip(piece.to_pylist(), asked.to_pylist()) for lines in [_lines(t)] for at in ats]
+                ends = np.concatenate([[0], np.cumsum([len(ats) for ats in asked.to_pylist()])]).astype(np.int32)
+                lines = [line for _, line in told]
+                arrays = [pa.array([at for at, _ in told], pa.int32()), _nodes(_parsed(lines)[3]), pa.array([normal_line(x) for x in lines], pa.string())]
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(arrays, fields=list(kind.value_type))))
+            yield pa.concat_arrays(parts)
+        release_memory()
 
-def spelt_lines(text: Column) -> Column:
-    """Arrays `own` (the nodes) and `line` (normalised) of the lines of whole texts."""
-    types = {"own": pa.list_(pa.binary()), "line": pa.list_(pa.string())}
-    return text_function("own array<binary>, line array<string>", types, _speller)(text)
+    run.__annotations__ = {
+        "batches": collections.abc.Iterator[tuple[pa.Array, pa.Array]], "return": collections.abc.Iterator[pa.Array],
+    }
+    return F.arrow_udf(run, "array<struct<at: int, own: binary, line: string>>")(text, places)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -203,14 +250,22 @@ def alike(a: str, b: str) -> bool:
 
 
 def _alike_column(left: Column, right: Column) -> Column:
+    """`alike` of two columns. Only long lines are compared in Python, as the engine's own distance takes more time for them."""
+    part, whole = SIMILARITY
+    longer = F.greatest(F.char_length(left), F.char_length(right))
+    most = ((whole - part) * longer / whole).cast("int")
+    near = F.call_function("levenshtein", left, right, most) >= 0
+
     def run(batches: collections.abc.Iterator[tuple[pa.Array, pa.Array]]) -> collections.abc.Iterator[pa.Array]:
         for a, b in batches:
-            yield pa.array([alike(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+            yield pa.array([x is not None and alike(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
     run.__annotations__ = {
         "batches": collections.abc.Iterator[tuple[pa.Array, pa.Array]], "return": collections.abc.Iterator[pa.Array],
     }
-    return F.arrow_udf(run, "boolean")(left, right)
+    is_long = longer > LONG_LINE
+    told = F.arrow_udf(run, "boolean")(F.when(is_long, left), F.when(is_long, right))
+    return F.when(is_long, told).otherwise(near)
 
 
 def block_keys(sims: list[Column], size: Column) -> Column:
@@ -252,11 +307,12 @@ def line_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     place = F.struct(
         F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("at").alias("at"), F.col("_mark").alias("m")
     )
-    occurrences = rows.select("_id", "_mark", "_row", F.posexplode(F.arrays_zip("node", *SIMS, "size")).alias("at", "l")).select(
-        "_id", "_mark", "_row", "at", "l.*"
-    ).filter("size > 0")
+    def occurrences(*columns: str) -> DataFrame:
+        told = rows.select("_id", "_mark", "_row", F.posexplode(F.arrays_zip("node", "size", *columns)).alias("at", "l"))
+        return told.select("_id", "_mark", "_row", "at", "l.*").filter("size > 0")
+
     lines = written(
-        occurrences.groupBy("node").agg(
+        occurrences(*SIMS).groupBy("node").agg(
             F.min(place).alias("_first"), F.count("*").alias("_count"), *[F.min(c).alias(c) for c in (*SIMS, "size")]
         )
     )
@@ -265,12 +321,14 @@ def line_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, lines, base)
 
-    labels, _ = linked(nodes, _likely, verify)
-    grouped = lines.join(labels, "node", "left").withColumn("_label", F.coalesce("label", "node"))
+    labels, _ = linked(nodes, _likely, verify, sparse=True)
+    # A line that stands once and is linked with no other loses nothing, and need not move.
+    several = marked(lines, F.col("node"), bitmap_of(labels, "node"), "_may").filter(F.col("_may") | (F.col("_count") > 1))
+    grouped = several.select("node", "_first", "_count").join(labels, "node", "left").withColumn("_label", F.coalesce("label", "node"))
     kept = grouped.groupBy("_label").agg(F.min("_first").alias("_kept"), F.sum("_count").alias("_all"))
     # Lines of groups with more than one occurrence: only these can lose any.
     repeated = written(grouped.join(kept.filter("_all > 1"), "_label").select(F.col("node").alias("_node"), "_kept"))
-    losers = sifted(occurrences, F.col("node"), bitmap_of(repeated, "_node")).join(repeated, F.col("node") == F.col("_node"))
+    losers = sifted(occurrences(), F.col("node"), bitmap_of(repeated, "_node")).join(repeated, F.col("node") == F.col("_node"))
     dropped = (
         losers.filter((F.col("_row") != F.col("_kept.r")) | (F.col("at") != F.col("_kept.at")))
         .groupBy(F.col("_row").alias("_of")).agg(F.array_sort(F.collect_list("at")).alias("dropped"))
@@ -294,16 +352,17 @@ def _verified(pairs: DataFrame, lines: DataFrame, base: DataFrame) -> DataFrame:
     that is found has to be the one looked for: its own node is worked out again.
     """
     holder = lambda n, i, m: F.struct(n.alias("n"), i.alias("i"), m.alias("m"))
-    wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
+    wanted = written(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct())
     of = holder(F.col("_first.n"), F.col("_first.i"), F.col("_first.m"))
-    held = written(wanted.join(lines, F.col("_node") == F.col("node")).select("_node", of.alias("_of"), F.col("_first.at").alias("_at")))
+    some = sifted(lines.select("node", "_first"), F.col("node"), bitmap_of(wanted, "_node"))
+    held = wanted.join(some, F.col("_node") == F.col("node")).select("_node", of.alias("_of"), F.col("_first.at").alias("_at"))
+    # A text has so many lines at most.
+    held = written(held.groupBy("_of").agg(F.collect_list("_at").alias("_places"), F.collect_list("_node").alias("_nodes")))
     rows = base.select(holder(F.col("_id").isNull(), F.col("_id"), F.xxhash64("_text")).alias("_holder"), "_text")
     texts = sifted(rows, F.col("_holder"), bitmap_of(held, "_of")).dropDuplicates(["_holder"])
-    told = texts.select("_holder", spelt_lines(F.col("_text")).alias("s")).select("_holder", "s.*")
-    spelt = told.select("_holder", F.posexplode(F.arrays_zip("own", "line")).alias("at", "l")).select("_holder", "at", "l.*")
-    near = sifted(spelt, F.col("own"), bitmap_of(held, "_node"))
-    same = (F.col("_of") == F.col("_holder")) & (F.col("_at") == F.col("at")) & (F.col("_node") == F.col("own"))
-    found = written(held.join(near, same).select("_node", "line"))
+    told = held.join(texts, F.col("_of") == F.col("_holder")).select("_nodes", spelt_lines(F.col("_text"), F.col("_places")).alias("s"))
+    near = told.select(F.explode(F.arrays_zip("_nodes", "s")).alias("z")).select(F.col("z._nodes").alias("_node"), "z.s.own", "z.s.line")
+    found = written(near.filter(F.col("own") == F.col("_node")).select("_node", "line"))
     left = found.withColumnsRenamed({"_node": "_l", "line": "_left"})
     right = found.withColumnsRenamed({"_node": "_r", "line": "_right"})
     both = pairs.join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))

@@ -92,7 +92,7 @@ def remaining_pairs(rows: DataFrame, nodes: DataFrame, likely: Likely, tested: D
 
 def linked(
     nodes: DataFrame, likely: Likely, verify: Verify, sharpen: Callable[[DataFrame], DataFrame] | None = None,
-    surely: Likely | None = None,
+    surely: Likely | None = None, sparse: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(labels, links): the connected groups of all true links between nodes that share a key, and the links found.
 
@@ -100,12 +100,17 @@ def linked(
     reject pairs that are no links. `verify` keeps the pairs (a, b) that are links. First every node is compared with one
     node of each of its groups; then all pairs are, whose ends are not connected by that. So no link between parts is lost,
     and groups of near copies cost as many comparisons as they have members. For the second step `sharpen` may replace the
-    nodes that are left (one column) by rows of (node, keys, ...) that `surely` reads, to reject more.
+    nodes that are left (one column) by rows of (node, keys, ...) that `surely` reads, to reject more. Where few
+    nodes share a key (`sparse`), they are set apart once, so that the others do not move.
     """
     members = nodes.select(F.explode("keys").alias("key"), "node")
     centers = group_centers(members)
     # Most groups have one member: a bitmap of the others lets few rows through to what follows.
-    members = written(sifted(members, F.col("key"), bitmap_of(centers, "key")))
+    members = sifted(members, F.col("key"), bitmap_of(centers, "key"))
+    # The bitmap lets some through that are alone in their group.
+    members = written(members.join(centers, "key", "left_semi") if sparse else members)
+    if sparse:
+        nodes = written(sifted(nodes, F.col("node"), bitmap_of(members, "node")))
     first = written(_both(star_pairs(members, centers), nodes.drop("keys"), likely))
     links = written(verify(first))
     labels = written(components(links))

@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,6 +166,42 @@ def test_signatures_in_steps(monkeypatch):
     assert D.line_signatures(["x y z"])[1].tolist() == D.line_signatures(["x y x z y"])[1].tolist()
 
 
+def test_different_lines_seldom_meet():
+    """Lines that have nothing to do with each other stay apart, however many they are."""
+    random.seed(10)
+    lines = [" ".join("%x" % random.getrandbits(40) for _ in range(12)) for _ in range(50_000)]
+    sims = D.line_signatures([line.translate(str.maketrans("0123456789", "ghijklmnop")) for line in lines])[1]
+    met = 0
+    for i in range(D.BLOCKS):
+        values = (sims[:, i // 2] >> 32 * (i % 2)) & 0xFFFFFFFF
+        met += len(values) - len(set(values.tolist()))
+    assert met < 100
+
+
+def test_many_voters_are_counted_in_runs():
+    """More words than a counter holds: the same blocks as by plain counting."""
+    random.seed(11)
+    hashes = D.mixed(np.arange(5000, dtype=np.uint64))
+    counts = np.array([3, 254, 255, 256, 700, 1, 3531])
+    wanted = [np.unpackbits(x.view(np.uint8).reshape(-1, 8)[:, :4], axis=1).sum(axis=0) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+    assert (D._ones(hashes, counts) == np.array(wanted)).all()
+
+
+def test_alike_in_columns(spark):
+    """The engine's distance for short lines and our own for long ones say the same."""
+    random.seed(12)
+    rows = [("", "a"), ("ä" * 10, "ä" * 9 + "b"), ("a" * 19, "a" * 17), ("a" * 20, "a" * 18), ("x", "x")]
+    for size in (30, 200, 5000):
+        for _ in range(20):
+            a = "".join(random.choices("ab é", k=size))
+            b = list(a)
+            for _ in range(random.randrange(size // 6)):
+                b[random.randrange(len(b))] = random.choice(["", "c", "ü", "ab"])
+            rows.append((a, "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", D._alike_column(F.col("a"), F.col("b")).alias("c")).collect()
+    assert all(r["c"] == D.alike(r["a"], r["b"]) for r in got) and len({r["c"] for r in got}) == 2
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 def test_recall_against_edit_similarity_alone(spark):
     """Of all pairs of lines that are alike by their edits, whatever their signatures, nine in ten have to meet."""
